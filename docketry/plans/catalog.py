@@ -1,8 +1,8 @@
 """All registered queries with their check SQL."""
 
-from docketry.plans import queries_receipts, queries_text
+from docketry.plans import queries_cache, queries_receipts, queries_text
 
-_ALL = {**queries_text.QUERIES, **queries_receipts.QUERIES}
+_ALL = {**queries_text.QUERIES, **queries_receipts.QUERIES, **queries_cache.QUERIES}
 
 
 def queries():
