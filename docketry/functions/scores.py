@@ -5,7 +5,7 @@ from decimal import Decimal
 from difflib import SequenceMatcher
 
 import pyarrow as pa
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from docketry.functions.text import strip
 
@@ -45,7 +45,7 @@ def currency_score(predicted: Column, expected: Column) -> Column:
 
 # --- text ------------------------------------------------------------------------
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def _matching_ratio(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """Ratcliff-Obershelp ratio; each distinct pair of a batch is compared once.
 
@@ -120,7 +120,7 @@ def _price_part(price, other) -> float:
     return next((score for width, score in _BANDS if off <= width), 0.0)
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def _item_list_ratio(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     def listed(items):
         return [(i["name"] or "", (i["priced"], i["price"])) for i in items]

@@ -1,13 +1,18 @@
 """All registered queries with their check SQL."""
 
-from docketry.plans import queries_cache, queries_receipts, queries_text
+from docketry.plans import queries_cache, queries_eval, queries_receipts, queries_text
 
-_ALL = {**queries_text.QUERIES, **queries_receipts.QUERIES, **queries_cache.QUERIES}
+_GROUPS = (queries_text, queries_receipts, queries_cache, queries_eval)
 
 
 def queries():
-    return {name: query for name, (query, _) in _ALL.items()}
+    return {name: query for group in _GROUPS for name, (query, _) in group.QUERIES.items()}
 
 
 def oracle_sql():
-    return {name: sql.strip() for name, (_, sql) in _ALL.items() if sql is not None}
+    return {
+        name: sql.strip()
+        for group in _GROUPS
+        for name, (_, sql) in group.QUERIES.items()
+        if sql is not None
+    }
