@@ -1,8 +1,17 @@
 """All registered queries with their check SQL."""
 
-from docketry.plans import queries_cache, queries_eval, queries_receipts, queries_text
+from docketry.plans import (
+    queries_cache,
+    queries_eval,
+    queries_receipts,
+    queries_records,
+    queries_stream,
+    queries_text,
+)
 
-_GROUPS = (queries_text, queries_receipts, queries_cache, queries_eval)
+_GROUPS = (
+    queries_text, queries_receipts, queries_cache, queries_eval, queries_records, queries_stream,
+)
 
 
 def queries():
