@@ -16,8 +16,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def blank_to_null(value: Column) -> Column:
-    """Empty string -> NULL."""
-    return let(value, lambda v: F.when(v != "", v))
+    """Empty string -> NULL, for a plain column."""
+    return F.when(value != "", value)
 
 
 def find(text: Column, pattern: str, group: int = 0) -> Column:
@@ -25,4 +25,14 @@ def find(text: Column, pattern: str, group: int = 0) -> Column:
 
     Only for groups that cannot match an empty string.
     """
-    return blank_to_null(F.regexp_extract(text, pattern, group))
+    return let(F.regexp_extract(text, pattern, group), blank_to_null)
+
+
+def settled(value: Column) -> Column:
+    """``value`` as a generated column, for ``select`` beside other columns.
+
+    A filter on a computed column is pushed down by copying the whole
+    expression, JSON parsing included, into the filter.  A generated column
+    cannot be pushed through, so it is computed once.
+    """
+    return F.explode(F.array(value))

@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pyarrow as pa
 from pyspark.sql import Column, functions as F, types as T
 
+from docketry.functions.binding import let
 from docketry.functions.text import strip
 
 _EXACT = "decimal(38,18)"
@@ -80,30 +81,28 @@ def text_score(predicted: Column, expected: Column) -> Column:
 
 # --- item lists --------------------------------------------------------------------
 
-def _best_match(name: str, price, candidates) -> float:
+def _best_match(item, candidates, known) -> float:
     """Best (name + price) / 2 over the candidates.
 
     The cheap upper bounds of the matcher skip candidates that cannot win, so
-    the result equals the full comparison.
+    the result equals the full comparison.  ``known`` keeps ratios of names
+    already compared in this batch.
     """
+    name, empty, *price = item
     best = 0.0
-    matcher = SequenceMatcher(None, autojunk=True)
-    for other, other_price in candidates:
+    for other, other_empty, *other_price in candidates:
         price_part = _price_part(price, other_price)
         if (1.0 + price_part) / 2 <= best:
             continue
-        if name == other:
-            name_part = 1.0
-        elif not name or not other:
-            name_part = 0.0
+        if empty or other_empty:
+            name_part = 1.0 if empty and other_empty else 0.0
+        elif (name, other) in known:
+            name_part = known[name, other]
         else:
-            low, low_other = name.lower().strip(), other.lower().strip()
-            matcher.set_seqs(low, low_other)
+            matcher = SequenceMatcher(None, name, other)
             if (matcher.real_quick_ratio() + price_part) / 2 <= best:
                 continue
-            if (matcher.quick_ratio() + price_part) / 2 <= best:
-                continue
-            name_part = matcher.ratio()
+            name_part = known[name, other] = matcher.ratio()
         best = max(best, (name_part + price_part) / 2)
         if best == 1.0:
             break
@@ -121,57 +120,65 @@ def _price_part(price, other) -> float:
 
 
 @F.arrow_udf(T.DoubleType())
-def _item_list_ratio(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    def listed(items):
-        return [(i["name"] or "", (i["priced"], i["price"])) for i in items]
+def _best_match_total(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Sum of the best matches of the predicted items of each row."""
 
-    def ratio(predicted, expected):
-        if predicted is None or expected is None:
-            return None
-        candidates = list(dict.fromkeys(listed(expected)))
-        known: dict = {}
-        total = 0.0
-        for item in listed(predicted):
-            if item not in known:
-                known[item] = _best_match(*item, candidates)
-            total += known[item]
-        return total / max(len(predicted), len(expected))
+    def listed(items):
+        return [(i["name"], i["empty"], i["priced"], i["price"]) for i in items]
 
     for predicted, expected in batches:
-        scores = map(ratio, predicted.to_pylist(), expected.to_pylist())
-        yield pa.array(list(scores), type=pa.float64())
+        known: dict = {}
+        totals = [
+            None
+            if p is None or e is None
+            else sum(_best_match(item, dict.fromkeys(listed(e)), known) for item in listed(p))
+            for p, e in zip(predicted.to_pylist(), expected.to_pylist(), strict=True)
+        ]
+        yield pa.array(totals, type=pa.float64())
 
 
 def items_score(predicted: Column, expected: Column) -> Column:
     """Every predicted item takes its best expected item, in any order.
 
     Two predicted items may take the same one.  Lists stay inside their row:
-    no pair of items is ever emitted.  Lists that agree item by item, or are
-    empty, are scored by the plan.
+    no pair of items is ever emitted.  Items that occur unchanged among the
+    expected ones are scored by the plan; only the others go to Python.
     """
 
     def comparable(items: Column) -> Column:
         return F.transform(
             items,
             lambda i: F.struct(
-                i["name"].alias("name"),
+                strip(F.lower(F.coalesce(i["name"], F.lit("")))).alias("name"),
+                (F.coalesce(i["name"], F.lit("")) == "").alias("empty"),
                 i["total_price"].isNotNull().alias("priced"),
                 i["total_price"].try_cast(_EXACT).alias("price"),
             ),
         )
 
-    def readable(items: Column) -> Column:
-        return F.forall(items, lambda i: ~i["priced"] | i["price"].isNotNull())
+    def unreadable(item: Column) -> Column:
+        return item["priced"] & item["price"].isNull()
+
+    def score(sides: Column) -> Column:
+        p, e = sides["p"], sides["e"]
+        return F.struct(
+            F.filter(p, lambda i: unreadable(i) | ~F.array_contains(e, i)).alias("rest"),
+            e.alias("e"),
+        )
 
     none_p = F.coalesce(F.size(predicted), F.lit(0)) <= 0
     none_e = F.coalesce(F.size(expected), F.lit(0)) <= 0
-    p, e = comparable(predicted), comparable(expected)
-    same = (p == e) & readable(p)
-    ask = ~none_p & ~none_e & ~F.coalesce(same, F.lit(False))
-    ratio = _item_list_ratio(F.when(ask, p), F.when(ask, e))
+    both = ~none_p & ~none_e
+    split = let(
+        F.struct(comparable(predicted).alias("p"), comparable(expected).alias("e")), score
+    )
+    split = F.when(both, split)
+    ask = F.size(split["rest"]) > 0
+    fuzzy = _best_match_total(F.when(ask, split["rest"]), F.when(ask, split["e"]))
+    exact = F.size(predicted) - F.size(split["rest"])
+    longest = F.greatest(F.size(predicted), F.size(expected))
     return (
         F.when(none_p & none_e, 1.0)
         .when(none_p | none_e, 0.0)
-        .when(F.coalesce(same, F.lit(False)), 1.0)
-        .otherwise(ratio)
+        .otherwise((exact + F.when(ask, fuzzy).otherwise(0.0)) / longest)
     )

@@ -11,13 +11,16 @@ from docketry.functions.binding import find, let
 
 # Unicode white space plus the four separators only Python counts as space.
 SPACE = r"[\s\x1c-\x1f]"
-_EDGES = rf"(?U)^{SPACE}+|{SPACE}+$"
+_SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 _RUNS = rf"(?U){SPACE}+"
 
 
 def strip(text: Column) -> Column:
     """Remove leading and trailing white space of any kind."""
-    return F.regexp_replace(text, _EDGES, "")
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def collapse_spaces(text: Column) -> Column:
@@ -32,7 +35,7 @@ def clean_text(text: Column) -> Column:
     leave double blanks behind; callers rely on that exact text.
     """
     flat = collapse_spaces(strip(F.coalesce(text, F.lit(""))))
-    no_bars = F.translate(flat, "|", " ")
+    no_bars = F.replace(flat, F.lit("|"), F.lit(" "))
     return strip(F.regexp_replace(no_bars, "_{2,}", " "))
 
 

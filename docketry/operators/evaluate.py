@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from docketry import fixed_values as fv
 from docketry.functions import scores as score
+from docketry.functions.binding import settled
 from docketry.functions.dates import date_score
 from docketry.functions.text import excerpt
 
@@ -144,7 +145,7 @@ def failures(scores: DataFrame, key: str = "request_id", limit: int = 10) -> Dat
     """First failing samples in key order with the fields scored below one half."""
     failed = F.array_compact(F.array(*[F.when(F.col(f) < FAILED, F.lit(f)) for f in fv.FIELDS]))
     return (
-        scores.withColumn("failed_fields", failed)
+        scores.select("*", settled(failed).alias("failed_fields"))
         .filter(F.size("failed_fields") > 0)
         .select(
             F.col(key).alias("sample"), "failed_fields",

@@ -31,7 +31,7 @@ def envelope_text(body: Column) -> Column:
             "",
         )
         return F.coalesce(
-            blank_to_null(either(older, "text", "content")), blank_to_null(text.strip(newer))
+            let(either(older, "text", "content"), blank_to_null), let(text.strip(newer), blank_to_null)
         )
 
     return let(F.from_json(body, _ENVELOPE), read)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from docketry.functions.binding import blank_to_null
+from docketry.functions.binding import blank_to_null, settled
 from docketry.functions.text import derived_request_id, strip
 
 ROUTE_METHOD = "POST"
@@ -124,7 +124,7 @@ def decode_requests(events: DataFrame) -> DataFrame:
         .when(F.col("reject_reason").isNotNull(), "client")
     )
     return (
-        typed.withColumn("reject_reason", reason)
+        typed.select("*", settled(reason).alias("reject_reason"))
         .withColumn("reject_kind", kind_of_reject)
         .select(
             request_id.alias("request_id"),

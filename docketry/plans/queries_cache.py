@@ -20,7 +20,7 @@ SPLIT = "2024-01-16 00:00:00"
 
 def api_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table wrapped as API events of both shapes, good and bad."""
-    events = table(spark, sf_dir, "events")
+    events = table(spark, sf_dir, "events", spread=True)
     way = F.col("event_id") % 12
     text = F.concat_ws(" ", F.lit("  Shop"), "event_type", F.lit("total:"), F.col("value").cast("string"), F.lit("\n"))
     currency = F.when(way == 7, "AUDX").when(F.col("event_id") % 5 == 0, "eur")
@@ -270,7 +270,7 @@ def _flow_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.length("event_type").cast("string"), F.lit(".50")),
         F.concat(F.lit("no"), F.col("user_id").cast("string")),
     )
-    return table(spark, sf_dir, "events").select(
+    return table(spark, sf_dir, "events", spread=True).select(
         F.col("event_id").cast("string").alias("request_id"),
         F.col("ts").cast("timestamp").alias("request_ts"),
         F.col("user_id").cast("string").alias("user_id"),

@@ -134,7 +134,7 @@ _SCORES_PER_SAMPLE = (
 
 def scores_amount_date_currency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three scores straight from two columns, without a join of samples."""
-    orders = table(spark, sf_dir, "orders").select(
+    orders = table(spark, sf_dir, "orders", spread=True).select(
         "o_orderkey",
         F.col("o_totalprice").cast("decimal(18,4)").cast("decimal(18,2)").alias("total"),
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"),
@@ -317,8 +317,15 @@ def results_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RESULTS_HISTORY = f"WITH {_RESULTS} SELECT test_name, run_ts, field, round(score, 9) AS score FROM results"
 
 
+def stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same results from a history table, written once and read often."""
+    history = f"{work_folder(spark, 'history')}/results"
+    datasets.append_results(run_results(spark, sf_dir), history)
+    return datasets.read_results(spark, history)
+
+
 def latest_result(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regress.latest_results(run_results(spark, sf_dir)).withColumn(
+    return regress.latest_results(stored_results(spark, sf_dir)).withColumn(
         "score", F.round("score", 9)
     )
 
@@ -340,7 +347,7 @@ def _baselines(results: DataFrame) -> DataFrame:
 
 
 def regression_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results = run_results(spark, sf_dir)
+    results = stored_results(spark, sf_dir)
     checks = regress.check_regressions(regress.latest_results(results), _baselines(results))
     return checks.select(
         "test_name", "has_regression", "message",
@@ -383,7 +390,7 @@ def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All tests in one job; the predictions of one test miss some samples."""
     predictions, truth = _pairs(spark, sf_dir)
     lost = F.col("test_name").startswith("1") & (F.col("order_key") % 100 == 3)
-    baselines = _baselines(run_results(spark, sf_dir))
+    baselines = _baselines(stored_results(spark, sf_dir))
     checks, _ = regress.run_batch_tests(predictions.filter(~lost), truth, baselines, 2002)
     return regress.batch_summary(checks)
 

@@ -164,7 +164,7 @@ SELECT {_FLAT.format(text="'Date: ' || d || chr(10) || receipt_text")},
 # --- noise -----------------------------------------------------------------------------
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return table(spark, sf_dir, "conversations", spread=True).select("conv_id", "turn", "text")
 
 
 _KEY = ["conv_id", "turn"]

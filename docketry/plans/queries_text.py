@@ -11,7 +11,7 @@ from docketry.sources.orders import line_price, order_lines, table, vendor_of
 
 
 def text_clean_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").select(
+    documents = table(spark, sf_dir, "documents", spread=True).select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text"
     )
     turns = table(spark, sf_dir, "conversations").select(
@@ -52,7 +52,7 @@ FROM documents
 
 
 def hash_dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicate_groups(clean_and_key(table(spark, sf_dir, "documents"), "text"), "doc_id")
+    return duplicate_groups(clean_and_key(table(spark, sf_dir, "documents", spread=True), "text"), "doc_id")
 
 
 _HASH_DUP_GROUPS = f"""
@@ -77,7 +77,7 @@ def _printed_date(style: Column, date: Column) -> Column:
 def date_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     printed = _printed_date(F.col("o_orderkey") % 14, F.col("o_orderdate"))
     return (
-        table(spark, sf_dir, "orders")
+        table(spark, sf_dir, "orders", spread=True)
         .select(F.col("o_orderkey").alias("order_key"), printed.alias("printed"))
         .select("order_key", dates.normalize_date(F.col("printed")).alias("iso_date"))
     )
@@ -104,7 +104,7 @@ def date_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit("no day given, call 555-1234"))
     )
     return (
-        table(spark, sf_dir, "orders")
+        table(spark, sf_dir, "orders", spread=True)
         .select(F.col("o_orderkey").alias("order_key"), sentence.alias("sentence"))
         .select("order_key", dates.date_from_text(F.col("sentence")).alias("iso_date"))
     )
@@ -118,7 +118,7 @@ FROM orders
 
 
 def amount_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", line_price().alias("p"))
+    lines = table(spark, sf_dir, "lineitem", spread=True).select("l_orderkey", line_price().alias("p"))
     style, p = F.col("l_orderkey") % 7, F.col("p")
     grouped = F.format_number(p, 2)
     printed = (

@@ -11,9 +11,28 @@ from docketry import fixed_values as fv
 from docketry.functions.amounts import MONEY, gst_exclusive_totals, items_total
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given parquet tables."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+SMALL_BYTES = 64 << 20
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """One of the given parquet tables.
+
+    ``spread`` is for row-by-row heavy work: a small file holds one row group
+    and would keep one core busy, so it is dealt out to all cores.  Files
+    beyond ``SMALL_BYTES`` have splits enough and are never shuffled for this.
+    """
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    rows = spark.read.parquet(path)
+    if spread and _bytes(spark, path) <= SMALL_BYTES:
+        return rows.repartition(spark.sparkContext.defaultParallelism)
+    return rows
+
+
+def _bytes(spark: SparkSession, path: str) -> int:
+    context = spark.sparkContext
+    location = context._jvm.org.apache.hadoop.fs.Path(path)
+    files = location.getFileSystem(context._jsc.hadoopConfiguration())
+    return files.getContentSummary(location).getLength()
 
 
 def line_price() -> Column:
@@ -36,7 +55,7 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``part`` is left to adaptive execution: broadcast only when it measures
     small, else a shuffle on the part key.
     """
-    lines = table(spark, sf_dir, "lineitem").select(
+    lines = table(spark, sf_dir, "lineitem", spread=True).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
         line_price().alias("price"), "l_shipdate",
     )

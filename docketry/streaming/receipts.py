@@ -10,6 +10,7 @@ from docketry import schemas
 from docketry.operators.cache import DEFAULT_TTL_SECONDS
 from docketry.operators.ingest import accepted, decode_requests, rejected
 
+_MARKED = ["request_id", "request_hash", "cache_status", "served_by"]
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -53,25 +54,26 @@ class _Entry(StatefulProcessor):
         self.entry = handle.getValueState("entry", "opened_by string, expires bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        held = self.entry.get() if self.entry.exists() else None
-        opened_by, expires = held if held is not None else (None, None)
+        opened_by, expires = held = self.entry.get() or (None, None)
         # rows of a micro-batch arrive unordered
         batch = pd.concat(list(rows)).sort_values(["second", "request_ts", "request_id"])
         out = []
-        for row in batch.itertuples(index=False):
-            miss = expires is None or row.second >= expires
+        for second, request_id in zip(batch["second"], batch["request_id"], strict=True):
+            miss = expires is None or second >= expires
             if miss:
-                opened_by, expires = row.request_id, int(row.second) + self.ttl
-            out.append((row.request_id, key[0], "miss" if miss else "hit", opened_by))
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
-        self.entry.update((opened_by, expires))
-        self.handle.registerTimer(expires * 1000)
-        yield pd.DataFrame(out, columns=["request_id", "request_hash", "cache_status", "served_by"])
+                opened_by, expires = request_id, int(second) + self.ttl
+            out.append((request_id, key[0], "miss" if miss else "hit", opened_by))
+        if (opened_by, expires) != held:
+            self.entry.update((opened_by, expires))
+            self.handle.registerTimer(expires * 1000)
+        yield pd.DataFrame(out, columns=_MARKED)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.entry.clear()
-        yield pd.DataFrame(columns=["request_id", "request_hash", "cache_status", "served_by"])
+        # a timer of an entry that was replaced meanwhile is ignored
+        held = self.entry.get()
+        if held is not None and held[1] * 1000 <= expiredTimerInfo.getExpiryTimeInMs():
+            self.entry.clear()
+        yield pd.DataFrame(columns=_MARKED)
 
     def close(self) -> None:
         pass
