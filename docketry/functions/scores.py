@@ -5,9 +5,9 @@ from decimal import Decimal
 from difflib import SequenceMatcher
 
 import pyarrow as pa
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from docketry.functions.binding import let
+from docketry.functions.binding import let, settled
 from docketry.functions.text import strip
 
 _EXACT = "decimal(38,18)"
@@ -137,12 +137,14 @@ def _best_match_total(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[
         yield pa.array(totals, type=pa.float64())
 
 
-def items_score(predicted: Column, expected: Column) -> Column:
-    """Every predicted item takes its best expected item, in any order.
+def with_items_score(rows: DataFrame, predicted: str, expected: str, name: str) -> DataFrame:
+    """Add the score of two item lists as column ``name``.
 
-    Two predicted items may take the same one.  Lists stay inside their row:
-    no pair of items is ever emitted.  Items that occur unchanged among the
-    expected ones are scored by the plan; only the others go to Python.
+    Every predicted item takes its best expected item, in any order; two may
+    take the same one.  Lists stay inside their row: no pair of items is ever
+    emitted.  Items that occur unchanged among the expected ones are scored by
+    the plan; only the others go to Python, as settled columns, since a Python
+    function over lambda expressions is not reliably planned.
     """
 
     def comparable(items: Column) -> Column:
@@ -159,26 +161,29 @@ def items_score(predicted: Column, expected: Column) -> Column:
     def unreadable(item: Column) -> Column:
         return item["priced"] & item["price"].isNull()
 
-    def score(sides: Column) -> Column:
+    def split(sides: Column) -> Column:
         p, e = sides["p"], sides["e"]
+        rest = F.filter(p, lambda i: unreadable(i) | ~F.array_contains(e, i))
+        ask = F.size(rest) > 0
         return F.struct(
-            F.filter(p, lambda i: unreadable(i) | ~F.array_contains(e, i)).alias("rest"),
-            e.alias("e"),
+            F.when(ask, rest).alias("rest"),
+            F.when(ask, e).alias("among"),
+            (F.size(p) - F.size(rest)).alias("exact"),
+            F.greatest(F.size(p), F.size(e)).alias("longest"),
         )
 
-    none_p = F.coalesce(F.size(predicted), F.lit(0)) <= 0
-    none_e = F.coalesce(F.size(expected), F.lit(0)) <= 0
-    both = ~none_p & ~none_e
-    split = let(
-        F.struct(comparable(predicted).alias("p"), comparable(expected).alias("e")), score
+    p, e = F.col(predicted), F.col(expected)
+    none_p = F.coalesce(F.size(p), F.lit(0)) <= 0
+    none_e = F.coalesce(F.size(e), F.lit(0)) <= 0
+    sides = F.struct(comparable(p).alias("p"), comparable(e).alias("e"))
+    staged = rows.select(
+        "*", settled(F.when(~none_p & ~none_e, let(sides, split))).alias("_sides")
     )
-    split = F.when(both, split)
-    ask = F.size(split["rest"]) > 0
-    fuzzy = _best_match_total(F.when(ask, split["rest"]), F.when(ask, split["e"]))
-    exact = F.size(predicted) - F.size(split["rest"])
-    longest = F.greatest(F.size(predicted), F.size(expected))
-    return (
+    fuzzy = _best_match_total(F.col("_sides.rest"), F.col("_sides.among"))
+    found = F.col("_sides.exact") + F.coalesce(fuzzy, F.lit(0.0))
+    score = (
         F.when(none_p & none_e, 1.0)
         .when(none_p | none_e, 0.0)
-        .otherwise((exact + F.when(ask, fuzzy).otherwise(0.0)) / longest)
+        .otherwise(found / F.col("_sides.longest"))
     )
+    return staged.withColumn(name, score).drop("_sides")

@@ -69,12 +69,11 @@ def with_scores(paired: DataFrame) -> DataFrame:
         "subtotal_amount": score.amount_score,
         "gst_amount": score.amount_score,
         "receipt_date": date_score,
-        "items": score.items_score,
         "currency": score.currency_score,
     }
-    return paired.select(
+    return score.with_items_score(paired, "predicted.items", "expected.items", "items").select(
         *[c for c in paired.columns if c not in ("predicted", "expected", "paired")],
-        *[by_field[f](p[f], e[f]).alias(f) for f in fv.FIELDS],
+        *[by_field[f](p[f], e[f]).alias(f) if f in by_field else F.col(f) for f in fv.FIELDS],
     )
 
 

@@ -196,11 +196,8 @@ SELECT p_partkey, CASE WHEN p_partkey % 8 = 1 THEN 1.0::DOUBLE
 def score_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     predictions, truth = _pairs(spark, sf_dir)
     paired = evaluate.pair_samples(predictions, truth)
-    return paired.select(
-        "request_id",
-        F.round(score.items_score(F.col("predicted.items"), F.col("expected.items")), 9)
-        .alias("items"),
-    )
+    scored = score.with_items_score(paired, "predicted.items", "expected.items", "items")
+    return scored.select("request_id", F.round("items", 9).alias("items"))
 
 
 _SCORE_ITEMS = f"WITH {_SCORES} SELECT request_id, round(items, 9) AS items FROM sc"

@@ -23,8 +23,10 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """Session for tests and the benchmark."""
+def local_session(
+    cpus: int | str = "*", shuffle_partitions: int = 8, **options: str
+) -> SparkSession:
+    """Session for tests and the benchmark; ``options`` by Spark key."""
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("docketry")
@@ -33,7 +35,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
-    for key, value in DEFAULTS.items():
+    for key, value in {**DEFAULTS, **options}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
