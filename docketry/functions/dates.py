@@ -88,10 +88,8 @@ def normalize_date(text: Column) -> Column:
 
 def date_from_text(text: Column) -> Column:
     """First recognisable date in free text, as ISO string."""
-    finds = [
-        normalize_date(find(text, "(?iU)" + p)) for p in fv.TEXT_DATE_PATTERNS
-    ]
-    return F.coalesce(*finds)
+    finds = F.array(*[find(text, "(?iU)" + p) for p in fv.TEXT_DATE_PATTERNS])
+    return F.get(F.array_compact(F.transform(finds, normalize_date)), F.lit(0))
 
 
 def fallback_date(text: Column) -> Column:

@@ -93,10 +93,19 @@ def fallback_vendor(text: Column, word_boundary: bool = False) -> Column:
     The published pattern has no boundary before ``from|at`` ("Flat White"
     gives "White"); ``word_boundary=True`` adds it.
     """
-    patterns = list(fv.VENDOR_PATTERNS)
+    flags = "(?imuU)"
+    phrase, header, labelled = fv.VENDOR_PATTERNS
     if word_boundary:
-        patterns[0] = r"\b" + patterns[0]
-    return strip(first_group(text, patterns, "(?imuU)"))
+        phrase = r"\b" + phrase
+    # the last pattern backtracks through every run of letters, so it is tried
+    # only where the word it ends in occurs
+    has_label = F.rlike(text, F.lit(flags + r"\s(?:receipt|invoice)"))
+    found = F.coalesce(
+        find(text, flags + phrase, 1),
+        find(text, flags + header, 1),
+        F.when(has_label, find(text, flags + labelled, 1)),
+    )
+    return strip(found)
 
 
 def excerpt(text: Column, length: int = 100) -> Column:

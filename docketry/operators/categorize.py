@@ -42,27 +42,33 @@ def search_text(vendor: Column, items: Column, text: Column) -> Column:
     return F.lower(F.concat_ws(" ", F.coalesce(vendor, F.lit("")), names, text))
 
 
-def best_category(text: Column, rules: dict[str, list[str]] | None = None) -> Column:
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def best_category(text: str, rules: dict[str, list[str]] | None = None) -> Column:
     """Struct ``n, place, category, keywords`` of the category with most keywords.
 
-    Keywords count once, as substrings; ties go to the earlier category.  The
-    catalogue is part of the expression: no join, no explode.
+    Keywords count once, as substrings of the column named ``text``; ties go to
+    the earlier category.  The catalogue is part of the expression: no join, no
+    explode.  It is written as SQL because one call per keyword and function
+    would cost more driver time than planning the query.
     """
 
-    def evidence(place: int, category: str, keywords: list[str]) -> Column:
-        hits = F.array_compact(
-            F.array(*[F.when(F.contains(text, F.lit(k.lower())), F.lit(k)) for k in keywords])
+    def evidence(place: int, category: str, keywords: list[str]) -> str:
+        hits = ", ".join(
+            f"if(contains({text}, {_sql_text(k.lower())}), {_sql_text(k)}, null)" for k in keywords
         )
-        return F.struct(
-            F.size(hits).alias("n"),
-            F.lit(-place).alias("place"),
-            F.lit(category).alias("category"),
-            hits.alias("keywords"),
+        return (
+            f"struct({-place} as place, {_sql_text(category)} as category, "
+            f"array_compact(array({hits})) as keywords)"
         )
 
     catalogue = fv.CATEGORY_KEYWORDS if rules is None else rules
-    return F.array_max(
-        F.array(*[evidence(i, c, kws) for i, (c, kws) in enumerate(catalogue.items())])
+    found = ", ".join(evidence(i, c, kws) for i, (c, kws) in enumerate(catalogue.items()))
+    return F.expr(
+        f"array_max(transform(array({found}), c -> struct("
+        "size(c.keywords) as n, c.place as place, c.category as category, c.keywords as keywords)))"
     )
 
 
@@ -82,7 +88,7 @@ def categorize(
         receipts.withColumn(
             "_search", search_text(F.col("vendor"), F.col("items"), F.col(text_col))
         )
-        .withColumn("_best", best_category(F.col("_search"), rules))
+        .withColumn("_best", best_category("_search", rules))
         .withColumn("_by_rules", F.least(F.col("_best.n") * F.lit(0.3), F.lit(1.0)))
     )
     best = F.col("_best")

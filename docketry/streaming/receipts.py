@@ -56,9 +56,15 @@ class _Entry(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
         opened_by, expires = held = self.entry.get() or (None, None)
         # rows of a micro-batch arrive unordered
-        batch = pd.concat(list(rows)).sort_values(["second", "request_ts", "request_id"])
+        ordered = sorted(
+            row
+            for frame in rows
+            for row in zip(
+                frame["second"], frame["request_ts"], frame["request_id"], strict=True
+            )
+        )
         out = []
-        for second, request_id in zip(batch["second"], batch["request_id"], strict=True):
+        for second, _, request_id in ordered:
             miss = expires is None or second >= expires
             if miss:
                 opened_by, expires = request_id, int(second) + self.ttl
