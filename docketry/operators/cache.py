@@ -53,7 +53,8 @@ def _fold(ttl_seconds: int, chunk_rows: int):
                 if key != current:
                     current, expiry, entry = key, None, None
                 if first_id is None:
-                    expiry, entry, served = int(ttl), (key, None, True), 0
+                    expiry = int(ttl) if expiry is None else max(expiry, int(ttl))
+                    entry, served = (key, None, True), 0
                     continue
                 second = int(second)
                 if expiry is None or second >= expiry:
@@ -100,7 +101,7 @@ def ttl_dedupe(
         )
     )
     if cache is not None:
-        held = cache.groupBy("request_hash").agg(F.max("ttl").alias("_ttl"))
+        held = cache.select("request_hash", F.col("ttl").alias("_ttl"))
         seconds = seconds.unionByName(held, allowMissingColumns=True)
     folded = (
         seconds.repartition("request_hash")
