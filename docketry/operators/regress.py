@@ -100,24 +100,31 @@ def check_regressions(current: DataFrame, baselines: DataFrame) -> DataFrame:
     )
 
 
-def run_batch_tests(
-    predictions: DataFrame, truth: DataFrame, baselines: DataFrame, run_ts: int
+def evaluate_tests(
+    predictions: DataFrame, truth: DataFrame, run_ts: int
 ) -> tuple[DataFrame, DataFrame]:
-    """(checks, results) for all tests of the tables, in one job.
+    """(results, errors) for all tests of two tables that carry ``test_name``.
 
-    Both tables carry ``test_name``.  A test whose samples do not pair up gets
-    an error row and leaves the others untouched.
+    A test whose samples do not pair up gets an error row and leaves the
+    others untouched.
     """
     paired = pair_samples(predictions, truth, ("test_name", "request_id"))
-    broken = (
+    errors = (
         paired.groupBy("test_name")
         .agg(F.count_if(~F.col("paired")).alias("unpaired"))
         .filter(F.col("unpaired") > 0)
         .select("test_name", F.lit(UNPAIRED).alias("error"))
     )
-    sound = paired.join(broken, "test_name", "left_anti")
-    results = results_of(with_scores(sound), run_ts)
-    checks = check_regressions(results, baselines).unionByName(broken, allowMissingColumns=True)
+    sound = paired.join(errors, "test_name", "left_anti")
+    return results_of(with_scores(sound), run_ts), errors
+
+
+def run_batch_tests(
+    predictions: DataFrame, truth: DataFrame, baselines: DataFrame, run_ts: int
+) -> tuple[DataFrame, DataFrame]:
+    """(checks, results) for all tests of the tables, in one job."""
+    results, errors = evaluate_tests(predictions, truth, run_ts)
+    checks = check_regressions(results, baselines).unionByName(errors, allowMissingColumns=True)
     return checks, results
 
 

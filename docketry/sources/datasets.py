@@ -45,6 +45,13 @@ def write_records(records: DataFrame, path: str, format_type: str = "jsonl") ->
         raise ValueError(f"Unsupported format: {format_type}")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table has been written to ``path``."""
+    context = spark.sparkContext
+    location = context._jvm.org.apache.hadoop.fs.Path(path)
+    return location.getFileSystem(context._jsc.hadoopConfiguration()).exists(location)
+
+
 def append_results(results: DataFrame, path: str) -> None:
     """Add runs to the history, partitioned by test."""
     results.write.mode("append").partitionBy("test_name").parquet(path)
@@ -52,6 +59,8 @@ def append_results(results: DataFrame, path: str) -> None:
 
 def read_results(spark: SparkSession, path: str, test_name: str | None = None) -> DataFrame:
     """History or baselines; a test name prunes to its partition."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schemas.RESULTS)
     rows = spark.read.schema(schemas.RESULTS).parquet(path)
     return rows if test_name is None else rows.filter(F.col("test_name") == test_name)
 

@@ -420,3 +420,47 @@ def test_late_requests_are_found(spark):
     ingested = spark.createDataFrame([("1",), ("2",)], "request_id string")
     answered = ingested.filter("request_id = '1'")
     assert [r.request_id for r in streaming.late_requests(ingested, answered).collect()] == ["2"]
+
+
+# --- the evaluation and regression flows over files ---------------------------------------
+
+def test_regression_flow_keeps_history_and_baselines(spark, tmp_path):
+    from docketry.plans import regression
+
+    folder = str(tmp_path / "runs")
+    truth = samples(spark, ["1", "2", "3"])
+    worse = samples(spark, ["1", "2", "3"], total_amount="9.00")
+    assert regression.run_tests(truth, truth, folder, 1).first().message == "New baseline created"
+    assert regression.run_tests(truth, truth, folder, 2).first().message == "No regression detected"
+    checks = regression.run_tests(worse, truth, folder, 3)
+    assert checks.first().has_regression
+    totals = regression.batch_report(checks, str(tmp_path / "batch")).first()
+    assert (totals.total_tests, totals.failed_tests) == (1, 1)
+    regression.update_baseline(spark, folder, "test")
+    assert {r.run_ts for r in datasets.read_results(spark, f"{folder}/baselines").collect()} == {3}
+    regression.update_baseline(spark, folder, "unknown")
+    again = regression.run_tests(worse, truth, folder, 4).first()
+    assert not again.has_regression
+    assert datasets.read_results(spark, f"{folder}/history", "test").select("run_ts").distinct().count() == 4
+
+
+def test_evaluation_of_files(spark, tmp_path):
+    from docketry.plans import evaluation
+
+    truth, predictions = tmp_path / "t.jsonl", tmp_path / "p.json"
+    output = {"vendor": "Coles", "receipt_date": "2024-01-05", "total_amount": 11.0, "gst_amount": 1.0,
+              "subtotal_amount": 10.0, "items": [{"name": "Milk", "total_price": "10.00"}],
+              "currency": "AUD", "category": "Food"}
+    truth.write_text("\n".join(json.dumps({"request_id": str(i), "expected_output": output}) for i in range(3)))
+    flat = [{"request_id": str(i), "receipt_text": "x" * 150, **output, "total_amount": 11.0 if i else 50} for i in range(3)]
+    predictions.write_text(json.dumps(flat))
+    path = str(tmp_path / "report")
+    parts = evaluation.evaluate_files(spark, str(predictions), str(truth), path)
+    assert parts.overall.first().total_samples == 3
+    assert parts.overall.first().overall_score == pytest.approx(1 - 0.25 / 3)
+    failed = parts.failures.collect()
+    assert [(f.sample, f.failed_fields, f.receipt_text) for f in failed] == [("0", ["total_amount"], "x" * 100 + "...")]
+    assert spark.read.parquet(f"{path}/summary").count() == 9
+    none = samples(spark, [])
+    with pytest.raises(Exception, match="must be loaded"):
+        evaluation.report(none, none).overall.collect()
