@@ -96,6 +96,8 @@ def _best_match(item, candidates, known) -> float:
             continue
         if empty or other_empty:
             name_part = 1.0 if empty and other_empty else 0.0
+        elif name == other:
+            name_part = 1.0
         elif (name, other) in known:
             name_part = known[name, other]
         else:
@@ -158,16 +160,20 @@ def with_items_score(rows: DataFrame, predicted: str, expected: str, name: str)
             ),
         )
 
-    def unreadable(item: Column) -> Column:
-        return item["priced"] & item["price"].isNull()
+    def unchanged(item: Column, among: Column) -> Column:
+        readable = item["total_price"].isNull() | item["total_price"].try_cast(_EXACT).isNotNull()
+        return readable & F.exists(
+            among,
+            lambda other: other["name"].eqNullSafe(item["name"])
+            & other["total_price"].eqNullSafe(item["total_price"]),
+        )
 
-    def split(sides: Column) -> Column:
-        p, e = sides["p"], sides["e"]
-        rest = F.filter(p, lambda i: unreadable(i) | ~F.array_contains(e, i))
+    def split(rest: Column) -> Column:
+        # amounts are read and names prepared only for lists that need comparing
         ask = F.size(rest) > 0
         return F.struct(
-            F.when(ask, rest).alias("rest"),
-            F.when(ask, e).alias("among"),
+            F.when(ask, comparable(rest)).alias("rest"),
+            F.when(ask, comparable(e)).alias("among"),
             (F.size(p) - F.size(rest)).alias("exact"),
             F.greatest(F.size(p), F.size(e)).alias("longest"),
         )
@@ -175,9 +181,9 @@ def with_items_score(rows: DataFrame, predicted: str, expected: str, name: str)
     p, e = F.col(predicted), F.col(expected)
     none_p = F.coalesce(F.size(p), F.lit(0)) <= 0
     none_e = F.coalesce(F.size(e), F.lit(0)) <= 0
-    sides = F.struct(comparable(p).alias("p"), comparable(e).alias("e"))
+    rest = F.filter(p, lambda item: ~unchanged(item, e))
     staged = rows.select(
-        "*", settled(F.when(~none_p & ~none_e, let(sides, split))).alias("_sides")
+        "*", settled(F.when(~none_p & ~none_e, let(rest, split))).alias("_sides")
     )
     fuzzy = _best_match_total(F.col("_sides.rest"), F.col("_sides.among"))
     found = F.col("_sides.exact") + F.coalesce(fuzzy, F.lit(0.0))
