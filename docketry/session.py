@@ -1,6 +1,5 @@
 """Session defaults and the shared working folder."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -42,12 +41,10 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder for written tables and streaming state.
 
     It lies under ``spark.checkpoint.dir``, which a cluster sets to shared
-    storage.  Only a local session without that setting uses a temporary
-    folder.
+    storage.  Where that is unset, it lies in the warehouse, which driver and
+    executors share as well.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder")
-        root = tempfile.mkdtemp(prefix="docketry-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or (
+        f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.work"
+    )
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
