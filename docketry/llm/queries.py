@@ -1,8 +1,9 @@
 """One query for each corpus operator over its whole table, with check SQL."""
 
-from docketry.llm import q_sharding, q_urls
+from docketry.llm import q_bpe, q_sharding, q_urls
 
 QUERIES = {
     "op1_url_filter": (q_urls.query, q_urls.SQL),
     "op2_sharding": (q_sharding.query, q_sharding.SQL),
+    "op9_bpe": (q_bpe.query, q_bpe.SQL),
 }
