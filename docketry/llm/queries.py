@@ -1,10 +1,11 @@
 """One query for each corpus operator over its whole table, with check SQL."""
 
-from docketry.llm import q_bpe, q_quality, q_sharding, q_urls
+from docketry.llm import q_bpe, q_near, q_quality, q_sharding, q_urls
 
 QUERIES = {
     "op1_url_filter": (q_urls.query, q_urls.SQL),
     "op2_sharding": (q_sharding.query, q_sharding.SQL),
+    "op6_near_dedup": (q_near.query, q_near.SQL),
     "op9_bpe": (q_bpe.query, q_bpe.SQL),
     "op10_quality": (q_quality.query, q_quality.SQL),
 }
