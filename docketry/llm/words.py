@@ -131,3 +131,11 @@ def runs_inside(row: np.ndarray, size: int) -> np.ndarray:
         return np.zeros(0, dtype=bool)
     left = np.repeat(row[1:], np.diff(row))[:n]
     return np.arange(n) + size <= left
+
+
+def span_hashes(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each run of word hashes ``begin`` (included) to ``end`` (excluded)."""
+    total = np.zeros(len(hashes) + 1, dtype=np.uint64)
+    np.cumsum(hashes * _powers(_BASE, len(hashes)), out=total[1:])
+    value = (total[end] - total[begin]) * _powers(_INVERSE, len(hashes) + 1)[begin]
+    return mix(value + (end - begin).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
