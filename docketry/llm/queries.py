@@ -1,12 +1,13 @@
 """One query for each corpus operator over its whole table, with check SQL."""
 
-from docketry.llm import q_bpe, q_near, q_quality, q_sharding, q_substring, q_urls
+from docketry.llm import q_bpe, q_near, q_quality, q_sharding, q_substring, q_topk, q_urls
 
 QUERIES = {
     "op1_url_filter": (q_urls.query, q_urls.SQL),
     "op2_sharding": (q_sharding.query, q_sharding.SQL),
     "op5_substring_dedup": (q_substring.query, q_substring.SQL),
     "op6_near_dedup": (q_near.query, q_near.SQL),
+    "op8_topk": (q_topk.query, q_topk.SQL),
     "op9_bpe": (q_bpe.query, q_bpe.SQL),
     "op10_quality": (q_quality.query, q_quality.SQL),
 }
