@@ -1,11 +1,12 @@
 """One query for each corpus operator over its whole table, with check SQL."""
 
-from docketry.llm import q_bpe, q_lm, q_near, q_quality, q_sharding, q_substring, q_topk, q_urls
+from docketry.llm import q_bpe, q_lm, q_near, q_pii, q_quality, q_sharding, q_substring, q_topk, q_urls
 
 QUERIES = {
     "op1_url_filter": (q_urls.query, q_urls.SQL),
     "op2_sharding": (q_sharding.query, q_sharding.SQL),
     "op3_lm_score": (q_lm.query, q_lm.SQL),
+    "op4_pii": (q_pii.query, q_pii.SQL),
     "op5_substring_dedup": (q_substring.query, q_substring.SQL),
     "op6_near_dedup": (q_near.query, q_near.SQL),
     "op8_topk": (q_topk.query, q_topk.SQL),
