@@ -13,16 +13,18 @@ on the data.  Words and pairs are remembered up to a fixed number, then the
 memory is emptied; that changes the time, never the result.
 """
 
+import hashlib
 import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from docketry.llm.frames import named, slices, small_batches
@@ -41,13 +43,15 @@ class Vocabulary:
     special: dict[str, int]
     pattern: str
     end: str
+    key: str  # hash of the file
 
     @staticmethod
     def read(path: str) -> "Vocabulary":
         """A ``tokenizers`` file with NFC, lower case, a split pattern whose
         matches are kept, byte letters and an end-of-word mark."""
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
+        with open(path, "rb") as file:
+            content = file.read()
+        spec = json.loads(content)
         model = spec["model"]
         steps = [n["type"] for n in spec["normalizer"]["normalizers"]]
         split = spec["pre_tokenizer"]["pretokenizers"][0]
@@ -59,6 +63,7 @@ class Vocabulary:
             {t["content"]: t["id"] for t in spec["added_tokens"]},
             split["pattern"]["Regex"],
             model["end_of_word_suffix"] or "",
+            hashlib.sha256(content).hexdigest(),
         )
 
     def tokens(self) -> list[str]:
@@ -78,33 +83,68 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in set(plain) else chr(next(spare)) for b in range(256)]
 
 
-def merged(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
-    """Exact BPE: again and again the leftmost pair of the lowest rank."""
-    parts = list(symbols)
-    after = list(range(1, len(parts) + 1))
-    before = list(range(-1, len(parts) - 1))
-    queue = [
-        (ranks[pair], at, pair)
-        for at, pair in enumerate(zip(parts, parts[1:]))
-        if pair in ranks
-    ]
-    heapq.heapify(queue)
-    while queue:
-        _, at, pair = heapq.heappop(queue)
-        then = after[at] if parts[at] else len(parts)
-        if then >= len(parts) or (parts[at], parts[then]) != pair:
-            continue
-        parts[at] += parts[then]
-        parts[then] = ""
-        after[at] = after[then]
-        if after[at] < len(parts):
-            before[after[at]] = at
-        for left in (before[at], at):
-            if left >= 0 and after[left] < len(parts):
-                near = (parts[left], parts[after[left]])
-                if near in ranks:
-                    heapq.heappush(queue, (ranks[near], left, near))
-    return [p for p in parts if p]
+class Merger:
+    """Exact BPE over token ids: again and again the leftmost pair of the lowest rank."""
+
+    NONE = 1 << 60
+    #: Pieces up to this length are scanned for the lowest rank, longer ones keep a queue.
+    SCANNED = 128
+
+    def __init__(self, vocabulary: Vocabulary):
+        ids = vocabulary.token_ids
+        self.made = [0] * len(vocabulary.ranks)
+        self.rank = {}
+        for (left, right), rank in vocabulary.ranks.items():
+            self.made[rank] = ids[left + right]
+            self.rank[ids[left] << 32 | ids[right]] = rank
+
+    def __call__(self, ids: list[int]) -> list[int]:
+        return self._scan(list(ids)) if len(ids) <= self.SCANNED else self._queue(ids)
+
+    def _scan(self, ids: list[int]) -> list[int]:
+        get, none = self.rank.get, self.NONE
+        ranks = [get(a << 32 | b, none) for a, b in zip(ids, ids[1:])]
+        while ranks:
+            low = min(ranks)
+            if low == none:
+                break
+            at = ranks.index(low)
+            ids[at : at + 2] = [self.made[low]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = get(ids[at - 1] << 32 | ids[at], none)
+            if at < len(ranks):
+                ranks[at] = get(ids[at] << 32 | ids[at + 1], none)
+        return ids
+
+    def _queue(self, ids: list[int]) -> list[int]:
+        parts: list[int | None] = list(ids)
+        size, get = len(parts), self.rank.get
+        after = list(range(1, size + 1))
+        before = list(range(-1, size - 1))
+        queue = []
+
+        def offer(at: int) -> None:
+            key = parts[at] << 32 | parts[after[at]]
+            rank = get(key)
+            if rank is not None:
+                heapq.heappush(queue, (rank, at, key))
+
+        for at in range(size - 1):
+            offer(at)
+        while queue:
+            rank, at, key = heapq.heappop(queue)
+            then = after[at]
+            if parts[at] is None or then >= size or parts[at] << 32 | parts[then] != key:
+                continue
+            parts[at], parts[then] = self.made[rank], None
+            after[at] = after[then]
+            if after[at] < size:
+                before[after[at]] = at
+                offer(at)
+            if before[at] >= 0:
+                offer(before[at])
+        return [p for p in parts if p is not None]
 
 
 class Encoder:
@@ -115,9 +155,8 @@ class Encoder:
         self.names = v.tokens()
         self.size = len(self.names)
         self.letters = byte_letters()
-        self.table = {chr(b): letter for b, letter in enumerate(self.letters)}
-        self.table = str.maketrans(self.table)
-        self.longest = max(map(len, v.token_ids), default=1)
+        self.table = str.maketrans({chr(b): letter for b, letter in enumerate(self.letters)})
+        self.merge = Merger(v)
         # Tokens of one length and beginning: a proposal looks only at lengths that exist.
         reach: dict[str, set[int]] = {}
         for token in v.token_ids:
@@ -129,10 +168,21 @@ class Encoder:
         )
         self.pair_ok: dict[int, bool] = {}
         self.piece_ids: dict[str, tuple[int, ...]] = {}
+        self.word_ids: dict[str, tuple[int, ...]] = {}
         self.exact = 0  # pieces that needed exact merging
 
     def pieces(self, word: str) -> list[str | int]:
         """The pieces of a word in byte letters; special tokens as ids."""
+        if word.isascii():
+            # The pattern keeps letters together and a mark at the end apart.
+            if word.isalpha():
+                return [word.lower()]
+            if word[-1] in ".,;:!?" and word[:-1].isalpha():
+                return [word[:-1].lower(), word[-1]]
+        elif word.isalpha() and "Σ" not in word and unicodedata.is_normalized("NFC", word):
+            low = word.lower()
+            if low.isalpha():
+                return [low.encode().decode("latin-1").translate(self.table)]
         found: list[str | int] = []
         parts = self.specials.split(word) if self.specials else [word]
         for n, part in enumerate(parts):
@@ -146,8 +196,9 @@ class Encoder:
                     found.append(piece.encode().decode("latin-1").translate(self.table))
         return found
 
-    def symbols(self, piece: str) -> list[str]:
-        return [*piece[:-1], piece[-1] + self.vocabulary.end]
+    def symbols(self, piece: str) -> list[int]:
+        ids = self.vocabulary.token_ids
+        return [*map(ids.__getitem__, piece[:-1]), ids[piece[-1] + self.vocabulary.end]]
 
     def propose(self, piece: str) -> list[int]:
         """Greedy longest match."""
@@ -170,26 +221,22 @@ class Encoder:
                 raise ValueError(f"no token for {piece[at]!r}")
         return out
 
-    def exactly(self, symbols: list[str]) -> list[int]:
-        ids = self.vocabulary.token_ids
-        return [ids[part] for part in merged(symbols, self.vocabulary.ranks)]
-
-    def _token_symbols(self, token: int) -> list[str]:
+    def _token_symbols(self, token: int) -> list[int]:
         name, end = self.names[token], self.vocabulary.end
         if end and name.endswith(end) and len(name) > len(end):
             return self.symbols(name.removesuffix(end))
-        return list(name)
+        return [self.vocabulary.token_ids[letter] for letter in name]
 
     def _stays(self, key: int) -> bool:
         """Whether a pair (or, with second part ``size``, a single token) merges to itself."""
         left, right = divmod(key, self.size + 1)
         tokens = [left] if right == self.size else [left, right]
-        return self.exactly([s for t in tokens for s in self._token_symbols(t)]) == tokens
+        return self.merge([s for t in tokens for s in self._token_symbols(t)]) == tokens
 
     def verify(self, proposals: list[list[int]]) -> np.ndarray:
         """For each proposal whether it is what merging gives."""
-        sizes = np.array([len(p) for p in proposals], dtype=np.int64)
-        flat = np.fromiter((t for p in proposals for t in p), dtype=np.int64, count=int(sizes.sum()))
+        sizes = np.fromiter(map(len, proposals), dtype=np.int64, count=len(proposals))
+        flat = np.fromiter(chain.from_iterable(proposals), dtype=np.int64, count=int(sizes.sum()))
         owner = np.repeat(np.arange(len(sizes)), sizes)
         last = np.ones(len(flat), dtype=bool)
         last[:-1] = owner[1:] != owner[:-1]
@@ -215,28 +262,35 @@ class Encoder:
 
     def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
         """The ids of each word."""
-        cut = [self.pieces(w) for w in words]
+        if len(self.word_ids) > REMEMBERED:
+            self.word_ids.clear()
         if len(self.piece_ids) > REMEMBERED:
             self.piece_ids.clear()
-        new = list({p for c in cut for p in c if isinstance(p, str)} - self.piece_ids.keys())
+        known, ids = self.word_ids, self.piece_ids
+        cut = {w: self.pieces(w) for w in words if w not in known}
+        new = list({p for c in cut.values() for p in c if p not in ids and isinstance(p, str)})
         proposals = [self.propose(p) for p in new]
         for piece, tokens, good in zip(new, proposals, self.verify(proposals).tolist()):
             if not good:
                 self.exact += 1
-                tokens = self.exactly(self.symbols(piece))
-            self.piece_ids[piece] = tuple(tokens)
-        ids = self.piece_ids
-        return [
-            tuple(t for p in c for t in (ids[p] if isinstance(p, str) else (p,))) for c in cut
-        ]
+                tokens = self.merge(self.symbols(piece))
+            ids[piece] = tuple(tokens)
+        for word, parts in cut.items():
+            if len(parts) == 1 and isinstance(parts[0], str):
+                known[word] = ids[parts[0]]
+            else:
+                known[word] = tuple(
+                    t for p in parts for t in (ids[p] if isinstance(p, str) else (p,))
+                )
+        return [known[w] for w in words]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's begin."""
         words = cut_words(texts)
         _, first, back = np.unique(word_hashes(words), return_index=True, return_inverse=True)
-        coded = self.encode_words([words.text(n) for n in first.tolist()])
-        sizes = np.array([len(c) for c in coded], dtype=np.int64)
-        flat = np.fromiter((t for c in coded for t in c), dtype=np.int32, count=int(sizes.sum()))
+        coded = self.encode_words(words.texts(first))
+        sizes = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
+        flat = np.fromiter(chain.from_iterable(coded), dtype=np.int32, count=int(sizes.sum()))
         starts = np.cumsum(sizes) - sizes
         each = sizes[back]
         ends = np.cumsum(each)
@@ -248,13 +302,31 @@ class Encoder:
     def decode(self, ids: np.ndarray) -> str:
         """Token texts with blanks between; ids outside the vocabulary are left out."""
         names = self.names
-        return " ".join([names[i] for i in ids.tolist() if 0 <= i < self.size and names[i]])
+        if len(ids) and (ids.min() < 0 or ids.max() >= self.size):
+            ids = ids[(ids >= 0) & (ids < self.size)]
+        return " ".join(filter(None, map(names.__getitem__, ids.tolist())))
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(broadcast) -> Encoder:
+    """The worker's encoder, which keeps what it remembers from task to task."""
+    if broadcast.value.key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[broadcast.value.key] = Encoder(broadcast.value)
+    return _ENCODERS[broadcast.value.key]
 
 
 def encode(
-    docs: DataFrame, vocabulary_path: str, text: str = "text", ids: str = "ids"
+    docs: DataFrame,
+    vocabulary_path: str,
+    text: str = "text",
+    ids: str = "ids",
+    packed: bool = False,
 ) -> DataFrame:
-    """``docs`` with the token ids of the whole text as ``array<int>``.
+    """``docs`` with the token ids of the whole text as ``array<int>``, or
+    ``packed`` as BINARY of little-endian unsigned 32-bit numbers.
 
     NULL and empty texts have no ids.  Special tokens in a text become their
     ids.  Texts of any length are taken whole.  All other columns stay as they
@@ -265,22 +337,36 @@ def encode(
     small_batches(spark)
     vocabulary = spark.sparkContext.broadcast(Vocabulary.read(vocabulary_path))
     rows = docs.select(*[named(c) for c in docs.columns if c.lower() != ids.lower()])
-    schema = T.StructType([*rows.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*rows.schema.fields, T.StructField(ids, T.BinaryType() if packed else T.ArrayType(T.IntegerType()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary.value)
+        encoder = encoder_of(vocabulary)
         for batch in slices(batches, text):
             flat, bounds = encoder.encode(batch.column(text))
-            made = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))
+            if packed:
+                ends, data = (bounds * 4).astype(np.int32), flat.astype("<u4")
+                made = pa.BinaryArray.from_buffers(
+                    pa.binary(), len(bounds) - 1, [None, pa.py_buffer(ends), pa.py_buffer(data)]
+                )
+            else:
+                made = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, ids])
 
     return rows.mapInArrow(work, schema)
 
 
+def numbers(ids: pa.Scalar) -> np.ndarray:
+    """The ids in one cell, packed or not."""
+    if isinstance(ids, pa.BinaryScalar):
+        return np.frombuffer(ids.as_buffer(), dtype="<u4").astype(np.int64)
+    return ids.values.to_numpy()
+
+
 def decode(
     docs: DataFrame, vocabulary_path: str, ids: str = "ids", text: str = "decoded"
 ) -> DataFrame:
-    """``docs`` with the text of their ids, tokens separated by blanks.
+    """``docs`` with the text of their ids, tokens separated by blanks;
+    both forms of ids are read.
 
     NULL ids give an empty text.  A column already named as the result is
     replaced, all others stay.
@@ -291,18 +377,11 @@ def decode(
     schema = T.StructType([*rows.schema.fields, T.StructField(text, T.StringType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary.value)
+        encoder = encoder_of(vocabulary)
         for batch in slices(batches, ids):
-            made = [encoder.decode(x.values.to_numpy()) if x.is_valid else "" for x in batch.column(ids)]
+            made = [encoder.decode(numbers(x)) if x.is_valid else "" for x in batch.column(ids)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(made, pa.string())], [*batch.schema.names, text]
             )
 
     return rows.mapInArrow(work, schema)
-
-
-def ids_sha256(ids: Column) -> Column:
-    """SHA-256 of the ids as little-endian 32-bit numbers, in Spark's own functions."""
-    big = F.transform(ids, lambda n: F.lpad(F.hex(n), 8, "0"))
-    little = F.regexp_replace(F.array_join(big, ""), "(..)(..)(..)(..)", "$4$3$2$1")
-    return F.sha2(F.unhex(F.coalesce(little, F.lit(""))), 256)

@@ -228,7 +228,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                 turn = np.flatnonzero(np.diff(np.concatenate([[0], out.view(np.int8), [0]])))
                 runs.append([{"first": int(x), "last": int(y) - 1} for x, y in zip(turn[::2], turn[1::2])])
                 left = np.flatnonzero(~out) + a
-                kept.append(" ".join(map(words.text, left.tolist())))
+                kept.append(" ".join(words.texts(left)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(count, pa.int64()), pa.array(removed, pa.int64()),
                  pa.array(runs, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))),

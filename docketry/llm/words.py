@@ -33,8 +33,16 @@ class Words(NamedTuple):
     def text(self, word: int) -> str:
         return self.data[self.start[word] : self.end[word]].tobytes().decode()
 
-    def bytes(self, word: int) -> bytes:
-        return self.data[self.start[word] : self.end[word]].tobytes()
+    def texts(self, which: np.ndarray) -> list[str]:
+        """The words with these numbers; a line feed is in none of them."""
+        if not len(which):
+            return []
+        size = self.end[which] - self.start[which] + 1
+        ends = np.cumsum(size)
+        at = np.arange(int(ends[-1])) + np.repeat(self.start[which] - ends + size, size)
+        data = self.data[np.minimum(at, len(self.data) - 1)]
+        data[ends - 1] = 10
+        return data[:-1].tobytes().decode().split("\n")
 
     def owner(self) -> np.ndarray:
         """The text of each word."""
