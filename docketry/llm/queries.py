@@ -1,6 +1,6 @@
 """One query for each corpus operator over its whole table, with check SQL."""
 
-from docketry.llm import q_bpe, q_lm, q_near, q_pii, q_quality, q_sharding, q_substring, q_topk, q_urls
+from docketry.llm import q_bpe, q_decontaminate, q_lm, q_near, q_pii, q_quality, q_sharding, q_substring, q_topk, q_urls
 
 QUERIES = {
     "op1_url_filter": (q_urls.query, q_urls.SQL),
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_pii": (q_pii.query, q_pii.SQL),
     "op5_substring_dedup": (q_substring.query, q_substring.SQL),
     "op6_near_dedup": (q_near.query, q_near.SQL),
+    "op7_decontaminate": (q_decontaminate.query, q_decontaminate.SQL),
     "op8_topk": (q_topk.query, q_topk.SQL),
     "op9_bpe": (q_bpe.query, q_bpe.SQL),
     "op10_quality": (q_quality.query, q_quality.SQL),
