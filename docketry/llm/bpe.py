@@ -24,7 +24,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from docketry.llm.frames import named, slices, small_batches
@@ -336,13 +336,14 @@ def encode(
     spark = docs.sparkSession
     small_batches(spark)
     vocabulary = spark.sparkContext.broadcast(Vocabulary.read(vocabulary_path))
-    rows = docs.select(*[named(c) for c in docs.columns if c.lower() != ids.lower()])
-    schema = T.StructType([*rows.schema.fields, T.StructField(ids, T.BinaryType() if packed else T.ArrayType(T.IntegerType()))])
+    kept = [named(c) for c in docs.columns if c.lower() != ids.lower()]
+    rows = docs.select(F.struct(*kept).alias("_row"), named(text).cast("string").alias("_text"))
+    kind = "binary" if packed else "array<int>"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(vocabulary)
-        for batch in slices(batches, text):
-            flat, bounds = encoder.encode(batch.column(text))
+        for batch in slices(batches, "_text"):
+            flat, bounds = encoder.encode(batch.column("_text"))
             if packed:
                 ends, data = (bounds * 4).astype(np.int32), flat.astype("<u4")
                 made = pa.BinaryArray.from_buffers(
@@ -350,9 +351,10 @@ def encode(
                 )
             else:
                 made = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, ids])
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), made], ["_row", "_ids"])
 
-    return rows.mapInArrow(work, schema)
+    schema = T.StructType([rows.schema["_row"], T.StructField("_ids", T._parse_datatype_string(kind))])
+    return rows.mapInArrow(work, schema).select("_row.*", F.col("_ids").alias(ids))
 
 
 def numbers(ids: pa.Scalar) -> np.ndarray:
@@ -373,15 +375,16 @@ def decode(
     """
     spark = docs.sparkSession
     vocabulary = spark.sparkContext.broadcast(Vocabulary.read(vocabulary_path))
-    rows = docs.select(*[named(c) for c in docs.columns if c.lower() != text.lower()])
-    schema = T.StructType([*rows.schema.fields, T.StructField(text, T.StringType())])
+    kept = [named(c) for c in docs.columns if c.lower() != text.lower()]
+    rows = docs.select(F.struct(*kept).alias("_row"), named(ids).alias("_ids"))
+    schema = T.StructType([rows.schema["_row"], T.StructField("_text", T.StringType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(vocabulary)
-        for batch in slices(batches, ids):
-            made = [encoder.decode(numbers(x)) if x.is_valid else "" for x in batch.column(ids)]
+        for batch in slices(batches, "_ids"):
+            made = [encoder.decode(numbers(x)) if x.is_valid else "" for x in batch.column("_ids")]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(made, pa.string())], [*batch.schema.names, text]
+                [batch.column("_row"), pa.array(made, pa.string())], ["_row", "_text"]
             )
 
-    return rows.mapInArrow(work, schema)
+    return rows.mapInArrow(work, schema).select("_row.*", F.col("_text").alias(text))

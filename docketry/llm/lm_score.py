@@ -208,7 +208,7 @@ def split_key(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def probes(key: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Start and stride of the bit positions of an n-gram at a level, and their number."""
-    one = mix(key + np.uint64(level) * np.uint64(0xD1342543DE82EF95))
+    one = mix(key + np.uint64(level * 0xD1342543DE82EF95 % 2**64))
     return one, (one >> np.uint64(32)) | np.uint64(1), PROBES_FIRST if level == 1 else PROBES
 
 
