@@ -74,8 +74,3 @@ def items_total(items: Column, field: str = "total_price") -> Column:
 def fill_subtotal(subtotal: Column, items: Column) -> Column:
     """Given subtotal, else the item total when there are items."""
     return F.coalesce(subtotal, F.when(F.size(items) > 0, items_total(items)))
-
-
-def ttl_timestamp(epoch_seconds: Column, ttl_days: int = 30) -> Column:
-    """Second at which an entry written at ``epoch_seconds`` expires."""
-    return epoch_seconds + F.lit(ttl_days * 86400)

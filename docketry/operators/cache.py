@@ -3,6 +3,10 @@
 A request is a miss when no live entry exists for its text hash; it then opens
 an entry that serves later requests until ``ttl_seconds`` have passed.  A hit
 does not extend the entry.  The clock is event time in whole seconds.
+
+An entry is known by its hash and the second it was opened in, never by the id
+of a request, as ids repeat when events are delivered again.  An exact repeat of
+the opening event (same id and time) reads as the miss it repeats.
 """
 
 from collections.abc import Iterator
@@ -72,6 +76,15 @@ def _fold(ttl_seconds: int, chunk_rows: int):
     return walk
 
 
+def entry_key(from_cache: Column, opened_at: Column, request_hash: Column, request_id: Column) -> Column:
+    """The name of an entry: its hash with ``cache``, the second it was opened
+    in, or the request that has no time."""
+    when = F.when(from_cache, "cache").otherwise(
+        F.coalesce(opened_at.cast("string"), F.concat(F.lit("id:"), F.coalesce(request_id, F.lit(""))))
+    )
+    return F.concat_ws("@", request_hash, when)
+
+
 def ttl_dedupe(
     requests: DataFrame,
     cache: DataFrame | None = None,
@@ -82,12 +95,18 @@ def ttl_dedupe(
 
     Requests of one hash are first merged to one row per second, with partial
     aggregation before the shuffle: within a second only the earliest can be a
-    miss.  The ordered walk per hash then sees at most 86 400 rows per day of
-    input for one hash, however often its text was sent.
+    miss.  A hash without cached entry whose seconds all lie within one TTL has
+    one entry, opened in the first of them; that needs no walk.  The ordered
+    walk sees the other hashes only, at most 86 400 rows per day of input for
+    one hash, however often its text was sent.
+
+    Every row comes back once, with ``entry`` and ``chunk`` naming the copy of
+    the response that serves it.  A request without time is a miss of its own.
     """
     timed = requests.withColumn("_second", F.unix_seconds("request_ts"))
     seconds = (
-        timed.groupBy("request_hash", "_second")
+        timed.filter(F.col("_second").isNotNull())
+        .groupBy("request_hash", "_second")
         .agg(
             F.min(F.struct("request_ts", "request_id")).alias("_first"),
             F.count(F.lit(1)).alias("_n"),
@@ -95,7 +114,7 @@ def ttl_dedupe(
         .select(
             "request_hash",
             "_second",
-            F.col("_first.request_id").alias("_first_id"),
+            F.coalesce(F.col("_first.request_id"), F.lit("")).alias("_first_id"),
             "_n",
             F.lit(None).cast("bigint").alias("_ttl"),
         )
@@ -103,16 +122,46 @@ def ttl_dedupe(
     if cache is not None:
         held = cache.select("request_hash", F.col("ttl").alias("_ttl"))
         seconds = seconds.unionByName(held, allowMissingColumns=True)
-    folded = (
-        seconds.repartition("request_hash")
+    spans = seconds.groupBy("request_hash").agg(
+        F.min("_second").alias("_opened"),
+        (
+            (F.max("_second") - F.min("_second") < ttl_seconds)
+            & (F.count("_ttl") == 0)
+            & (F.sum("_n") <= chunk_rows)
+        ).alias("_single"),
+        F.min_by("_first_id", "_second").alias("_opener"),
+    )
+    spread = seconds.join(spans, "request_hash")
+    single = spread.filter("_single").select(
+        "request_hash", "_second", F.col("_opener").alias("served_by"), F.col("_opened").alias("opened_at"),
+        F.lit(False).alias("from_cache"), F.lit(0).cast("bigint").alias("chunk"),
+    )
+    walked = (
+        spread.filter("not coalesce(_single, false)")
+        .select("request_hash", "_second", "_first_id", "_n", "_ttl")
+        .repartition("request_hash")
         .sortWithinPartitions("request_hash", F.col("_second").asc_nulls_first())
         .mapInPandas(_fold(ttl_seconds, chunk_rows), _FOLDED)
     )
+    folded = single.unionByName(walked)
+    untimed = timed.filter(F.col("_second").isNull()).select(
+        *timed.columns, F.col("request_id").alias("served_by"), F.lit(None).cast("bigint").alias("opened_at"),
+        F.lit(False).alias("from_cache"), F.lit(0).cast("bigint").alias("chunk"), F.lit("miss").alias("cache_status"),
+    )
     served = timed.join(folded, ["request_hash", "_second"])
-    is_miss = ~F.col("from_cache") & (F.col("served_by") == F.col("request_id"))
-    marked = served.withColumn("cache_status", F.when(is_miss, "miss").otherwise("hit"))
-    servers = folded.groupBy("from_cache", "served_by", "request_hash", "opened_at").agg(
-        F.max("chunk").alias("last_chunk")
+    opening = (
+        ~F.col("from_cache")
+        & (F.col("_second") == F.col("opened_at"))
+        & (F.col("served_by") == F.coalesce("request_id", F.lit("")))
+    )
+    marked = served.withColumn("cache_status", F.when(opening, "miss").otherwise("hit"))
+    key = entry_key(F.col("from_cache"), F.col("opened_at"), F.col("request_hash"), F.col("served_by"))
+    marked = marked.unionByName(untimed).withColumn("entry", key)
+    servers = (
+        folded.unionByName(untimed.select(*folded.columns))
+        .withColumn("entry", key)
+        .groupBy("entry", "from_cache", "served_by", "request_hash", "opened_at")
+        .agg(F.max("chunk").alias("last_chunk"))
     )
     return Deduped(marked.drop("_second", "opened_at"), servers)
 
@@ -120,16 +169,15 @@ def ttl_dedupe(
 def attach_responses(requests: DataFrame, responses: DataFrame) -> DataFrame:
     """Give every request the response of the entry that serves it.
 
-    ``responses`` holds ``from_cache, served_by, last_chunk`` and a struct
-    ``receipt``; it is copied once per chunk of requests it serves.
+    ``responses`` holds ``entry, last_chunk`` and a struct ``receipt``, one row
+    per entry; it is copied once per chunk of requests it serves.
     """
     copies = responses.select(
-        "from_cache",
-        "served_by",
+        "entry",
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last_chunk"))).alias("chunk"),
         "receipt",
     )
-    return requests.join(copies, ["from_cache", "served_by", "chunk"])
+    return requests.join(copies, ["entry", "chunk"])
 
 
 def cache_lookup(requests: DataFrame, cache: DataFrame) -> DataFrame:

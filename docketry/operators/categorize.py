@@ -7,7 +7,8 @@ from docketry import schemas
 from docketry.functions.items import item_names
 
 CONFIDENT = 0.8
-MAX_RULES = 10_000
+#: Letters of a keyword that it is looked up by.
+GRAM = 3
 
 
 def rules_table(spark: SparkSession) -> DataFrame:
@@ -20,20 +21,6 @@ def rules_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, schemas.RULES)
 
 
-def rules_from_table(rules: DataFrame) -> dict[str, list[str]]:
-    """A catalogue kept as a table, for ``categorize``; at most ``MAX_RULES`` rows.
-
-    Keywords become constants of the plan, so their number is checked here.
-    """
-    rows = rules.orderBy("cat_order", "kw_order").limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} keyword rules")
-    catalogue: dict[str, list[str]] = {}
-    for row in rows:
-        catalogue.setdefault(row["category"], []).append(row["keyword"])
-    return catalogue
-
-
 def search_text(vendor: Column, items: Column, text: Column) -> Column:
     """Lower-case text the keywords are looked up in."""
     names = F.array_join(
@@ -72,27 +59,64 @@ def best_category(text: str, rules: dict[str, list[str]] | None = None) -> Colum
     )
 
 
+def best_by_table(texts: DataFrame, rules: DataFrame) -> DataFrame:
+    """``_text_key, _best`` for each distinct ``_text_key, _search`` with a keyword
+    of the rule table; ``_best`` as of :func:`best_category`.
+
+    A keyword is looked up by its first ``GRAM`` letters among those of the text,
+    an equality join that the size of either side does not limit, then checked.
+    """
+    asked = rules.select(
+        "cat_order", "category", "kw_order", "keyword", F.lower("keyword").alias("_word")
+    ).filter("_word != ''")
+    asked = asked.withColumn("_gram", F.substring("_word", 1, GRAM))
+    size = F.char_length("_search")
+
+    def grams(letters: int):
+        places = F.sequence(F.lit(1), F.greatest(size - letters + 1, F.lit(1)))
+        return F.transform(places, lambda i: F.substr(F.col("_search"), i, F.lit(letters)))
+
+    every = F.array_distinct(F.concat(*[grams(n) for n in range(1, GRAM + 1)]))
+    spread = texts.select("_text_key", "_search", F.explode(every).alias("_gram"))
+    hits = spread.join(asked, "_gram").filter(F.contains("_search", F.col("_word")))
+    by_category = hits.groupBy("_text_key", "cat_order", "category").agg(
+        F.array_sort(F.collect_set(F.struct("kw_order", "keyword"))).alias("found")
+    )
+    found = F.struct(
+        F.size("found").alias("n"), (-F.col("cat_order")).alias("place"), F.col("category"),
+        F.col("found.keyword").alias("keywords"),
+    )
+    return by_category.groupBy("_text_key").agg(F.max(found).alias("_best"))
+
+
 def categorize(
     receipts: DataFrame,
     rules: dict[str, list[str]] | None = None,
     text_col: str = "clean_text",
     model_category: str | None = None,
+    rule_table: DataFrame | None = None,
 ) -> DataFrame:
     """Add category, source, reason, matched keywords and category confidence.
 
     Rules decide when confident.  Otherwise a category from the optional
     ``model_category`` column is taken, then weaker rule evidence, then
-    ``Unclassified``.
+    ``Unclassified``.  ``rules`` are part of the plan; a ``rule_table``
+    (``cat_order, category, kw_order, keyword``) of any size is joined instead.
     """
-    found = (
-        receipts.withColumn(
-            "_search", search_text(F.col("vendor"), F.col("items"), F.col(text_col))
-        )
-        .withColumn("_best", best_category("_search", rules))
-        .withColumn("_by_rules", F.least(F.col("_best.n") * F.lit(0.3), F.lit(1.0)))
+    found = receipts.withColumn(
+        "_search", search_text(F.col("vendor"), F.col("items"), F.col(text_col))
+    )
+    if rule_table is None:
+        found = found.withColumn("_best", best_category("_search", rules))
+    else:
+        found = found.withColumn("_text_key", F.sha2("_search", 256))
+        texts = found.groupBy("_text_key").agg(F.first("_search").alias("_search"))
+        found = found.join(best_by_table(texts, rule_table), "_text_key", "left").drop("_text_key")
+    found = found.withColumn(
+        "_by_rules", F.least(F.coalesce("_best.n", F.lit(0)) * F.lit(0.3), F.lit(1.0))
     )
     best = F.col("_best")
-    any_hit = best["n"] > 0
+    any_hit = F.coalesce(best["n"] > 0, F.lit(False))
     by_model = F.lit(False)
     model = F.lit(None).cast("string")
     if model_category is not None:

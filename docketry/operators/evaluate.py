@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from docketry import fixed_values as fv
 from docketry.functions import scores as score
+from docketry.schemas import SCORED_TYPES
 from docketry.functions.binding import settled
 from docketry.functions.dates import date_score
 from docketry.functions.text import excerpt
@@ -21,7 +22,7 @@ def output_fields(records: DataFrame) -> Column:
     )
 
     def field(name: str) -> Column:
-        none = F.lit(None).cast("string")
+        none = F.lit(None).cast(SCORED_TYPES[name])
         flat = F.col(name) if name in nested else none
         if not inner:
             return flat
@@ -38,18 +39,27 @@ def pair_samples(
 ) -> DataFrame:
     """Join on the sample key; both sides are kept, ``paired`` tells whether both exist.
 
-    Rows are never matched by position, which a distributed table lacks.
+    Rows are never matched by position, which a distributed table lacks.  A key
+    that one side has more than once is not paired either.
     """
     text = F.col("receipt_text") if "receipt_text" in predictions.columns else F.lit("")
-    left = predictions.select(
-        *keys, output_fields(predictions).alias("predicted"), text.alias("receipt_text")
-    ).withColumn("_p", F.lit(True))
-    right = truth.select(*keys, output_fields(truth).alias("expected")).withColumn(
-        "_t", F.lit(True)
+    left = (
+        predictions.select(*keys, output_fields(predictions).alias("predicted"), text.alias("receipt_text"))
+        .groupBy(*keys)
+        .agg(
+            F.first("predicted").alias("predicted"), F.first("receipt_text").alias("receipt_text"),
+            F.count(F.lit(1)).alias("_p"),
+        )
+    )
+    right = (
+        truth.select(*keys, output_fields(truth).alias("expected"))
+        .groupBy(*keys)
+        .agg(F.first("expected").alias("expected"), F.count(F.lit(1)).alias("_t"))
     )
+    once = F.coalesce((F.col("_p") == 1) & (F.col("_t") == 1), F.lit(False))
     return (
         left.join(right, list(keys), "full_outer")
-        .withColumn("paired", F.col("_p").isNotNull() & F.col("_t").isNotNull())
+        .withColumn("paired", once)
         .drop("_p", "_t")
     )
 

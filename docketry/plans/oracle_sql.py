@@ -1,14 +1,14 @@
 """SQL building blocks shared by the check queries."""
 
-from docketry import fixed_values as fv
+from docketry.sources.orders import VENDORS
 
 
 def quoted(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
-VENDOR_VALUES = ", ".join(f"({i}, {quoted(v)})" for i, v in enumerate(fv.VENDORS))
-N_VENDORS = len(fv.VENDORS)
+VENDOR_VALUES = ", ".join(f"({i}, {quoted(v)})" for i, v in enumerate(VENDORS))
+N_VENDORS = len(VENDORS)
 
 PRICE = (
     "CAST(round(CAST(CAST(l_extendedprice AS DECIMAL(18,4)) AS DECIMAL(12,2)) * "

@@ -130,6 +130,25 @@ def ttl_hit_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("request_id", "cache_status", "served_by")
 
 
+def _redelivered(requests: DataFrame) -> DataFrame:
+    """Every third request twice, as at-least-once delivery gives them."""
+    return requests.unionByName(requests.filter(F.col("request_id").cast("bigint") % 3 == 0))
+
+
+def _twice(sql_text: str) -> str:
+    return (
+        f"WITH once AS ({sql_text}) SELECT * FROM once UNION ALL "
+        "SELECT * FROM once WHERE CAST(request_id AS BIGINT) % 3 = 0"
+    )
+
+
+def ttl_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``ttl_hit_miss`` with a third of the events delivered twice."""
+    requests = _redelivered(_event_requests(spark, sf_dir))
+    marked = ttl_dedupe(requests, ttl_seconds=DAY).requests
+    return marked.select("request_id", "cache_status", "served_by")
+
+
 # requests of one key per second, the next possible miss of each, and the chain of misses
 _CHAIN = f"""
 s AS (
@@ -285,7 +304,17 @@ def parse_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     Repeated texts are parsed once; a hit returns the receipt of the request
     that opened the entry, with that request's currency.
     """
-    requests = _flow_requests(spark, sf_dir)
+    return _flow(_flow_requests(spark, sf_dir))
+
+
+def parse_flow_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``parse_flow`` with a third of the events delivered twice: one receipt
+    for every row, texts parsed once."""
+    return _flow(_redelivered(_flow_requests(spark, sf_dir)))
+
+
+def _flow(requests: DataFrame) -> DataFrame:
+    spark = requests.sparkSession
     user = F.col("user_id").cast("int")
     answer = F.to_json(
         F.struct(
@@ -362,8 +391,10 @@ QUERIES = {
     "request_ingest": (request_ingest, _REQUEST_INGEST),
     "request_rejects": (request_rejects, _REQUEST_REJECTS),
     "ttl_hit_miss": (ttl_hit_miss, _TTL_HIT_MISS),
+    "ttl_duplicates": (ttl_duplicates, _twice(_TTL_HIT_MISS)),
     "ttl_with_cache": (ttl_with_cache, _TTL_WITH_CACHE),
     "cache_lookup": (cache_lookup_query, _CACHE_LOOKUP),
     "cache_snapshot": (cache_snapshot_query, _CACHE_SNAPSHOT),
     "parse_flow": (parse_flow, _PARSE_FLOW),
+    "parse_flow_duplicates": (parse_flow_duplicates, _twice(_PARSE_FLOW)),
 }

@@ -174,6 +174,14 @@ def score_text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_SCORE_TEXT_SIMILARITY = """
+SELECT p_brand, round(avg(CASE WHEN lower(trim(p_name)) = lower(trim(p_type || ' ' || p_name)) THEN 1.0::DOUBLE
+    ELSE 2.0::DOUBLE * length(p_name) / (2 * length(p_name) + 1 + length(p_type)) END), 9) AS similarity,
+  count(*) AS parts
+FROM part GROUP BY p_brand
+"""
+
+
 def score_text_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal, empty and missing names: scored without text reaching Python."""
     way = F.col("p_partkey") % 4
@@ -434,7 +442,7 @@ WHERE CASE WHEN test_name = '1-URGENT' THEN run_ts = 1995 ELSE k = 1 END
 QUERIES = {
     "scores_per_sample": (scores_per_sample, _SCORES_PER_SAMPLE),
     "scores_amount_date_currency": (scores_amount_date_currency, _SCORES_AMOUNT_DATE_CURRENCY),
-    "score_text_similarity": (score_text_similarity, None),
+    "score_text_similarity": (score_text_similarity, _SCORE_TEXT_SIMILARITY),
     "score_text_exact": (score_text_exact, _SCORE_TEXT_EXACT),
     "score_items": (score_items, _SCORE_ITEMS),
     "report_fields": (report_fields, _REPORT_FIELDS),

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docketry import fixed_values as fv
 from docketry.functions import amounts, prompts
-from docketry.operators.categorize import categorize, rules_from_table, rules_table
+from docketry.operators.categorize import categorize, rules_table
 from docketry.operators.clean import clean_and_key
 from docketry.operators.extract import decode_model_responses, extract_receipts
 from docketry.operators.shape import render_receipt
@@ -181,14 +181,14 @@ def categorize_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rule_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of the part table per catalogue rule read back from its table."""
-    rules = rules_from_table(rules_table(spark).unionByName(_custom_table(spark)))
+    """Lines of the part table by category, the rules joined as a table."""
+    rules = rules_table(spark).unionByName(_custom_table(spark))
     parts = table(spark, sf_dir, "part").select(
         F.lit("").alias("vendor"),
         F.array().cast("array<struct<name:string>>").alias("items"),
         F.col("p_name").alias("clean_text"),
     )
-    return categorize(parts, rules).groupBy("category").agg(F.count(F.lit(1)).alias("parts"))
+    return categorize(parts, rule_table=rules).groupBy("category").agg(F.count(F.lit(1)).alias("parts"))
 
 
 def _custom_table(spark: SparkSession) -> DataFrame:

@@ -5,6 +5,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, functions as F
 
 from docketry import schemas
+from docketry.functions.binding import settled
 from docketry.operators.cache import (
     DEFAULT_TTL_SECONDS,
     attach_responses,
@@ -60,15 +61,25 @@ def parse_receipts(
     """
     spark = requests.sparkSession
     keyed = clean_and_key(requests)
-    marked, servers = ttl_dedupe(keyed, cache, ttl_seconds)
-
+    # Texts stay out of the hit-or-miss join; misses fetch theirs by the entry.
+    marked, servers = ttl_dedupe(
+        keyed.select("request_id", "request_ts", "user_id", "request_hash"), cache, ttl_seconds
+    )
     opened = servers.filter(~F.col("from_cache")).select(
-        F.col("served_by").alias("request_id"), "opened_at", "last_chunk"
+        "entry", "opened_at", "last_chunk", F.col("request_hash").alias("_hash"), "served_by"
     )
+    second = F.unix_seconds("request_ts")
     misses = (
-        marked.filter(F.col("cache_status") == "miss")
-        .drop("from_cache", "served_by", "chunk")
-        .join(opened, "request_id")
+        keyed.join(
+            opened,
+            (F.col("request_hash") == F.col("_hash"))
+            & (F.coalesce("request_id", F.lit("")) == F.coalesce("served_by", F.lit("")))
+            & second.eqNullSafe(F.col("opened_at")),
+        )
+        .drop("_hash", "served_by")
+        .dropDuplicates(["entry"])
+        # A generated column keeps the parsing out of the aggregation above.
+        .select("*", settled(F.lit("miss")).alias("cache_status"))
     )
     decoded = None if responses is None else decode_model_responses(responses)
     parsed = parse_texts(misses, decoded, rules, strict).withColumn(
@@ -80,8 +91,7 @@ def parse_receipts(
 
     refusal = error_receipt(F.col("request_id"), F.lit("Invalid request data: negative amount"))
     fresh = parsed.select(
-        F.lit(False).alias("from_cache"),
-        F.col("request_id").alias("served_by"),
+        "entry",
         "last_chunk",
         F.when(F.col("refused"), refusal).otherwise(_receipt_struct()).alias("receipt"),
     )
@@ -90,7 +100,7 @@ def parse_receipts(
             servers.filter("from_cache")
             .join(cache.select("request_hash", "response"), "request_hash")
             .select(
-                "from_cache", "served_by", "last_chunk",
+                "entry", "last_chunk",
                 read_response(F.col("response")).alias("receipt"),
             )
         )
@@ -98,7 +108,7 @@ def parse_receipts(
 
     answered = attach_responses(
         marked.select(
-            F.col("request_id").alias("_id"), "request_ts", "user_id", "from_cache", "served_by",
+            F.col("request_id").alias("_id"), "request_ts", "user_id", "entry",
             "chunk", F.col("cache_status").alias("_status"),
         ),
         fresh,

@@ -44,8 +44,8 @@ RECEIPT_COLUMNS = (
 
 # prediction / truth fields; amounts and prices arrive as numbers or strings
 SCORED_ITEMS = "array<struct<name:string,quantity:string,unit_price:string,total_price:string>>"
-_SCORED_TYPES = {f: SCORED_ITEMS if f == "items" else "string" for f in FIELDS}
-SCORED = "struct<" + ",".join(f"{f}:{t}" for f, t in _SCORED_TYPES.items()) + ">"
+SCORED_TYPES = {f: SCORED_ITEMS if f == "items" else "string" for f in FIELDS}
+SCORED = "struct<" + ",".join(f"{f}:{t}" for f, t in SCORED_TYPES.items()) + ">"
 
 # one prediction, truth or dataset record; the eight fields are nested under
 # expected_output or sit at the top level
@@ -54,5 +54,5 @@ SAMPLES = (
     f"expected_output {SCORED}, "
     "metadata struct<id:string,scenario:string,complexity:string,noise_level:double,"
     "has_gst:boolean,dataset_id:string,sample_id:string>, "
-    + ", ".join(f"{f} {t}" for f, t in _SCORED_TYPES.items())
+    + ", ".join(f"{f} {t}" for f, t in SCORED_TYPES.items())
 )

@@ -4,43 +4,40 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docketry import schemas
 
-MAX_JSON_ARRAY = 10_000
+#: About so many records make one array of a JSON export.
+ARRAY_RECORDS = 5_000
 
 
 def read_records(spark: SparkSession, path: str, schema: str = schemas.SAMPLES) -> DataFrame:
     """Predictions, truth or dataset records.
 
     ``.jsonl`` (and folders of such parts) hold one object per line and are
-    split over tasks; ``.json`` holds one array and is read whole.
+    split over tasks; ``.json`` is a file with one array, or a folder of such
+    files, each read by one task.  A broken line or array ends the reading.
     """
     name = path.rstrip("/")
     if name.endswith(".jsonl"):
-        return spark.read.schema(schema).json(path)
+        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     if name.endswith(".json"):
-        return spark.read.schema(schema).option("multiLine", True).json(path)
+        return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
     raise ValueError(f"unknown record format: {path}")
 
 
 def write_records(records: DataFrame, path: str, format_type: str = "jsonl") -> None:
-    """Export records as JSON lines, or as one JSON array when small enough."""
+    """Export records as JSON lines, or as a folder of files with one JSON array
+    of about ``ARRAY_RECORDS`` records each."""
     if format_type == "jsonl":
         records.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
     elif format_type == "json":
-        # one array is one file: only for a bounded export
-        size = records.limit(MAX_JSON_ARRAY + 1).count()
-        if size > MAX_JSON_ARRAY:
-            raise ValueError(f"more than {MAX_JSON_ARRAY} records: export as jsonl")
+        buckets = -(-records.count() // ARRAY_RECORDS) or 1
         line = F.to_json(F.struct(*records.columns), {"ignoreNullFields": "false"})
-        numbered = records.select(line.alias("value")).coalesce(1)
-        (
-            numbered.agg(
-                F.concat(F.lit("["), F.array_join(F.collect_list("value"), ",\n"), F.lit("]")).alias(
-                    "value"
-                )
-            )
-            .write.mode("overwrite")
-            .text(path)
+        dealt = records.select(line.alias("value")).withColumn(
+            "bucket", F.pmod(F.xxhash64("value", F.monotonically_increasing_id()), F.lit(buckets))
         )
+        arrays = dealt.groupBy("bucket").agg(
+            F.concat(F.lit("["), F.array_join(F.collect_list("value"), ",\n"), F.lit("]")).alias("value")
+        )
+        arrays.select("value").write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
     else:
         raise ValueError(f"Unsupported format: {format_type}")
 
@@ -53,8 +50,13 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def append_results(results: DataFrame, path: str) -> None:
-    """Add runs to the history, partitioned by test."""
-    results.write.mode("append").partitionBy("test_name").parquet(path)
+    """Add runs to the history; a run of a test that is written again replaces itself."""
+    (
+        results.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("test_name", "run_ts")
+        .parquet(path)
+    )
 
 
 def read_results(spark: SparkSession, path: str, test_name: str | None = None) -> DataFrame:

@@ -31,9 +31,10 @@ def start_ingest(events: DataFrame, out: str, checkpoint: str, **trigger):
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        decoded = decode_requests(batch)
+        decoded = decode_requests(batch).persist()
         for name, part in (("requests", accepted(decoded)), ("rejects", rejected(decoded))):
             part.write.mode("overwrite").parquet(f"{out}/{name}/batch={batch_id}")
+        decoded.unpersist()
 
     return (
         events.writeStream.foreachBatch(write)
