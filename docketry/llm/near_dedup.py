@@ -11,9 +11,14 @@
 3. On each list of the prefix everyone meets the list's most central class, not
    each other; each class is tried with the centre it collides with most.  Pairs
    that agree on ``MATCHES`` coordinates are confirmed on the full sets.
-4. Lists whose classes are now in one component are done.  The classes of all
-   other lists go through the same prefix join once more, now over the shingles
-   themselves and between components only; this is exact, so no link is lost.
+4. Lists whose classes are now in one component are done.  In the others a link
+   that is still missing joins two classes x and y of a list with centre c, of
+   which x is not linked to c.  Seen from c, a class is its difference set (what
+   it has beyond c and what it lacks); x and y differ by
+   ``|Dx| + |Dy| - 2 |Dx & Dy|`` shingles.  As x differs from c by more than a
+   link allows, x and y must share at least ``(|Dy| + (nc - ny) * 15 / 185) / 2``
+   of their differences.  That is a prefix join over the differences, which are
+   few and mostly a class's own, and it is exact: no link is lost.
 5. Components of the confirmed links.
 
 Nothing is capped.  A list of m classes costs m rows in step 3, never m * m.
@@ -131,90 +136,168 @@ def full_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> Dat
     return made.join(wanted.select("class", "n", "tokens"), "class").dropDuplicates(["class"])
 
 
-def prefix(items: DataFrame, need: Column) -> DataFrame:
-    """The rarest items of each class, from ``items (class, item, df, ...)``.
+def prefix(items: DataFrame, need: Column, by: tuple[str, ...] = ("class",)) -> DataFrame:
+    """``by, kept, centre, rare, all``: the items of each class by rarity.
 
-    ``need`` is the number of items that two linked classes must share at
-    least; a class with fewer items is dropped.
+    ``items`` has ``by``, ``item``, ``df`` and ``kept`` (carried along).
+    ``need`` is the number of items that two linked classes must share at least;
+    a class with fewer is dropped.  ``rare`` are those of which two linked
+    classes share one.
     """
-    gathered = items.groupBy("class").agg(
-        F.array_sort(F.collect_list(F.struct("df", "item"))).alias("items"),
+    gathered = items.groupBy(*by).agg(
+        F.array_sort(F.collect_list(F.struct("df", "item"))).alias("all"),
         F.sum("df").alias("centre"),
-        F.first("n").alias("n"),
-    )
-    rare = F.slice("items", 1, F.size("items") - need + 1)
-    chosen = gathered.filter(F.size("items") >= need)
-    return chosen.select("class", "n", "centre", F.explode(rare).alias("e")).select(
-        "class", "n", "centre", F.col("e.item").alias("item")
+        F.first("kept").alias("kept"),
     )
+    enough = gathered.filter(F.size("all") >= need)
+    return enough.withColumn("rare", F.slice("all", 1, F.size("all") - need + 1))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs ``(a, b)`` of classes whose full sets are similar enough."""
+def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` with both sets; sizes that cannot be similar are left out."""
     one = sets.select(*[F.col(c).alias(f"a_{c}") for c in sets.columns])
     two = sets.select(*[F.col(c).alias(f"b_{c}") for c in sets.columns])
-    both = pairs.join(one, F.col("a") == F.col("a_class")).join(two, F.col("b") == F.col("b_class"))
-    fits = (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent)
+    return pairs.join(one, F.col("a") == F.col("a_class")).join(two, F.col("b") == F.col("b_class"))
+
+
+def similar() -> Column:
+    """Whether two sets side by side are linked: enough equal coordinates, then
+    the exact similarity."""
     match = F.size(F.array_intersect("a_tokens", "b_tokens")) >= MATCHES
     shared = F.size(F.array_intersect("a_shingles", "b_shingles"))
-    similar = shared * 100 >= percent * (F.col("a_n") + F.col("b_n") - shared)
-    return both.filter(fits & match & similar).select("a", "b")
+    return match & (shared * 100 >= PERCENT * (F.col("a_n") + F.col("b_n") - shared))
 
 
-def class_links(docs: DataFrame, classes: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Confirmed links ``(a, b)`` that connect what belongs together.
+def sizes_fit() -> Column:
+    return F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * PERCENT
 
-    ``classes`` has ``class, n, rep, tokens``.
-    """
-    posted = classes.select("class", "n", F.explode("tokens").alias("item"))
-    shared = posted.groupBy("item").agg(F.count("*").alias("df")).filter("df > 1")
-    lists = written(prefix(posted.join(shared, "item"), F.lit(MATCHES)), "near-lists")
-    centres = lists.groupBy("item").agg(
-        F.max(F.struct("centre", "class")).alias("c"), F.count("*").alias("size")
-    )
-    met = lists.join(centres.filter("size > 1"), "item").filter(F.col("class") != F.col("c.class"))
+
+def star_links(lists: DataFrame, centres: DataFrame, sets: DataFrame) -> DataFrame:
+    """Each class against the centre it collides with most."""
+    met = lists.join(centres, "item").filter(F.col("class") != F.col("heart"))
     tried = (
-        met.groupBy(F.col("class").alias("a"), F.col("c.class").alias("b"))
+        met.groupBy(F.col("class").alias("a"), F.col("heart").alias("b"))
         .agg(F.count("*").alias("hits"))
         .groupBy("a")
         .agg(F.max_by("b", F.struct("hits", "b")).alias("b"))
     )
-    in_lists = lists.select("class").distinct()
-    sets = written(full_sets(docs, classes.join(in_lists, "class", "left_semi"), doc_id, text), "near-sets")
-    near = written(confirmed(tried, sets), "near-links")
+    return written(with_sets(tried, sets).filter(sizes_fit() & similar()).select("a", "b"), "near-links")
+
+
+def open_pairs(lists: DataFrame, centres: DataFrame, links: DataFrame) -> DataFrame:
+    """``a, b``: the classes and the centre of each list that is not seen to be
+    one component.
 
-    roots = components(near)
-    rooted = lists.join(roots.withColumnRenamed("node", "class"), "class", "left").select(
+    A class bears the name of the centre it is linked to, or of the centre that
+    one is linked to: classes of one name are in one component.
+    """
+    once = links.select(F.col("a").alias("class"), F.col("b").alias("root"))
+    twice = links.select(F.col("a").alias("root"), F.col("b").alias("next"))
+    names = once.join(twice, "root", "left").select("class", F.coalesce("next", "root").alias("root"))
+    rooted = lists.join(names, "class", "left").select(
         "class", "item", F.coalesce("root", "class").alias("root")
     )
-    open_lists = (
-        rooted.groupBy("item").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-        .filter("low != high").select("item")
+    ends = rooted.groupBy("item").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    still = ends.filter("low != high").select("item")
+    met = lists.join(still, "item", "left_semi").join(centres, "item")
+    return met.select(F.col("class").alias("a"), F.col("heart").alias("b")).filter("a != b").distinct()
+
+
+#: Two linked sets differ by at most this part of the sum of their sizes.
+APART = (100 - PERCENT) / (100 + PERCENT)
+
+
+def difference_links(seen: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links of step 4 between different roots.
+
+    ``seen`` has pairs of class and centre ``a, b`` with ``n, centre_n, linked,
+    differences``.
+    """
+    size = F.size("differences")
+    # Half of what a class and an unlinked one must share of their differences.
+    need = F.ceil((size + (F.col("centre_n") - F.col("n")) * APART) / 2 - 1e-9).cast("int")
+    posted = seen.withColumnRenamed("a", "class").join(roots, "class", "left").select(
+        "class", "b", "n", "linked", F.greatest(F.lit(1), need).alias("need"), size.alias("size"),
+        F.coalesce("root", "class").alias("root"), F.explode("differences").alias("e"),
+    ).select(
+        "class", "b", F.struct("n", "linked", "need", "size", "root").alias("kept"),
+        F.xxhash64("b", "e").alias("item"),
     )
-    rest = written(
-        rooted.join(open_lists, "item", "left_semi").select("class", "root").distinct(), "near-rest"
+    across = posted.groupBy("item").agg(
+        F.count("*").alias("df"), F.min("kept.root").alias("low"), F.max("kept.root").alias("high")
+    ).filter("low != high").select("item", "df")
+    shared = written(
+        prefix(posted.join(across, "item"), F.lit(1), ("class", "b")).select("class", "kept", "all"),
+        "near-shared",
     )
-    shingled = sets.join(rest, "class").select(
-        "class", "root", "n", F.explode("shingles").alias("item")
+    need = F.col("kept.need")
+    rare = shared.filter(F.size("all") >= need).select(
+        "class", "kept", F.size("all").alias("held"),
+        F.posexplode(F.slice("all", 1, F.size("all") - need + 1)).alias("at", "e"),
     )
-    across = (
-        shingled.groupBy("item")
-        .agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high"))
-        .filter("low != high").select("item", "df")
+    every = shared.filter(~F.col("kept.linked")).select(
+        "class", "kept", F.size("all").alias("held"), F.posexplode("all").alias("at", "e")
     )
-    need = F.ceil(F.col("n") * PERCENT / 100).cast("int")
-    exact = written(
-        prefix(shingled.join(across, "item"), need).join(rest, "class"), "near-exact"
+
+    def side(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select(
+            F.col("e.item").alias("item"), F.col("class").alias(name),
+            F.col("kept.n").alias(f"{name}_n"), F.col("kept.root").alias(f"{name}_root"),
+            F.col("kept.size").alias(f"{name}_size"), (F.col("held") - F.col("at")).alias(f"{name}_left"),
+        )
+
+    # From the first shared difference on, enough of both must be left.
+    must = (F.col("a_size") + F.col("b_size") - (F.col("a_n") + F.col("b_n")) * APART) / 2 - 1e-9
+    may = (F.col("a_root") != F.col("b_root")) & sizes_fit() & (F.least("a_left", "b_left") >= must)
+    inner = side(rare.filter("kept.linked"), "a").join(side(every, "b"), "item").filter(may)
+    free = rare.filter("not kept.linked")
+    outer = side(free, "a").join(side(free, "b"), "item").filter(may & (F.col("a") < F.col("b")))
+    more = inner.select("a", "b").unionByName(outer.select("a", "b")).distinct()
+    return written(with_sets(more, sets).filter(sizes_fit() & similar()).select("a", "b"), "near-links")
+
+
+def class_roots(docs: DataFrame, classes: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``class, root`` of the classes that have a link.
+
+    ``classes`` has ``class, n, rep, tokens``.
+    """
+    posted = classes.select("class", F.lit(0).alias("kept"), F.explode("tokens").alias("item"))
+    shared = posted.groupBy("item").agg(F.count("*").alias("df")).filter("df > 1")
+    chosen = prefix(posted.join(shared, "item"), F.lit(MATCHES))
+    lists = written(
+        chosen.select("class", "centre", F.explode("rare.item").alias("item")), "near-lists"
     )
-    left = exact.select("item", F.col("class").alias("a"), F.col("n").alias("a_n"), F.col("root").alias("a_root"))
-    right = exact.select("item", F.col("class").alias("b"), F.col("n").alias("b_n"), F.col("root").alias("b_root"))
-    fits = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * PERCENT
-    more = (
-        left.join(right, "item")
-        .filter((F.col("a_root") != F.col("b_root")) & (F.col("a") < F.col("b")) & fits)
-        .select("a", "b").distinct()
+    centres = lists.groupBy("item").agg(
+        F.max(F.struct("centre", "class"))["class"].alias("heart"), F.count("*").alias("size")
+    ).filter("size > 1").select("item", "heart")
+    wanted = classes.join(lists.select("class").distinct(), "class", "left_semi")
+    sets = written(full_sets(docs, wanted, doc_id, text), "near-sets")
+    near = star_links(lists, centres, sets)
+    pairs = open_pairs(lists, centres, near)
+    missing = F.array_except("b_shingles", "a_shingles")
+    beyond = F.array_except("a_shingles", "b_shingles")
+    seen = written(
+        with_sets(pairs, sets).select(
+            "a", "b", F.col("a_n").alias("n"), F.col("b_n").alias("centre_n"),
+            (sizes_fit() & similar()).alias("linked"), F.concat(missing, beyond).alias("differences"),
+        ),
+        "near-differences",
     )
-    return near.unionByName(written(confirmed(more, sets), "near-links"))
+    own = near.unionByName(seen.filter("linked").select("a", "b"))
+    roots = written(components(own).withColumnRenamed("node", "class"), "near-roots")
+    found = difference_links(seen, roots, sets)
+    if found.isEmpty():
+        return roots
+    # What was found joins the components so far.
+    named_roots = roots.select(F.col("class").alias("a"), F.col("root").alias("a_root"))
+    across = found.join(named_roots, "a", "left").join(
+        roots.select(F.col("class").alias("b"), F.col("root").alias("b_root")), "b", "left"
+    ).select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    joined = components(across).select(F.col("node").alias("root"), F.col("root").alias("last"))
+    alone = joined.join(roots.select("class"), F.col("root") == F.col("class"), "left_anti")
+    return roots.join(joined, "root", "left").select(
+        "class", F.coalesce("last", "root").alias("root")
+    ).unionByName(alone.select(F.col("root").alias("class"), F.col("last").alias("root")))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -234,8 +317,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         ),
         "near-classes",
     )
-    links = class_links(docs, classes, doc_id, text)
-    roots = components(links).withColumnRenamed("node", "class")
+    roots = class_roots(docs, classes, doc_id, text)
     rooted = classes.select("class", "rep").join(roots, "class", "left").select(
         "class", "rep", F.coalesce("root", "class").alias("root")
     )
