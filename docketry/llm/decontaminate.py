@@ -5,14 +5,18 @@ The benchmark is the stated set of queries; it is taken in blocks of at most
 
 1. The vocabulary of a block is the words of its items.  How many passages of
    the corpus have each word is counted over all documents, which gives the
-   inverse document frequency of the words.
+   inverse document frequency of the words.  Words that more than ``COMMON`` of
+   the passages have weigh ``FAINT`` of it.
 2. Distributed randomised SVD of the TF-IDF matrix of all passages over the
    vocabulary (hashed into ``FEATURES`` columns): every task projects its
    passages on a random basis and adds up two small products; the driver factors
-   those, whose size does not depend on the corpus.
+   those, whose size does not depend on the corpus.  Passages with one vocabulary
+   word are unit rows and enter by their number.
 3. Windows of every document are compared with the items by cosine in the latent
    space.  A window is looked at only if the weight of its vocabulary words could
-   reach the overlap that step 4 asks for; that leaves no match out.
+   reach the overlap that step 4 asks for; that leaves no match out.  The regions
+   around such windows are written with the sums of step 2, so the corpus is read
+   twice in all.
 4. A pair of window and item is kept if the longest common subsequence of words
    carries ``COPIED`` of the item's weight, or ``PARAPHRASED`` of it and the
    answer, the last words of the item, is there too.
@@ -25,8 +29,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import types as T
 
-from docketry.llm.frames import named, slices, small_batches
+from docketry.llm.frames import named, slices, small_batches, written
 from docketry.llm.words import Words, cut_words, word_hashes
 
 BLOCK_ITEMS = 20_000
@@ -40,6 +45,8 @@ WIDTHS = (16, 32, 64)
 COSINE = 0.5
 COPIED, PARAPHRASED, ANSWERED = 0.8, 0.5, 0.6
 ANSWER_WORDS = 5
+#: Words in more than this share of the passages weigh little.
+COMMON, FAINT = 0.005, 0.02
 #: Items of fewer words say too little to be found.
 LEAST_WORDS = 8
 
@@ -51,11 +58,11 @@ def plain_words(texts: pa.Array) -> Words:
     """Words in lower case without marks at their ends."""
     words = cut_words(texts, lower=True)
     start, end = words.start.copy(), words.end.copy()
-    for _ in range(3):
-        cut = (end - start > 1) & _MARKS[words.data[end - 1]]
-        end[cut] -= 1
-        cut = (end - start > 1) & _MARKS[words.data[start]] if len(start) else cut
-        start[cut] += 1
+    for _ in range(2):
+        marked = np.flatnonzero(_MARKS[words.data[end - 1]])
+        end[marked] = np.maximum(end[marked] - 1, start[marked] + 1)
+    marked = np.flatnonzero(_MARKS[words.data[start]])
+    start[marked] = np.minimum(start[marked] + 1, end[marked] - 1)
     return words._replace(start=start, end=end)
 
 
@@ -119,49 +126,108 @@ def passage_counts(docs: DataFrame, items) -> tuple[np.ndarray, int]:
     return out, int(n[word < 0].sum())
 
 
-def latent_basis(docs: DataFrame, items, weight: np.ndarray) -> np.ndarray:
-    """``FEATURES x RANK``: right singular vectors of the passages' TF-IDF matrix."""
-    spark, width = docs.sparkSession, RANK + EXTRA
-    weights = spark.sparkContext.broadcast(weight)
-    start = np.random.default_rng(11).standard_normal((FEATURES, width)).astype(np.float32)
+def word_weights(have: np.ndarray, passages: int) -> np.ndarray:
+    """Inverse document frequency of the vocabulary, faint for common words."""
+    weight = np.log((passages + 1) / (have + 0.5)).clip(0.01)
+    return np.where(have > max(COMMON * passages, 1), FAINT * weight, weight)
+
+
+class Sums:
+    """Random projection of passages: ``gram`` and ``cross`` of the products."""
+
+    def __init__(self, weight: np.ndarray, common: np.ndarray):
+        self.width = RANK + EXTRA
+        self.start = np.random.default_rng(11).standard_normal((FEATURES, self.width)).astype(np.float32)
+        self.weight, self.common = weight, common
+        self.single = np.zeros(FEATURES)
+        self.gram, self.cross = np.zeros((self.width, self.width)), np.zeros((self.width, FEATURES))
+
+    def add(self, place: np.ndarray, passage: np.ndarray) -> None:
+        """The known words of some passages; common words are not in the matrix."""
+        telling = ~self.common[place]
+        place, passage = place[telling], passage[telling]
+        if not len(place):
+            return
+        number = np.bincount(passage)
+        alone = number[passage] == 1
+        self.single += np.bincount(place[alone] % FEATURES, minlength=FEATURES)
+        place, passage = place[~alone], passage[~alone]
+        _, passage = np.unique(passage, return_inverse=True)
+        for low in range(0, int(passage[-1]) + 1 if len(passage) else 0, 512):
+            a, b = np.searchsorted(passage, [low, low + 512])
+            high = min(512, int(passage[b - 1]) - low + 1)
+            cell = (passage[a:b] - low) * FEATURES + place[a:b] % FEATURES
+            rows = np.bincount(cell, self.weight[place[a:b]], high * FEATURES).reshape(high, FEATURES)
+            rows = (rows / np.sqrt((rows**2).sum(1, keepdims=True))).astype(np.float32)
+            y = rows @ self.start
+            self.gram += y.T @ y
+            self.cross += y.T @ rows
+
+    def lines(self) -> np.ndarray:
+        """Both products, one line for each direction of the basis."""
+        counted = self.start.T * self.single
+        return np.hstack([self.gram + counted @ self.start, self.cross + counted])
+
+
+def sums_and_regions(docs: DataFrame, items, weight: np.ndarray, common: np.ndarray) -> DataFrame:
+    """The second pass: rows with ``line, bucket, sums`` for the decomposition, and
+    rows with ``doc_id, first, hashes``, the regions that may hold an item."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((weight, common))
+    schema = T.StructType(
+        [docs.schema["doc_id"]]
+        + T._parse_datatype_string("first int, hashes binary, line int, bucket int, sums array<double>").fields
+    )
+    kind = pa.list_(pa.float64())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, idf = items.value, weights.value
-        gram, cross = np.zeros((width, width)), np.zeros((width, FEATURES))
+        block, (weight, common) = items.value, shared.value
+        sums, finder, id_type = Sums(weight, common), Regions(block, weight), None
         for batch in slices(batches, "text"):
+            id_type = batch.column("doc_id").type
             words = plain_words(batch.column("text"))
-            place, passage = block.places(word_hashes(words)), _passages(words)
+            hashes = word_hashes(words)
+            place, passage = block.places(hashes), _passages(words)
             known = place >= 0
-            place, passage = place[known], passage[known]
-            for low in range(0, int(passage[-1]) + 1 if len(passage) else 0, 512):
-                a, b = np.searchsorted(passage, [low, low + 512])
-                cell = (passage[a:b] - low) * FEATURES + place[a:b] % FEATURES
-                rows = np.bincount(cell, idf[place[a:b]], 512 * FEATURES).reshape(512, FEATURES)
-                size = np.sqrt((rows**2).sum(1))
-                rows = (rows[size > 0] / size[size > 0, None]).astype(np.float32)
-                y = rows @ start
-                gram += y.T @ y
-                cross += y.T @ rows
-        bucket = zlib.crc32(gram.tobytes()) % 64
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(width)), pa.array(np.full(width, bucket)),
-             pa.array(list(np.hstack([gram, cross])), pa.list_(pa.float64()))],
-            ["line", "bucket", "sums"],
-        )
+            sums.add(place[known], passage[known])
+            doc, begin, end = finder.regions(place, words.row)
+            if len(doc):
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(pa.array(doc)), pa.array(begin - words.row[doc], pa.int32()),
+                     pa.array([hashes[a:b].tobytes() for a, b in zip(begin, end)], pa.binary()),
+                     pa.nulls(len(doc), pa.int32()), pa.nulls(len(doc), pa.int32()), pa.nulls(len(doc), kind)],
+                    schema.names,
+                )
+        if id_type is not None:
+            lines = sums.lines()
+            bucket = zlib.crc32(lines.tobytes()) % 64
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(len(lines), id_type), pa.nulls(len(lines), pa.int32()), pa.nulls(len(lines), pa.binary()),
+                 pa.array(np.arange(len(lines)), pa.int32()), pa.array(np.full(len(lines), bucket), pa.int32()),
+                 pa.array(list(lines), kind)],
+                schema.names,
+            )
+
+    return written(docs.mapInArrow(work, schema), "contamination")
+
+
+def latent_basis(passed: DataFrame) -> np.ndarray:
+    """``FEATURES x RANK``: right singular vectors of the passages' TF-IDF matrix."""
+    width = RANK + EXTRA
 
     def total(group: pa.Table) -> pa.Table:
         sums = np.zeros(width + FEATURES)
         for line in group["sums"]:
             sums += line.values.to_numpy()
         return pa.table(
-            {"line": group["line"][:1], "bucket": pa.array([0]), "sums": pa.array([sums], pa.list_(pa.float64()))}
+            {"line": group["line"][:1], "bucket": pa.array([0], pa.int32()),
+             "sums": pa.array([sums], pa.list_(pa.float64()))}
         )
 
-    schema = "line long, bucket long, sums array<double>"
-    sums = docs.mapInArrow(work, schema)
+    sums = passed.filter(F.col("line").isNotNull()).select("line", "bucket", "sums")
     for keys in (("line", "bucket"), ("line",)):
-        sums = sums.groupBy(*keys).applyInArrow(total, schema)
-    lines = sums.toArrow().sort_by("line")  # width rows, whatever the corpus
+        sums = sums.groupBy(*keys).applyInArrow(total, "line int, bucket int, sums array<double>")
+    lines = sums.toArrow().sort_by("line")  # ``width`` rows, whatever the corpus
     if not lines.num_rows:
         return np.zeros((FEATURES, RANK))
     both = np.stack([x.values.to_numpy() for x in lines["sums"]])
@@ -169,7 +235,53 @@ def latent_basis(docs: DataFrame, items, weight: np.ndarray) -> np.ndarray:
     value, vector = np.linalg.eigh(gram)
     good = value > 1e-9 * max(value.max(), 1e-30)
     inverse = vector[:, good] / np.sqrt(value[good])
-    return np.linalg.svd(inverse.T @ cross, full_matrices=False)[2][:RANK].T
+    basis = np.zeros((FEATURES, RANK))
+    found = np.linalg.svd(inverse.T @ cross, full_matrices=False)[2][:RANK].T
+    basis[:, : found.shape[1]] = found
+    return basis
+
+
+class Regions:
+    """Finds the windows heavy enough for some item."""
+
+    def __init__(self, items: Items, weight: np.ndarray):
+        self.weight = weight
+        self.mass = np.array([weight[items.places(w)].sum() for w in items.words])
+        self.margin = max(map(len, items.words)) // 2
+        self.least = PARAPHRASED * self.mass.min()
+
+    def windows(self, place: np.ndarray, row: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Begin, end and weight of the windows heavy enough for some item."""
+        heavy = np.where(place >= 0, self.weight[place], 0.0)
+        total = np.concatenate([[0.0], np.cumsum(heavy)])
+        for width in WIDTHS:
+            step, size = width // 4, np.diff(row)
+            number = np.where(size > 0, np.maximum(-(-(size - width) // step), 0) + 1, 0)
+            doc = np.repeat(np.arange(len(size)), number)
+            turn = np.arange(len(doc)) - np.repeat(np.cumsum(number) - number, number)
+            begin = row[doc] + turn * step
+            end = np.minimum(begin + width, row[doc + 1])
+            mass = total[end] - total[begin]
+            kept = mass >= self.least
+            yield begin[kept], end[kept], mass[kept]
+
+    def regions(self, place: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, begin and end of the runs of words around heavy windows."""
+        edge = np.zeros(len(place) + 1, dtype=np.int64)
+        for begin, end, _ in self.windows(place, row):
+            doc = np.searchsorted(row, begin, "right") - 1
+            np.add.at(edge, np.maximum(begin - self.margin, row[doc]), 1)
+            np.add.at(edge, np.minimum(end + self.margin, row[doc + 1]), -1)
+        inside = np.cumsum(edge)[:-1] > 0
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        starts = row[:-1][row[:-1] < row[1:]]
+        first[starts] = inside[starts]
+        begin = np.flatnonzero(first)
+        doc = np.searchsorted(row, begin, "right") - 1
+        stops = np.append(np.flatnonzero(~inside), len(place))
+        end = np.minimum(stops[np.searchsorted(stops, begin)], row[doc + 1])
+        return doc, begin, end
 
 
 def weighted_lcs(item: np.ndarray, weight: np.ndarray, text: np.ndarray) -> float:
@@ -183,57 +295,41 @@ def weighted_lcs(item: np.ndarray, weight: np.ndarray, text: np.ndarray) -> floa
     return float(best[-1])
 
 
-class Searcher:
+class Searcher(Regions):
     """Compares windows with the items of a block."""
 
     def __init__(self, items: Items, weight: np.ndarray, basis: np.ndarray):
-        self.items, self.weight = items, weight
+        super().__init__(items, weight)
+        self.items = items
         self.vectors = (weight[:, None] * basis[np.arange(len(weight)) % FEATURES]).astype(np.float32)
         self.place = [items.places(w) for w in items.words]
-        self.mass = np.array([weight[p].sum() for p in self.place])
-        made = np.stack([self.vectors[p].sum(0) for p in self.place])
-        self.latent = self._unit(made)
-        self.least = PARAPHRASED * self.mass.min()
+        self.latent = self._unit(np.stack([self.vectors[p].sum(0) for p in self.place]))
 
     @staticmethod
     def _unit(rows: np.ndarray) -> np.ndarray:
         return rows / np.maximum(np.sqrt((rows**2).sum(1, keepdims=True)), 1e-12)
 
-    def windows(self, place: np.ndarray, row: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Begin and end of the windows heavy enough for some item."""
-        heavy = np.where(place >= 0, self.weight[place], 0.0)
-        total = np.concatenate([[0.0], np.cumsum(heavy)])
-        for width in WIDTHS:
-            step, size = width // 4, np.diff(row)
-            number = np.where(size > 0, np.maximum(-(-(size - width) // step), 0) + 1, 0)
-            doc = np.repeat(np.arange(len(size)), number)
-            turn = np.arange(len(doc)) - np.repeat(np.cumsum(number) - number, number)
-            begin = row[doc] + turn * step
-            end = np.minimum(begin + width, row[doc + 1])
-            kept = total[end] - total[begin] >= self.least
-            yield begin[kept], end[kept]
-
-    def search(self, hashes: np.ndarray, row: np.ndarray) -> Iterator[tuple]:
-        """``text, item, first, last, cosine, overlap, answer`` of the best window
-        of each text and item that match."""
-        place = self.items.places(hashes)
-        found: dict[tuple[int, int], list[tuple]] = {}
-        for begin, end in self.windows(place, row):
-            for low in range(0, len(begin), 2048):
-                a, b = begin[low : low + 2048], end[low : low + 2048]
+    def search(self, hashes: np.ndarray) -> Iterator[tuple]:
+        """``item, first, last, cosine, overlap, answer`` of the best window of each
+        item found in one region."""
+        place, row = self.items.places(hashes), np.array([0, len(hashes)])
+        found: dict[int, list[tuple]] = {}
+        for begin, end, mass in self.windows(place, row):
+            for low in range(0, len(begin), 512):
+                a, b, m = (x[low : low + 512] for x in (begin, end, mass))
                 made = np.zeros((len(a), self.vectors.shape[1]), dtype=np.float32)
                 for k in range(int((b - a).max(initial=0))):
                     inside = np.flatnonzero(a + k < b)
                     p = place[a[inside] + k]
                     made[inside[p >= 0]] += self.vectors[p[p >= 0]]
                 cosine = self._unit(made) @ self.latent.T
-                for w, n in zip(*np.nonzero(cosine >= COSINE)):
-                    doc = int(np.searchsorted(row, a[w], "right")) - 1
-                    found.setdefault((doc, int(n)), []).append((-float(cosine[w, n]), int(a[w]), int(b[w])))
-        for (doc, n), tried in sorted(found.items()):
-            hit = self._first_match(hashes, row, doc, n, sorted(tried))
+                near = (cosine >= COSINE) & (m[:, None] >= PARAPHRASED * self.mass)
+                for w, n in zip(*np.nonzero(near)):
+                    found.setdefault(int(n), []).append((-float(cosine[w, n]), int(a[w]), int(b[w])))
+        for n, tried in sorted(found.items()):
+            hit = self._first_match(hashes, row, 0, n, sorted(tried))
             if hit:
-                yield doc, n, *hit
+                yield n, *hit
 
     def _first_match(self, hashes, row, doc: int, n: int, tried: list[tuple]) -> tuple | None:
         item, weight = self.items.words[n], self.weight[self.place[n]]
@@ -264,7 +360,7 @@ def contaminated(
     item_text: str = "text",
 ) -> DataFrame:
     """``doc_id, item_id, first_word, last_word, cosine, overlap, answer``: one row
-    for each document and benchmark item found in it.
+    for each benchmark item found in a region of a document.
 
     Words are compared in lower case and without marks at their ends.  NULL and
     empty texts and items of fewer than ``LEAST_WORDS`` words match nothing; an
@@ -294,23 +390,25 @@ def _search_block(rows: DataFrame, block: Items, schema: str) -> DataFrame:
     spark = rows.sparkSession
     items = spark.sparkContext.broadcast(block)
     have, number = passage_counts(rows.select("text"), items)
-    weight = np.log((number + 1) / (have + 0.5)).clip(0.01)
-    basis = latent_basis(rows.select("text"), items, weight)
-    searcher = spark.sparkContext.broadcast(Searcher(block, weight, basis))
+    weight = word_weights(have, number)
+    passed = sums_and_regions(rows, items, weight, have > max(COMMON * number, 1))
+    searcher = spark.sparkContext.broadcast(Searcher(block, weight, latent_basis(passed)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = searcher.value
-        for batch in slices(batches, "text"):
-            words = plain_words(batch.column("text"))
-            hits = list(own.search(word_hashes(words), words.row))
+        for batch in batches:
+            hits = []
+            for n, (first, hashes) in enumerate(zip(batch.column("first").to_pylist(), batch.column("hashes"))):
+                for item, a, b, *marks in own.search(np.frombuffer(hashes.as_buffer(), np.uint64)):
+                    hits.append((n, item, first + a, first + b, *marks))
             if not hits:
                 continue
-            doc, item, first, last, cosine, overlap, answer = zip(*hits)
-            ids = pa.array([own.items.ids[n] for n in item])
+            row, item, first, last, cosine, overlap, answer = zip(*hits)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(doc)), ids, pa.array(first, pa.int32()),
-                 pa.array(last, pa.int32()), pa.array(cosine), pa.array(overlap), pa.array(answer)],
+                [batch.column("doc_id").take(pa.array(row)), pa.array([own.items.ids[n] for n in item]),
+                 pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(cosine), pa.array(overlap),
+                 pa.array(answer)],
                 ["doc_id", "item_id", "first_word", "last_word", "cosine", "overlap", "answer"],
             )
 
-    return rows.mapInArrow(work, schema)
+    return passed.filter(F.col("hashes").isNotNull()).select("doc_id", "first", "hashes").mapInArrow(work, schema)
