@@ -175,7 +175,7 @@ def sums_and_regions(docs: DataFrame, items, weight: np.ndarray, common: np.ndar
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((weight, common))
     schema = T.StructType(
-        [docs.schema["doc_id"]]
+        [T.StructField("doc_id", docs.schema["doc_id"].dataType)]
         + T._parse_datatype_string("first int, hashes binary, line int, bucket int, sums array<double>").fields
     )
     kind = pa.list_(pa.float64())
