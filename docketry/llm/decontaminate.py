@@ -182,7 +182,7 @@ def sums_and_regions(docs: DataFrame, items, weight: np.ndarray, common: np.ndar
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, (weight, common) = items.value, shared.value
-        sums, finder, id_type = Sums(weight, common), Regions(block, weight), None
+        sums, finder, id_type = Sums(weight, common), Regions(block, weight, common), None
         for batch in slices(batches, "text"):
             id_type = batch.column("doc_id").type
             words = plain_words(batch.column("text"))
@@ -244,11 +244,34 @@ def latent_basis(passed: DataFrame) -> np.ndarray:
 class Regions:
     """Finds the windows heavy enough for some item."""
 
-    def __init__(self, items: Items, weight: np.ndarray):
+    def __init__(self, items: Items, weight: np.ndarray, common: np.ndarray):
         self.weight = weight
         self.mass = np.array([weight[items.places(w)].sum() for w in items.words])
         self.margin = max(map(len, items.words)) // 2
         self.least = PARAPHRASED * self.mass.min()
+        self.common = common
+        # For each telling word the items that have it and its weight in them.
+        lists = [items.places(w) for w in items.words]
+        place = np.concatenate(lists)
+        item = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        faint = np.bincount(item, np.where(common[place], weight[place], 0.0), len(lists))
+        #: What telling words must carry for a match; common ones are taken as there.
+        self.need = PARAPHRASED * self.mass - faint - 1e-9
+        place, item = place[~common[place]], item[~common[place]]
+        order = np.argsort(place, kind="stable")
+        self.item, self.share = item[order], weight[place[order]]
+        self.at = np.searchsorted(place[order], np.arange(len(weight) + 1))
+
+    def carried(self, group: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Group, item and weight that the group's telling words can carry of the item."""
+        telling = np.flatnonzero((place >= 0) & ~self.common[place])
+        pair = np.unique(group[telling] * len(self.weight) + place[telling])
+        group, place = pair // len(self.weight), pair % len(self.weight)
+        size = self.at[place + 1] - self.at[place]
+        entry = np.arange(int(size.sum())) + np.repeat(self.at[place] - np.cumsum(size) + size, size)
+        key, back = np.unique(np.repeat(group, size) * len(self.mass) + self.item[entry], return_inverse=True)
+        total = np.bincount(back, self.share[entry], len(key))
+        return key // len(self.mass), key % len(self.mass), total
 
     def windows(self, place: np.ndarray, row: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         """Begin, end and weight of the windows heavy enough for some item."""
@@ -281,6 +304,11 @@ class Regions:
         doc = np.searchsorted(row, begin, "right") - 1
         stops = np.append(np.flatnonzero(~inside), len(place))
         end = np.minimum(stops[np.searchsorted(stops, begin)], row[doc + 1])
+        if len(begin) and (self.need > 0).all():
+            words = np.flatnonzero(inside)
+            group, item, total = self.carried(np.searchsorted(begin, words, "right") - 1, place[words])
+            kept = np.unique(group[total >= self.need[item]])
+            doc, begin, end = doc[kept], begin[kept], end[kept]
         return doc, begin, end
 
 
@@ -298,8 +326,8 @@ def weighted_lcs(item: np.ndarray, weight: np.ndarray, text: np.ndarray) -> floa
 class Searcher(Regions):
     """Compares windows with the items of a block."""
 
-    def __init__(self, items: Items, weight: np.ndarray, basis: np.ndarray):
-        super().__init__(items, weight)
+    def __init__(self, items: Items, weight: np.ndarray, common: np.ndarray, basis: np.ndarray):
+        super().__init__(items, weight, common)
         self.items = items
         self.vectors = (weight[:, None] * basis[np.arange(len(weight)) % FEATURES]).astype(np.float32)
         self.place = [items.places(w) for w in items.words]
@@ -314,6 +342,9 @@ class Searcher(Regions):
         item found in one region."""
         place, row = self.items.places(hashes), np.array([0, len(hashes)])
         found: dict[int, list[tuple]] = {}
+        _, item, total = self.carried(np.zeros(len(place), dtype=np.int64), place)
+        able = self.need <= 0
+        able[item[total >= self.need[item]]] = True
         for begin, end, mass in self.windows(place, row):
             for low in range(0, len(begin), 512):
                 a, b, m = (x[low : low + 512] for x in (begin, end, mass))
@@ -323,7 +354,7 @@ class Searcher(Regions):
                     p = place[a[inside] + k]
                     made[inside[p >= 0]] += self.vectors[p[p >= 0]]
                 cosine = self._unit(made) @ self.latent.T
-                near = (cosine >= COSINE) & (m[:, None] >= PARAPHRASED * self.mass)
+                near = (cosine >= COSINE) & (m[:, None] >= PARAPHRASED * self.mass) & able
                 for w, n in zip(*np.nonzero(near)):
                     found.setdefault(int(n), []).append((-float(cosine[w, n]), int(a[w]), int(b[w])))
         for n, tried in sorted(found.items()):
@@ -391,8 +422,9 @@ def _search_block(rows: DataFrame, block: Items, schema: str) -> DataFrame:
     items = spark.sparkContext.broadcast(block)
     have, number = passage_counts(rows.select("text"), items)
     weight = word_weights(have, number)
-    passed = sums_and_regions(rows, items, weight, have > max(COMMON * number, 1))
-    searcher = spark.sparkContext.broadcast(Searcher(block, weight, latent_basis(passed)))
+    common = have > max(COMMON * number, 1)
+    passed = sums_and_regions(rows, items, weight, common)
+    searcher = spark.sparkContext.broadcast(Searcher(block, weight, common, latent_basis(passed)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = searcher.value
