@@ -5,19 +5,22 @@ The benchmark is the stated set of queries; it is taken in blocks of at most
 
 1. The vocabulary of a block is the words of its items.  How many passages of
    the corpus have each word is counted over all documents, which gives the
-   inverse document frequency of the words.  Words that more than ``COMMON`` of
-   the passages have weigh ``FAINT`` of it.
+   smooth inverse document frequency of the words.  It is level for words that
+   fewer than ``COMMON`` of the passages have and never zero, so that an item's
+   weights depend little on the size of the corpus or on how often it was copied.
 2. Distributed randomised SVD of the TF-IDF matrix of all passages over the
    vocabulary (hashed into ``FEATURES`` columns): every task projects its
    passages on a random basis and adds up two small products; the driver factors
    those, whose size does not depend on the corpus.  Passages with one vocabulary
    word are unit rows and enter by their number.
-3. Windows of every document are compared with the items by cosine in the latent
-   space.  A window is looked at only if the weight of its vocabulary words could
-   reach the overlap that step 4 asks for; that leaves no match out.  The regions
-   around such windows are written with the sums of step 2, so the corpus is read
-   twice in all.
-4. A pair of window and item is kept if the longest common subsequence of words
+3. The telling words of an item are its rarer ones; the others carry ``UNTOLD`` of
+   its weight at most.  Where a stretch of a document as long as the item could
+   span has telling words of less weight than step 4 needs, the item cannot match;
+   that leaves no match out, however often the item stands in the corpus.  The
+   regions around the other stretches are written with the sums of step 2, so the
+   corpus is read twice in all.
+4. The stretches are compared with the item in the latent space and tried by
+   falling cosine.  A pair is kept if the longest common subsequence of words
    carries ``COPIED`` of the item's weight, or ``PARAPHRASED`` of it and the
    answer, the last words of the item, is there too.
 """
@@ -40,13 +43,14 @@ PASSAGE = 128
 FEATURES = 4096
 #: Latent dimensions, and additional ones of the random basis.
 RANK, EXTRA = 48, 16
-#: Widths of the windows; they start every quarter of their width.
-WIDTHS = (16, 32, 64)
-COSINE = 0.5
+#: Words by which a stretch is longer than the item.
+MORE_WORDS = 64
+#: Entries of a stretch up to which repeated words are told apart before step 4.
+LONG_RUN = 512
 COPIED, PARAPHRASED, ANSWERED = 0.8, 0.5, 0.6
 ANSWER_WORDS = 5
-#: Words in more than this share of the passages weigh little.
-COMMON, FAINT = 0.005, 0.02
+#: Words in more than this share of the passages weigh less, and may be untold.
+COMMON, UNTOLD = 0.005, 0.2
 #: Items of fewer words say too little to be found.
 LEAST_WORDS = 8
 
@@ -127,25 +131,22 @@ def passage_counts(docs: DataFrame, items) -> tuple[np.ndarray, int]:
 
 
 def word_weights(have: np.ndarray, passages: int) -> np.ndarray:
-    """Inverse document frequency of the vocabulary, faint for common words."""
-    weight = np.log((passages + 1) / (have + 0.5)).clip(0.01)
-    return np.where(have > max(COMMON * passages, 1), FAINT * weight, weight)
+    """Smooth inverse document frequency of the vocabulary."""
+    return np.log1p((passages + 1) / (np.maximum(have, max(COMMON * passages, 1)) + 0.5))
 
 
 class Sums:
     """Random projection of passages: ``gram`` and ``cross`` of the products."""
 
-    def __init__(self, weight: np.ndarray, common: np.ndarray):
+    def __init__(self, weight: np.ndarray):
         self.width = RANK + EXTRA
         self.start = np.random.default_rng(11).standard_normal((FEATURES, self.width)).astype(np.float32)
-        self.weight, self.common = weight, common
+        self.weight = weight
         self.single = np.zeros(FEATURES)
         self.gram, self.cross = np.zeros((self.width, self.width)), np.zeros((self.width, FEATURES))
 
     def add(self, place: np.ndarray, passage: np.ndarray) -> None:
-        """The known words of some passages; common words are not in the matrix."""
-        telling = ~self.common[place]
-        place, passage = place[telling], passage[telling]
+        """The known words of some passages."""
         if not len(place):
             return
         number = np.bincount(passage)
@@ -157,11 +158,12 @@ class Sums:
             a, b = np.searchsorted(passage, [low, low + 512])
             high = min(512, int(passage[b - 1]) - low + 1)
             cell = (passage[a:b] - low) * FEATURES + place[a:b] % FEATURES
-            rows = np.bincount(cell, self.weight[place[a:b]], high * FEATURES).reshape(high, FEATURES)
-            rows = (rows / np.sqrt((rows**2).sum(1, keepdims=True))).astype(np.float32)
-            y = rows @ self.start
+            rows = np.zeros((high, FEATURES), dtype=np.float32)
+            np.add.at(rows.reshape(-1), cell, self.weight[place[a:b]].astype(np.float32))
+            length = np.sqrt(np.einsum("ij,ij->i", rows, rows))[:, None]
+            y = rows @ self.start / length
             self.gram += y.T @ y
-            self.cross += y.T @ rows
+            self.cross += (y / length).T @ rows
 
     def lines(self) -> np.ndarray:
         """Both products, one line for each direction of the basis."""
@@ -169,11 +171,11 @@ class Sums:
         return np.hstack([self.gram + counted @ self.start, self.cross + counted])
 
 
-def sums_and_regions(docs: DataFrame, items, weight: np.ndarray, common: np.ndarray) -> DataFrame:
+def sums_and_regions(docs: DataFrame, items, weight: np.ndarray, have: np.ndarray) -> DataFrame:
     """The second pass: rows with ``line, bucket, sums`` for the decomposition, and
     rows with ``doc_id, first, hashes``, the regions that may hold an item."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((weight, common))
+    shared = spark.sparkContext.broadcast((weight, Regions(items.value, weight, have)))
     schema = T.StructType(
         [T.StructField("doc_id", docs.schema["doc_id"].dataType)]
         + T._parse_datatype_string("first int, hashes binary, line int, bucket int, sums array<double>").fields
@@ -181,8 +183,8 @@ def sums_and_regions(docs: DataFrame, items, weight: np.ndarray, common: np.ndar
     kind = pa.list_(pa.float64())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, (weight, common) = items.value, shared.value
-        sums, finder, id_type = Sums(weight, common), Regions(block, weight, common), None
+        block, (weight, finder) = items.value, shared.value
+        sums, id_type = Sums(weight), None
         for batch in slices(batches, "text"):
             id_type = batch.column("doc_id").type
             words = plain_words(batch.column("text"))
@@ -242,59 +244,79 @@ def latent_basis(passed: DataFrame) -> np.ndarray:
 
 
 class Regions:
-    """Finds the windows heavy enough for some item."""
+    """Finds the stretches that could carry enough of an item."""
 
-    def __init__(self, items: Items, weight: np.ndarray, common: np.ndarray):
-        self.weight = weight
-        self.mass = np.array([weight[items.places(w)].sum() for w in items.words])
-        self.margin = max(map(len, items.words)) // 2
-        self.least = PARAPHRASED * self.mass.min()
-        self.common = common
-        # For each telling word the items that have it and its weight in them.
+    def __init__(self, items: Items, weight: np.ndarray, have: np.ndarray):
         lists = [items.places(w) for w in items.words]
+        self.size = np.array([len(x) for x in lists])
+        #: Words of a stretch.
+        self.span = self.size + MORE_WORDS
         place = np.concatenate(lists)
-        item = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        faint = np.bincount(item, np.where(common[place], weight[place], 0.0), len(lists))
-        #: What telling words must carry for a match; common ones are taken as there.
-        self.need = PARAPHRASED * self.mass - faint - 1e-9
-        place, item = place[~common[place]], item[~common[place]]
+        item = np.repeat(np.arange(len(lists)), self.size)
+        self.mass = np.bincount(item, weight[place], len(lists))
+        # The most frequent words first, with all that an item has of the word.
+        key, times = np.unique(item * len(weight) + place, return_counts=True)
+        item, place = key // len(weight), key % len(weight)
+        order = np.lexsort((-have[place], item))
+        item, place, heavy = item[order], place[order], (weight[place] * times)[order]
+        total = np.cumsum(heavy)
+        before = np.append(0.0, total)[np.searchsorted(item, np.arange(len(lists)))]
+        untold = total - before[item] <= UNTOLD * self.mass[item]
+        #: What telling words must carry for a match; the others are taken as there.
+        self.need = (PARAPHRASED - 1e-9) * self.mass - np.bincount(item, np.where(untold, heavy, 0), len(lists))
+        # For each word the items that it tells and its weight.
+        item, place, times = item[~untold], place[~untold], times[order][~untold]
         order = np.argsort(place, kind="stable")
         self.item, self.share = item[order], weight[place[order]]
+        self.most = self.share * times[order]
         self.at = np.searchsorted(place[order], np.arange(len(weight) + 1))
 
-    def carried(self, group: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Group, item and weight that the group's telling words can carry of the item."""
-        telling = np.flatnonzero((place >= 0) & ~self.common[place])
-        pair = np.unique(group[telling] * len(self.weight) + place[telling])
-        group, place = pair // len(self.weight), pair % len(self.weight)
-        size = self.at[place + 1] - self.at[place]
-        entry = np.arange(int(size.sum())) + np.repeat(self.at[place] - np.cumsum(size) + size, size)
-        key, back = np.unique(np.repeat(group, size) * len(self.mass) + self.item[entry], return_inverse=True)
-        total = np.bincount(back, self.share[entry], len(key))
-        return key // len(self.mass), key % len(self.mass), total
-
-    def windows(self, place: np.ndarray, row: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        """Begin, end and weight of the windows heavy enough for some item."""
-        heavy = np.where(place >= 0, self.weight[place], 0.0)
-        total = np.concatenate([[0.0], np.cumsum(heavy)])
-        for width in WIDTHS:
-            step, size = width // 4, np.diff(row)
-            number = np.where(size > 0, np.maximum(-(-(size - width) // step), 0) + 1, 0)
-            doc = np.repeat(np.arange(len(size)), number)
-            turn = np.arange(len(doc)) - np.repeat(np.cumsum(number) - number, number)
-            begin = row[doc] + turn * step
-            end = np.minimum(begin + width, row[doc + 1])
-            mass = total[end] - total[begin]
-            kept = mass >= self.least
-            yield begin[kept], end[kept], mass[kept]
+    def stretches(self, place: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Item, begin, first telling word and end of the stretches in which telling
+        words could carry enough; words that are not telling may lead them."""
+        known = np.flatnonzero(place >= 0)
+        size = self.at[place[known] + 1] - self.at[place[known]]
+        known, size = known[size > 0], size[size > 0]
+        entry = np.arange(int(size.sum())) + np.repeat(self.at[place[known]] - np.cumsum(size) + size, size)
+        word, item = np.repeat(known, size), self.item[entry]
+        order = np.argsort(item, kind="stable")
+        word, item, entry = word[order], item[order], entry[order]
+        total = np.append(0.0, np.cumsum(self.share[entry]))
+        text = np.searchsorted(row, word, "right") - 1
+        end = np.minimum(word + self.span[item], row[text + 1])
+        # One number for item and word, so that all stretches are found at once.
+        number = item * (len(place) + 1) + word
+        last = np.searchsorted(number, item * (len(place) + 1) + end)
+        kept = np.flatnonzero(total[last] - total[:-1] >= self.need[item] - 1e-6)
+        kept = kept[self._distinct(kept, last[kept], entry) >= self.need[item[kept]] - 1e-6]
+        lead = np.maximum(word - self.size[item], row[text])
+        lead[1:] = np.where(item[1:] == item[:-1], np.maximum(lead[1:], word[:-1] + 1), lead[1:])
+        return item[kept], lead[kept], word[kept], end[kept]
+
+    def _distinct(self, first: np.ndarray, last: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        """What the runs of entries carry at most if a word counts as often as the
+        item has it; infinite where a run is too long to be looked at."""
+        order = np.argsort(entry, kind="stable")
+        before = np.full(len(entry), -1)
+        again = entry[order[1:]] == entry[order[:-1]]
+        before[order[1:][again]] = order[:-1][again]
+        out = np.full(len(first), np.inf)
+        size = last - first
+        short = np.flatnonzero(size <= LONG_RUN)
+        for low in range(0, len(short), 4096):
+            run = short[low : low + 4096]
+            ends = np.cumsum(size[run])
+            at = np.arange(int(ends[-1])) + np.repeat(first[run] - ends + size[run], size[run])
+            new = before[at] < np.repeat(first[run], size[run])
+            out[run] = np.add.reduceat(np.where(new, self.most[entry[at]], 0.0), ends - size[run])
+        return out
 
     def regions(self, place: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Text, begin and end of the runs of words around heavy windows."""
+        """Text, begin and end of the runs of words that the stretches cover."""
         edge = np.zeros(len(place) + 1, dtype=np.int64)
-        for begin, end, _ in self.windows(place, row):
-            doc = np.searchsorted(row, begin, "right") - 1
-            np.add.at(edge, np.maximum(begin - self.margin, row[doc]), 1)
-            np.add.at(edge, np.minimum(end + self.margin, row[doc + 1]), -1)
+        _, begin, _, end = self.stretches(place, row)
+        np.add.at(edge, begin, 1)
+        np.add.at(edge, end, -1)
         inside = np.cumsum(edge)[:-1] > 0
         first = inside.copy()
         first[1:] &= ~inside[:-1]
@@ -304,11 +326,6 @@ class Regions:
         doc = np.searchsorted(row, begin, "right") - 1
         stops = np.append(np.flatnonzero(~inside), len(place))
         end = np.minimum(stops[np.searchsorted(stops, begin)], row[doc + 1])
-        if len(begin) and (self.need > 0).all():
-            words = np.flatnonzero(inside)
-            group, item, total = self.carried(np.searchsorted(begin, words, "right") - 1, place[words])
-            kept = np.unique(group[total >= self.need[item]])
-            doc, begin, end = doc[kept], begin[kept], end[kept]
         return doc, begin, end
 
 
@@ -324,11 +341,11 @@ def weighted_lcs(item: np.ndarray, weight: np.ndarray, text: np.ndarray) -> floa
 
 
 class Searcher(Regions):
-    """Compares windows with the items of a block."""
+    """Compares stretches with the items of a block."""
 
-    def __init__(self, items: Items, weight: np.ndarray, common: np.ndarray, basis: np.ndarray):
-        super().__init__(items, weight, common)
-        self.items = items
+    def __init__(self, items: Items, weight: np.ndarray, have: np.ndarray, basis: np.ndarray):
+        super().__init__(items, weight, have)
+        self.items, self.weight = items, weight
         self.vectors = (weight[:, None] * basis[np.arange(len(weight)) % FEATURES]).astype(np.float32)
         self.place = [items.places(w) for w in items.words]
         self.latent = self._unit(np.stack([self.vectors[p].sum(0) for p in self.place]))
@@ -338,47 +355,34 @@ class Searcher(Regions):
         return rows / np.maximum(np.sqrt((rows**2).sum(1, keepdims=True)), 1e-12)
 
     def search(self, hashes: np.ndarray) -> Iterator[tuple]:
-        """``item, first, last, cosine, overlap, answer`` of the best window of each
+        """``item, first, last, cosine, overlap, answer`` of the best stretch of each
         item found in one region."""
-        place, row = self.items.places(hashes), np.array([0, len(hashes)])
-        found: dict[int, list[tuple]] = {}
-        _, item, total = self.carried(np.zeros(len(place), dtype=np.int64), place)
-        able = self.need <= 0
-        able[item[total >= self.need[item]]] = True
-        for begin, end, mass in self.windows(place, row):
-            for low in range(0, len(begin), 512):
-                a, b, m = (x[low : low + 512] for x in (begin, end, mass))
-                made = np.zeros((len(a), self.vectors.shape[1]), dtype=np.float32)
-                for k in range(int((b - a).max(initial=0))):
-                    inside = np.flatnonzero(a + k < b)
-                    p = place[a[inside] + k]
-                    made[inside[p >= 0]] += self.vectors[p[p >= 0]]
-                cosine = self._unit(made) @ self.latent.T
-                near = (cosine >= COSINE) & (m[:, None] >= PARAPHRASED * self.mass) & able
-                for w, n in zip(*np.nonzero(near)):
-                    found.setdefault(int(n), []).append((-float(cosine[w, n]), int(a[w]), int(b[w])))
-        for n, tried in sorted(found.items()):
-            hit = self._first_match(hashes, row, 0, n, sorted(tried))
+        place = self.items.places(hashes)
+        item, begin, word, end = self.stretches(place, np.array([0, len(hashes)]))
+        if not len(item):
+            return
+        known = np.where((place >= 0)[:, None], self.vectors[place], 0).astype(float)
+        total = np.vstack([np.zeros((1, known.shape[1])), np.cumsum(known, axis=0)])
+        made = total[np.minimum(word + self.size[item], len(hashes))] - total[word]
+        cosine = (self._unit(made) * self.latent[item]).sum(1)
+        starts = np.flatnonzero(np.append(True, item[1:] != item[:-1]))
+        for a, b in zip(starts, np.append(starts[1:], len(item))):
+            tried = a + np.argsort(-cosine[a:b], kind="stable")
+            hit = self._first_match(hashes, int(item[a]), begin[tried], end[tried], cosine[tried])
             if hit:
-                yield n, *hit
+                yield int(item[a]), *hit
 
-    def _first_match(self, hashes, row, doc: int, n: int, tried: list[tuple]) -> tuple | None:
+    def _first_match(self, hashes: np.ndarray, n: int, begin, end, cosine) -> tuple | None:
         item, weight = self.items.words[n], self.weight[self.place[n]]
-        seen: set[tuple[int, int]] = set()
-        for cosine, a, b in tried:
-            first = max(int(row[doc]), a - len(item) // 2)
-            last = min(int(row[doc + 1]), b + len(item) // 2)
-            key = (first // 16, last // 16)
+        for first, last, near in zip(begin.tolist(), end.tolist(), cosine.tolist()):
             text = hashes[first:last]
-            known = np.isin(item, text)
-            if key in seen or weight[known].sum() < PARAPHRASED * self.mass[n]:
+            if weight[np.isin(item, text)].sum() < (PARAPHRASED - 1e-9) * self.mass[n]:
                 continue
-            seen.add(key)
             overlap = weighted_lcs(item, weight, text) / self.mass[n]
             tail, heavy = item[-ANSWER_WORDS:], weight[-ANSWER_WORDS:]
-            answer = weighted_lcs(tail, heavy, text) / max(float(heavy.sum()), 1e-12)
+            answer = weighted_lcs(tail, heavy, text) / float(heavy.sum())
             if overlap >= COPIED or (overlap >= PARAPHRASED and answer >= ANSWERED):
-                return first - int(row[doc]), last - int(row[doc]) - 1, -cosine, overlap, answer
+                return first, last - 1, near, overlap, answer
         return None
 
 
@@ -422,9 +426,8 @@ def _search_block(rows: DataFrame, block: Items, schema: str) -> DataFrame:
     items = spark.sparkContext.broadcast(block)
     have, number = passage_counts(rows.select("text"), items)
     weight = word_weights(have, number)
-    common = have > max(COMMON * number, 1)
-    passed = sums_and_regions(rows, items, weight, common)
-    searcher = spark.sparkContext.broadcast(Searcher(block, weight, common, latent_basis(passed)))
+    passed = sums_and_regions(rows, items, weight, have)
+    searcher = spark.sparkContext.broadcast(Searcher(block, weight, have, latent_basis(passed)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = searcher.value
