@@ -22,7 +22,8 @@ The benchmark is the stated set of queries; it is taken in blocks of at most
 4. The stretches are compared with the item in the latent space and tried by
    falling cosine.  A pair is kept if the longest common subsequence of words
    carries ``COPIED`` of the item's weight, or ``PARAPHRASED`` of it and the
-   answer, the last words of the item, is there too.
+   answer, the last words of the item, is there too.  Items of fewer than
+   ``LEAST_WORDS`` words are found where all their words stand in a row.
 """
 
 import zlib
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from docketry.llm.frames import named, slices, small_batches, written
-from docketry.llm.words import Words, cut_words, word_hashes
+from docketry.llm.words import Words, chain, cut_words, runs_inside, word_hashes
 
 BLOCK_ITEMS = 20_000
 #: Words of a passage in the statistics.
@@ -43,7 +44,7 @@ PASSAGE = 128
 FEATURES = 4096
 #: Latent dimensions, and additional ones of the random basis.
 RANK, EXTRA = 48, 16
-#: Words by which a stretch is longer than the item.
+#: Words by which a stretch is longer than the item; a longer item may double.
 MORE_WORDS = 64
 #: Entries of a stretch up to which repeated words are told apart before step 4.
 LONG_RUN = 512
@@ -51,7 +52,7 @@ COPIED, PARAPHRASED, ANSWERED = 0.8, 0.5, 0.6
 ANSWER_WORDS = 5
 #: Words in more than this share of the passages weigh less, and may be untold.
 COMMON, UNTOLD = 0.005, 0.2
-#: Items of fewer words say too little to be found.
+#: Items of fewer words must be there word for word.
 LEAST_WORDS = 8
 
 _MARKS = np.zeros(256, dtype=bool)
@@ -77,6 +78,8 @@ class Items:
     ids: list
     words: list[np.ndarray]  # word hashes of each item
     vocabulary: np.ndarray  # sorted word hashes
+    short_ids: list
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  # by length: sorted hashes of runs, items
 
     @staticmethod
     def of(rows: pa.Table) -> "Items":
@@ -85,15 +88,37 @@ class Items:
         each = [hashes[a:b] for a, b in zip(words.row, words.row[1:])]
         kept = [n for n, w in enumerate(each) if len(w) >= LEAST_WORDS]
         ids = rows["item_id"].to_pylist()
-        each = [each[n] for n in kept]
-        vocabulary = np.unique(np.concatenate(each)) if each else np.zeros(0, np.uint64)
-        return Items([ids[n] for n in kept], each, vocabulary)
+        brief = [n for n, w in enumerate(each) if 0 < len(w) < LEAST_WORDS]
+        short = {}
+        for size in sorted({len(each[n]) for n in brief}):
+            which = np.array([k for k, n in enumerate(brief) if len(each[n]) == size])
+            runs = np.concatenate([chain(each[brief[k]], size, size) for k in which])
+            order = np.argsort(runs, kind="stable")
+            short[size] = runs[order], which[order]
+        long = [each[n] for n in kept]
+        vocabulary = np.unique(np.concatenate(long)) if long else np.zeros(0, np.uint64)
+        return Items([ids[n] for n in kept], long, vocabulary, [ids[n] for n in brief], short)
 
     def places(self, hashes: np.ndarray) -> np.ndarray:
         """The vocabulary number of each word, -1 where it is none."""
+        if not len(self.vocabulary):
+            return np.full(len(hashes), -1)
         at = np.minimum(np.searchsorted(self.vocabulary, hashes), len(self.vocabulary) - 1)
         return np.where(self.vocabulary[at] == hashes, at, -1)
 
+    def in_a_row(self, hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Short item, begin and end of each place where all its words stand in a row."""
+        found = [(np.zeros(0, np.int64),) * 3]
+        for size, (runs, which) in self.short.items():
+            made = chain(hashes, size, size)
+            begin = np.flatnonzero(runs_inside(row, size))
+            low, high = (np.searchsorted(runs, made[begin], side) for side in ("left", "right"))
+            number = high - low
+            at = np.arange(int(number.sum())) + np.repeat(low - np.cumsum(number) + number, number)
+            begin = np.repeat(begin, number)
+            found.append((which[at], begin, begin + size))
+        return tuple(np.concatenate(c) for c in zip(*found))
+
 
 def _passages(words: Words) -> np.ndarray:
     """The passage of each word, numbered through all texts."""
@@ -183,7 +208,8 @@ def sums_and_regions(docs: DataFrame, items, weight: np.ndarray, have: np.ndarra
     kind = pa.list_(pa.float64())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, (weight, finder) = items.value, shared.value
+        weight, finder = shared.value
+        block = finder.items
         sums, id_type = Sums(weight), None
         for batch in slices(batches, "text"):
             id_type = batch.column("doc_id").type
@@ -192,7 +218,7 @@ def sums_and_regions(docs: DataFrame, items, weight: np.ndarray, have: np.ndarra
             place, passage = block.places(hashes), _passages(words)
             known = place >= 0
             sums.add(place[known], passage[known])
-            doc, begin, end = finder.regions(place, words.row)
+            doc, begin, end = finder.regions(hashes, place, words.row)
             if len(doc):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(pa.array(doc)), pa.array(begin - words.row[doc], pa.int32()),
@@ -247,11 +273,12 @@ class Regions:
     """Finds the stretches that could carry enough of an item."""
 
     def __init__(self, items: Items, weight: np.ndarray, have: np.ndarray):
+        self.items = items
         lists = [items.places(w) for w in items.words]
-        self.size = np.array([len(x) for x in lists])
+        self.size = np.array([len(x) for x in lists], dtype=np.int64)
         #: Words of a stretch.
-        self.span = self.size + MORE_WORDS
-        place = np.concatenate(lists)
+        self.span = self.size + np.maximum(self.size, MORE_WORDS)
+        place = np.concatenate([np.zeros(0, np.int64), *lists])
         item = np.repeat(np.arange(len(lists)), self.size)
         self.mass = np.bincount(item, weight[place], len(lists))
         # The most frequent words first, with all that an item has of the word.
@@ -311,10 +338,14 @@ class Regions:
             out[run] = np.add.reduceat(np.where(new, self.most[entry[at]], 0.0), ends - size[run])
         return out
 
-    def regions(self, place: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Text, begin and end of the runs of words that the stretches cover."""
+    def regions(
+        self, hashes: np.ndarray, place: np.ndarray, row: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, begin and end of the runs of words that stretches and short items cover."""
         edge = np.zeros(len(place) + 1, dtype=np.int64)
         _, begin, _, end = self.stretches(place, row)
+        _, first, last = self.items.in_a_row(hashes, row)
+        begin, end = np.append(begin, first), np.append(end, last)
         np.add.at(edge, begin, 1)
         np.add.at(edge, end, -1)
         inside = np.cumsum(edge)[:-1] > 0
@@ -345,20 +376,23 @@ class Searcher(Regions):
 
     def __init__(self, items: Items, weight: np.ndarray, have: np.ndarray, basis: np.ndarray):
         super().__init__(items, weight, have)
-        self.items, self.weight = items, weight
+        self.weight = weight
         self.vectors = (weight[:, None] * basis[np.arange(len(weight)) % FEATURES]).astype(np.float32)
         self.place = [items.places(w) for w in items.words]
-        self.latent = self._unit(np.stack([self.vectors[p].sum(0) for p in self.place]))
+        self.latent = self._unit(np.array([self.vectors[p].sum(0) for p in self.place]).reshape(-1, basis.shape[1]))
 
     @staticmethod
     def _unit(rows: np.ndarray) -> np.ndarray:
         return rows / np.maximum(np.sqrt((rows**2).sum(1, keepdims=True)), 1e-12)
 
     def search(self, hashes: np.ndarray) -> Iterator[tuple]:
-        """``item, first, last, cosine, overlap, answer`` of the best stretch of each
+        """``item_id, first, last, cosine, overlap, answer`` of the best stretch of each
         item found in one region."""
-        place = self.items.places(hashes)
-        item, begin, word, end = self.stretches(place, np.array([0, len(hashes)]))
+        place, row = self.items.places(hashes), np.array([0, len(hashes)])
+        item, first, last = self.items.in_a_row(hashes, row)
+        for n in np.unique(item, return_index=True)[1]:
+            yield self.items.short_ids[item[n]], int(first[n]), int(last[n]) - 1, 1.0, 1.0, 1.0
+        item, begin, word, end = self.stretches(place, row)
         if not len(item):
             return
         known = np.where((place >= 0)[:, None], self.vectors[place], 0).astype(float)
@@ -370,7 +404,7 @@ class Searcher(Regions):
             tried = a + np.argsort(-cosine[a:b], kind="stable")
             hit = self._first_match(hashes, int(item[a]), begin[tried], end[tried], cosine[tried])
             if hit:
-                yield int(item[a]), *hit
+                yield self.items.ids[item[a]], *hit
 
     def _first_match(self, hashes: np.ndarray, n: int, begin, end, cosine) -> tuple | None:
         item, weight = self.items.words[n], self.weight[self.place[n]]
@@ -398,8 +432,8 @@ def contaminated(
     for each benchmark item found in a region of a document.
 
     Words are compared in lower case and without marks at their ends.  NULL and
-    empty texts and items of fewer than ``LEAST_WORDS`` words match nothing; an
-    empty benchmark or corpus gives an empty result.  Repeated rows of either
+    empty texts match nothing; an empty benchmark or corpus gives an empty result.
+    Items of fewer than ``LEAST_WORDS`` words match word for word only.  Repeated rows of either
     side are found as often as they are there.  Whole texts are searched.  Other
     columns are not looked at.
     """
@@ -416,7 +450,7 @@ def contaminated(
     blocks = -(-asked.count() // BLOCK_ITEMS)
     for n in range(blocks):
         block = Items.of(asked.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n).toArrow())
-        if block.ids:
+        if block.ids or block.short_ids:
             out = out.unionByName(_search_block(rows, block, schema))
     return out
 
@@ -440,7 +474,7 @@ def _search_block(rows: DataFrame, block: Items, schema: str) -> DataFrame:
                 continue
             row, item, first, last, cosine, overlap, answer = zip(*hits)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(row)), pa.array([own.items.ids[n] for n in item]),
+                [batch.column("doc_id").take(pa.array(row)), pa.array(item),
                  pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(cosine), pa.array(overlap),
                  pa.array(answer)],
                 ["doc_id", "item_id", "first_word", "last_word", "cosine", "overlap", "answer"],
