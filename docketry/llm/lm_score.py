@@ -7,16 +7,19 @@
    dealt by hash into parts; a part is counted in one task, and the number of
    parts grows with the corpus, so that a part stays small.
 3. Each part becomes one piece of a log-frequency Bloom filter: an n-gram with
-   count c is entered once for each level 1 .. log2(c).  Probing levels upwards
-   until one is missing gives the level and so the count, within its rounding.
-   N-grams seen once are not entered.  The filter has ``FILTER_BITS`` bits
-   whatever the corpus; where a piece would be overfull, entry starts at a
-   higher count.
+   count c is entered once for each level 1 .. 1 + log2(c), those seen once
+   included.  Probing levels upwards until one is missing gives the level and so
+   the count, within its rounding.  A piece has ``BITS`` for each entry, so the
+   filter grows with the n-grams and none is left out.
 4. Probability of a word: a mixture of the share of its n-gram in the count of
    its history and the probability with a shorter history, down to the smoothed
-   token share.  The weight of the shorter history is the mass that the entered
-   n-grams of such histories leave (Good-Turing).  Shares of one history sum to
-   one at most, up to the rounding of the counts.
+   token share.  The weight of the shorter history is the mass of the n-grams
+   seen once (Good-Turing): for pairs measured by how frequent the history is, for
+   longer ones dealt to the histories as k / (k + count).  Shares of one history
+   sum to one at most, up to the rounding of the counts.
+5. A filter of at most ``BROADCAST_BYTES`` goes to every task.  A larger one stays
+   in its pieces: the n-grams of each batch are dealt to the pieces by hash, and
+   their levels come back to the batch.  Both ways give the same scores.
 
 Tokens and n-grams go by 64-bit hashes of their bytes.
 """
@@ -33,8 +36,10 @@ from docketry.llm.words import Words, chain, cut_words, mix, word_hashes
 
 #: Longest n-gram.
 ORDER = 3
-#: Bits of the filter: 16 MB.
-FILTER_BITS = 1 << 27
+#: Bits of the filter for each n-gram entered, and for each further level of it.
+BITS, LEVEL_BITS = 16, 4
+#: Largest filter that is broadcast.
+BROADCAST_BYTES = 16 << 20
 #: Hash functions of a level; the first level takes more, as it decides whether an n-gram is known.
 PROBES_FIRST, PROBES = 4, 2
 #: Part of the bits that may be set for a piece.
@@ -50,6 +55,8 @@ END = np.uint64(0x5851F42D4C957F2D)
 #: Class of histories (log2 of the count) whose count is not broadcast.
 RARE = 0
 CLASSES = 64
+#: What the pieces count, 256 places each.
+SUMS = ("mass", "again", "grams", "occurrences")
 
 
 def tokens_of(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -230,73 +237,94 @@ def piece_of_filter(key: np.ndarray, count: np.ndarray, bits: int) -> tuple[np.n
     return np.packbits(field), floor
 
 
-def filter_pieces(packs: DataFrame, bits: int) -> DataFrame:
-    """``part, field, floor`` and, by class, ``mass`` and the ``entered`` part of
-    it; by level, how many n-grams and occurrences were entered."""
+def filter_pieces(packs: DataFrame) -> DataFrame:
+    """``part, field, bits``; by class the ``mass`` of the n-grams and that of those
+    seen ``again``; by order and level how many n-grams and occurrences there are."""
 
     def work(group: pa.Table) -> pa.Table:
         low, high, times, kind = _unpack(group["pack"], "<u4", "u1", "<u4", "u1")
         key = (high.astype(np.uint64) << np.uint64(32)) | low
         key, count, row = _summed(key, times)
-        kind = kind[row]
-        field, floor = piece_of_filter(key, count, bits)
-        level = np.frexp(count)[1] - 1
-        inside = level >= floor
+        kind = kind[row].astype(np.int64)
+        level = np.frexp(count)[1]  # 1 for 1, 2 for 2 and 3, 3 for 4 to 7, ...
+        bits = 64 + BITS * len(key) + LEVEL_BITS * int((level - 1).sum())
+        # Twice the count, as ``piece_of_filter`` enters from 2 on.
+        field, floor = piece_of_filter(key, 2 * count, bits)
+        assert floor == 1
+        again, place = count > 1, kind // CLASSES * CLASSES + level
         sums = [
             np.bincount(kind, count, 256),
-            np.bincount(kind[inside], count[inside], 256),
-            np.bincount(level[inside], minlength=CLASSES),
-            np.bincount(level[inside], count[inside], CLASSES),
+            np.bincount(kind[again], count[again], 256),
+            np.bincount(place, minlength=256),
+            np.bincount(place, count, 256),
         ]
         return pa.table(
             {"part": group["part"][:1], "field": pa.array([field.tobytes()], pa.binary()),
-             "floor": pa.array([floor], pa.int32())}
-            | {n: pa.array([x.astype(float)], pa.list_(pa.float64()))
-               for n, x in zip(("mass", "entered", "grams", "occurrences"), sums)}
+             "bits": pa.array([bits], pa.int64())}
+            | {n: pa.array([x.astype(float)], pa.list_(pa.float64())) for n, x in zip(SUMS, sums)}
         )
 
-    arrays = ", ".join(f"{n} array<double>" for n in ("mass", "entered", "grams", "occurrences"))
-    return packs.groupBy("part").applyInArrow(work, f"part long, field binary, floor int, {arrays}")
+    arrays = ", ".join(f"{n} array<double>" for n in SUMS)
+    return packs.groupBy("part").applyInArrow(work, f"part long, field binary, bits long, {arrays}")
+
+
+def levels_of(key: np.ndarray, flat: np.ndarray, begin: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The level up to which each n-gram is a member of its piece, which begins at
+    a byte of ``flat`` and has some bits."""
+    level = np.zeros(len(key), dtype=np.int64)
+    active = np.arange(len(key))
+    for step in range(1, CLASSES):
+        one, two, times = probes(key[active], step)
+        for k in range(times):
+            at = ((one + np.uint64(k) * two) % bits[active]).astype(np.int64)
+            byte = flat[begin[active] + (at >> 3)]
+            hit = (byte >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+            active, one, two = active[hit], one[hit], two[hit]
+        if not len(active):
+            break
+        level[active] = step
+    return level
 
 
 @dataclass(frozen=True)
 class Model:
-    """All that scoring needs; its size is bounded by the parameters."""
+    """All that scoring needs; ``pieces`` is None where they are not broadcast."""
 
     known: Counts
-    bits: int  # of a piece
-    pieces: np.ndarray  # parts x bytes
+    bits: int | np.ndarray  # of a piece, or of each
+    pieces: np.ndarray | None  # parts x bytes
     floors: np.ndarray  # level of entry by part
     mean: np.ndarray  # mean count by level
     shorter: np.ndarray  # weight of the shorter history by class
     order: int
+    spare: np.ndarray | None = None  # k of the longer histories by order
 
     def counts(self, gram: np.ndarray) -> np.ndarray:
         """Mean count of the level up to which an n-gram is a member, else 0."""
         part = (gram % np.uint64(len(self.pieces))).astype(np.int64)
         low, high = split_key(gram)
         key = (high.astype(np.uint64) << np.uint64(32)) | low
-        flat, width = self.pieces.reshape(-1), self.pieces.shape[1]
-        level = np.zeros(len(gram), dtype=np.int64)
-        active = np.arange(len(gram))
-        for step in range(1, CLASSES):
-            one, two, times = probes(key[active], step)
-            for k in range(times):
-                at = ((one + np.uint64(k) * two) % np.uint64(self.bits)).astype(np.int64)
-                byte = flat[part[active] * width + (at >> 3)]
-                hit = (byte >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-                active, one, two = active[hit], one[hit], two[hit]
-            if not len(active):
-                break
-            level[active] = step
-        return np.where(level > 0, self.mean[np.minimum(level + self.floors[part] - 1, CLASSES - 1)], 0.0)
-
-    def log_probabilities(self, tokens: np.ndarray, row: np.ndarray) -> np.ndarray:
+        bits = np.broadcast_to(np.asarray(self.bits, dtype=np.uint64), len(self.pieces))[part]
+        level = levels_of(key, self.pieces.reshape(-1), part * self.pieces.shape[1], bits)
+        return self.meant(level, self.floors[part])
+
+    def meant(self, level: np.ndarray, floor) -> np.ndarray:
+        return np.where(level > 0, self.mean[np.minimum(level + floor - 1, CLASSES - 1)], 0.0)
+
+    def asked(self, tokens: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """The distinct n-grams whose counts may be needed, sorted."""
+        rare = tokens[self.known.of(tokens) == 0]
+        return np.unique(np.concatenate(
+            [chain(rare, 1, 1), *(grams(tokens, row, n)[0] for n in range(2, self.order + 1))]
+        ))
+
+    def log_probabilities(self, tokens: np.ndarray, row: np.ndarray, counts=None) -> np.ndarray:
         """log10 of the probability of each token after those before it."""
+        counts = counts or self.counts
         seen = self.known.of(tokens)
         count = seen.astype(float)
         rare = np.flatnonzero(seen == 0)
-        count[rare] = self.counts(chain(tokens[rare], 1, 1))
+        count[rare] = counts(chain(tokens[rare], 1, 1))
         p = self.known.share(count)
         history, kind = count, history_class(seen)
         for n in range(2, self.order + 1):
@@ -305,46 +333,94 @@ class Model:
             # An n-gram is a member only if its history is.
             asked = before > 0
             gram, last, before = gram[asked], last[asked], before[asked]
-            found = np.minimum(self.counts(gram) / before, 1.0)
-            weight = self.shorter[(n - 1) * CLASSES + (kind[last - 1] if n == 2 else 0)]
+            found = np.minimum(counts(gram) / before, 1.0)
+            if n == 2:
+                weight = self.shorter[CLASSES + kind[last - 1]]
+            else:
+                weight = np.clip(self.spare[n] / (self.spare[n] + before), 0.02, 1)
             p[last] = (1 - weight) * found + weight * p[last]
             history = np.zeros(len(tokens))
             history[last] = found * before
         return np.log10(p)
 
 
-def fit(train: DataFrame, order: int = ORDER) -> tuple[Model, DataFrame, int]:
-    """The model of the texts, all token counts, and the least count broadcast."""
+def _spare(once: float, grams_: np.ndarray, times: np.ndarray) -> float:
+    """The k with which k / (k + count) of all histories' mass is what was seen once."""
+    mean = times / np.maximum(grams_, 1)
+    low, high = 1e-6, 1e12
+    for _ in range(100):
+        k = (low * high) ** 0.5
+        low, high = (k, high) if (times * k / (k + mean)).sum() < once else (low, k)
+    return (low * high) ** 0.5
+
+
+def fit(train: DataFrame, order: int = ORDER) -> tuple[Model, DataFrame, int, DataFrame]:
+    """The model of the texts, all token counts, the least count broadcast, and the
+    pieces of the filter."""
     spark = train.sparkSession
     size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = size // PART_BYTES + 1
     counts = written(token_counts(train, parts), "lm-tokens")
     known, least = frequent(counts)
     broadcast = spark.sparkContext.broadcast(known)
-    bits = max(64, FILTER_BITS // parts)
-    made = written(filter_pieces(gram_packs(train, broadcast, parts, order), bits), "lm-filter").toArrow()
-    pieces = np.zeros((parts, -(-bits // 8)), dtype=np.uint8)
-    floors = np.ones(parts, dtype=np.int64)
-    for part, field, floor in zip(made["part"].to_pylist(), made["field"], made["floor"].to_pylist()):
-        pieces[part] = np.frombuffer(field.as_buffer(), dtype=np.uint8)
-        floors[part] = floor
-
-    def summed(name: str, size: int) -> np.ndarray:
-        return sum((np.array(x) for x in made[name].to_pylist()), np.zeros(size))
-
-    mass, entered = summed("mass", 256), summed("entered", 256)
-    grams_, times = summed("grams", CLASSES), summed("occurrences", CLASSES)
-    mean = np.where(grams_ > 0, times / np.maximum(grams_, 1), 1.5 * 2.0 ** np.arange(CLASSES))
+    pieces = written(filter_pieces(gram_packs(train, broadcast, parts, order)), "lm-filter")
+    # 1024 sums and one width, whatever the corpus.
+    row = pieces.agg(
+        F.max(F.octet_length("field")).alias("width"),
+        *[F.array(*[F.sum(F.col(n)[k]) for k in range(256)]).alias(n) for n in SUMS],
+    ).first()
+    mass, again, grams_, times = (np.array([x or 0.0 for x in row[n]]) for n in SUMS)
+    bits, held = np.full(parts, 64, dtype=np.uint64), None
+    if parts * (row["width"] or 8) <= BROADCAST_BYTES:
+        made = pieces.select("part", "field", "bits").toArrow()
+        held = np.zeros((parts, row["width"] or 8), dtype=np.uint8)
+        for part, field, n in zip(made["part"].to_pylist(), made["field"], made["bits"].to_pylist()):
+            own = np.frombuffer(field.as_buffer(), dtype=np.uint8)
+            held[part, : len(own)], bits[part] = own, n
+    by_order = [x.reshape(-1, CLASSES) for x in (grams_, times)]
+    level_grams, level_times = (x.sum(0) for x in by_order)
+    mean = np.where(level_grams > 0, level_times / np.maximum(level_grams, 1), 0.75 * 2.0 ** np.arange(CLASSES))
     shorter = np.ones(256)
     pairs = slice(CLASSES, 2 * CLASSES)
-    shorter[pairs] = np.where(mass[pairs] > 0, 1 - entered[pairs] / np.maximum(mass[pairs], 1), 1)
-    for n in range(3, order + 1):
-        # Histories that are members are as frequent as the shorter n-grams entered.
-        held = entered[(n - 2) * CLASSES : (n - 1) * CLASSES].sum()
-        longer = entered[(n - 1) * CLASSES]
-        shorter[(n - 1) * CLASSES] = 1 - longer / held if held > 0 else 1
+    shorter[pairs] = np.where(mass[pairs] > 0, 1 - again[pairs] / np.maximum(mass[pairs], 1), 1)
     shorter = np.clip(shorter, 0.02, 1)
-    return Model(known, bits, pieces, floors, mean, shorter, order), counts, least
+    spare = np.ones(order + 1)
+    for n in range(3, order + 1):
+        once = mass[(n - 1) * CLASSES] - again[(n - 1) * CLASSES]
+        spare[n] = _spare(once, by_order[0][n - 2], by_order[1][n - 2])
+    return Model(known, bits, held, np.ones(parts, dtype=np.int64), mean, shorter, order, spare), counts, least, pieces
+
+
+def dealt_levels(batches: DataFrame, pieces: DataFrame, broadcast) -> DataFrame:
+    """``batch, part, levels``: of each batch's n-grams in a part, in their order."""
+    parts = len(broadcast.value.floors)
+
+    def deal(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = broadcast.value
+        for batch in rows:
+            for n in range(batch.num_rows):
+                tokens, row = tokens_of(cut_words(batch.column("text")[n].values, lower=True))
+                gram = model.asked(tokens, row)
+                pack = _packs(gram, parts, *split_key(gram))
+                number = pa.array(np.full(pack.num_rows, batch.column("batch")[n].as_py()), pa.int64())
+                yield pa.RecordBatch.from_arrays([number, *pack.columns], ["batch", "part", "pack"])
+
+    def look_up(asked: pa.Table, piece: pa.Table) -> pa.Table:
+        levels = []
+        for pack in asked["pack"]:
+            low, high = _unpack([pack], "<u4", "u1")
+            key = (high.astype(np.uint64) << np.uint64(32)) | low
+            level = np.zeros(len(key), dtype=np.int64)
+            if piece.num_rows:
+                flat = np.frombuffer(piece["field"][0].as_buffer(), dtype=np.uint8)
+                bits = np.full(len(key), piece["bits"][0].as_py(), dtype=np.uint64)
+                level = levels_of(key, flat, np.zeros(len(key), dtype=np.int64), bits)
+            levels.append(level.astype(np.uint8).tobytes())
+        return pa.table({"batch": asked["batch"], "part": asked["part"], "levels": pa.array(levels, pa.binary())})
+
+    asked = batches.select("batch", "text").mapInArrow(deal, "batch long, part long, pack binary")
+    answers = asked.groupBy("part").cogroup(pieces.select("part", "field", "bits").groupBy("part"))
+    return answers.applyInArrow(look_up, "batch long, part long, levels binary")
 
 
 def score_texts(
@@ -362,32 +438,63 @@ def score_texts(
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(named(doc_id).alias("doc_id"), named(text).cast("string").alias("text"))
-    model, counts, least = fit(rows.filter(in_training).select("text"), order)
+    model, counts, least, pieces = fit(rows.filter(in_training).select("text"), order)
     broadcast = spark.sparkContext.broadcast(model)
     schema = (
         f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, n_known long, "
         "base_score double, score double, others array<long>"
     )
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scores(ids: pa.Array, texts: pa.Array, counts_of=None) -> pa.RecordBatch:
         model = broadcast.value
+        tokens, row = tokens_of(cut_words(texts, lower=True))
+        seen = model.known.of(tokens)
+        base = np.add.reduceat(np.log10(model.known.share(seen)), row[:-1])
+        made = model.log_probabilities(tokens, row, counts_of and counts_of(model.asked(tokens, row)))
+        score = np.add.reduceat(made, row[:-1])
+        other = seen == 0
+        at = np.concatenate([[0], np.cumsum(other)])[row]
+        return pa.RecordBatch.from_arrays(
+            [ids, pa.array(np.diff(row)),
+             pa.array(np.add.reduceat((~other).astype(np.int64), row[:-1])),
+             pa.array(base), pa.array(score),
+             pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(tokens[other].view(np.int64)))],
+            ["doc_id", "n_tokens", "n_known", "base_score", "score", "others"],
+        )
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            yield scores(batch.column("doc_id"), batch.column("text"))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            tokens, row = tokens_of(cut_words(batch.column("text"), lower=True))
-            seen = model.known.of(tokens)
-            base = np.add.reduceat(np.log10(model.known.share(seen)), row[:-1])
-            score = np.add.reduceat(model.log_probabilities(tokens, row), row[:-1])
-            other = seen == 0
-            at = np.concatenate([[0], np.cumsum(other)])[row]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.diff(row)),
-                 pa.array(np.add.reduceat((~other).astype(np.int64), row[:-1])),
-                 pa.array(base), pa.array(score),
-                 pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(tokens[other].view(np.int64)))],
-                ["doc_id", "n_tokens", "n_known", "base_score", "score", "others"],
+                [pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(n))
+                 for n in ("doc_id", "text")], ["doc_id", "text"],
             )
 
-    scored = rows.mapInArrow(work, schema).withColumn("row", F.monotonically_increasing_id())
-    scored = written(scored, "lm-scores")
+    def put_together(batch: pa.Table, answers: pa.Table) -> pa.Table:
+        ids, texts = (batch[n].combine_chunks()[0].values for n in ("doc_id", "text"))
+
+        def counts_of(gram: np.ndarray):
+            model, level = broadcast.value, np.zeros(len(gram), dtype=np.int64)
+            part = (gram % np.uint64(len(model.floors))).astype(np.int64)
+            turn = np.argsort(part, kind="stable")
+            answers_ = answers.sort_by("part")["levels"].to_pylist()
+            level[turn] = np.frombuffer(b"".join(answers_), dtype=np.uint8)
+            return lambda asked: model.meant(level[np.searchsorted(gram, asked)], 1)
+
+        return pa.Table.from_batches([scores(ids, texts, counts_of)])
+
+    if model.pieces is not None:
+        scored = rows.mapInArrow(work, schema)
+    else:
+        kind = rows.schema["doc_id"].dataType.simpleString()
+        batches = rows.mapInArrow(gather, f"doc_id array<{kind}>, text array<string>")
+        batches = written(batches.withColumn("batch", F.monotonically_increasing_id()), "lm-batches")
+        answers = dealt_levels(batches, pieces, broadcast)
+        scored = batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(put_together, schema)
+    scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scores")
     # Tokens without a broadcast count were taken as unknown; those that are in
     # the corpus after all are put right here.
     rare = counts.filter(F.col("count") < least)
