@@ -1,6 +1,8 @@
 """One query for each corpus operator over its whole table, with check SQL."""
 
-from docketry.llm import q_bpe, q_decontaminate, q_lm, q_near, q_pii, q_quality, q_sharding, q_substring, q_topk, q_urls
+from docketry.llm import (
+    q_bpe, q_decontaminate, q_lm, q_near, q_pii, q_quality, q_runs, q_sharding, q_substring, q_topk, q_urls,
+)
 
 QUERIES = {
     "op1_url_filter": (q_urls.query, q_urls.SQL),
@@ -13,4 +15,5 @@ QUERIES = {
     "op8_topk": (q_topk.query, q_topk.SQL),
     "op9_bpe": (q_bpe.query, q_bpe.SQL),
     "op10_quality": (q_quality.query, q_quality.SQL),
+    "op12_runs": (q_runs.query, q_runs.SQL),
 }
