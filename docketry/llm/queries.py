@@ -1,7 +1,8 @@
 """One query for each corpus operator over its whole table, with check SQL."""
 
 from docketry.llm import (
-    q_bpe, q_decontaminate, q_lm, q_near, q_pii, q_quality, q_runs, q_sharding, q_substring, q_topk, q_urls,
+    q_bpe, q_decontaminate, q_license, q_lm, q_near, q_pii, q_quality, q_runs, q_sharding,
+    q_substring, q_topk, q_urls,
 )
 
 QUERIES = {
@@ -16,4 +17,5 @@ QUERIES = {
     "op9_bpe": (q_bpe.query, q_bpe.SQL),
     "op10_quality": (q_quality.query, q_quality.SQL),
     "op12_runs": (q_runs.query, q_runs.SQL),
+    "op13_license_scan": (q_license.query, q_license.SQL),
 }
