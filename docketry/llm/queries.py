@@ -1,8 +1,8 @@
 """One query for each corpus operator over its whole table, with check SQL."""
 
 from docketry.llm import (
-    q_bpe, q_decontaminate, q_license, q_lm, q_near, q_pii, q_quality, q_runs, q_sharding,
-    q_substring, q_topk, q_urls,
+    q_bpe, q_conversations, q_decontaminate, q_license, q_lm, q_near, q_pii, q_quality,
+    q_runs, q_sharding, q_substring, q_topk, q_urls,
 )
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_topk": (q_topk.query, q_topk.SQL),
     "op9_bpe": (q_bpe.query, q_bpe.SQL),
     "op10_quality": (q_quality.query, q_quality.SQL),
+    "op11_conversation_repair": (q_conversations.query, q_conversations.SQL),
     "op12_runs": (q_runs.query, q_runs.SQL),
     "op13_license_scan": (q_license.query, q_license.SQL),
 }
