@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docketry.operators import evaluate
 from docketry.sources import datasets
+from docketry.sources.positions import POSITION, read_numbered
 
 
 class Report(NamedTuple):
@@ -22,14 +23,15 @@ def report(
     truth: DataFrame,
     weights: dict[str, float] | None = None,
     scores_path: str | None = None,
+    keys: tuple[str, ...] = ("request_id",),
 ) -> Report:
-    """Score all samples and summarise them.
+    """Score all samples, paired by ``keys``, and summarise them.
 
     ``scores_path`` (shared storage) writes the scores once; the three
     summaries then read numbers instead of scoring again.  Empty or unpaired
     input fails.
     """
-    scores = evaluate.score_samples(predictions, truth)
+    scores = evaluate.score_samples(predictions, truth, keys)
     if scores_path is not None:
         scores.write.mode("overwrite").parquet(scores_path)
         scores = predictions.sparkSession.read.parquet(scores_path)
@@ -40,17 +42,26 @@ def report(
         empty.cast("bigint")
     )
     return Report(
-        overall.withColumn("total_samples", checked), fields, evaluate.failures(scores), scores
+        overall.withColumn("total_samples", checked), fields, evaluate.failures(scores, keys[-1]), scores
     )
 
 
 def evaluate_files(
-    spark: SparkSession, predictions_path: str, truth_path: str, report_path: str
+    spark: SparkSession,
+    predictions_path: str,
+    truth_path: str,
+    report_path: str,
+    keys: tuple[str, ...] = ("request_id",),
 ) -> Report:
-    """Read both record files, score them and save every part of the report."""
+    """Read both record files, score them and save every part of the report.
+
+    Records without ids are paired by their place: ``keys=("position",)``.
+    """
+    read = read_numbered if keys == (POSITION,) else datasets.read_records
     parts = report(
-        datasets.read_records(spark, predictions_path),
-        datasets.read_records(spark, truth_path),
+        read(spark, predictions_path),
+        read(spark, truth_path),
+        keys=keys,
         scores_path=f"{report_path.rstrip('/')}/scores",
     )
     datasets.write_report(

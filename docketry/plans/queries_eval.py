@@ -9,7 +9,9 @@ from docketry.operators import evaluate, regress
 from docketry.plans import oracle_sql as sql
 from docketry.session import work_folder
 from docketry.sources import datasets
+from docketry.plans.evaluation import evaluate_files
 from docketry.sources.orders import receipts_from_orders, table
+from docketry.sources.positions import write_ordered
 
 _CATEGORIES = list(fv.CATEGORY_KEYWORDS)
 
@@ -439,7 +441,57 @@ SELECT test_name, run_ts, field, round(score, 9) AS score FROM r
 WHERE CASE WHEN test_name = '1-URGENT' THEN run_ts = 1995 ELSE k = 1 END
 """
 
+# --- records without ids ------------------------------------------------------------------
+
+def _unnamed_files(spark: SparkSession, sf_dir: str) -> tuple[str, str, str]:
+    """Both sides exported without any id, in order, over different numbers of files."""
+    folder = work_folder(spark, "unnamed")
+    predictions, truth = _pairs(spark, sf_dir)
+    names = ("request_id", "test_name", "run_ts")
+    write_ordered(predictions.drop(*names), f"{folder}/predictions.jsonl", "order_key", files=7)
+    write_ordered(truth.drop(*names), f"{folder}/truth.jsonl", "order_key", files=5)
+    return f"{folder}/predictions.jsonl", f"{folder}/truth.jsonl", f"{folder}/report"
+
+
+def scores_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples without ids, paired by their place in the files."""
+    parts = evaluate_files(spark, *_unnamed_files(spark, sf_dir), keys=("position",))
+    return parts.scores.select("position", *[F.round(f, 9).alias(f) for f in fv.FIELDS])
+
+
+_SCORES_BY_POSITION = (
+    f"WITH {_SCORES} SELECT row_number() OVER (ORDER BY order_key) - 1 AS position, "
+    + ", ".join(f"round({f}, 9) AS {f}" for f in fv.FIELDS)
+    + " FROM sc"
+)
+
+
+def report_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of records without ids as the evaluation over files saved it."""
+    predictions, truth, folder = _unnamed_files(spark, sf_dir)
+    evaluate_files(spark, predictions, truth, folder, keys=("position",))
+    return spark.read.parquet(f"{folder}/summary").select(
+        "position", "field", "samples",
+        *[F.round(c, 9).alias(c) for c in ("score", "error_rate", "ci_lower", "ci_upper")],
+    )
+
+
+_REPORT_SAVED = f"""
+WITH {_SCORES}, {_TALL},
+m AS (SELECT field, any_value(w) AS w, count(*) AS samples, avg(s) AS mean,
+  avg(CASE WHEN s < 0.8 THEN 1.0 ELSE 0.0 END) AS bad,
+  1.96 * stddev_samp(s) / sqrt(count(*)) AS margin FROM tall GROUP BY field)
+SELECT list_position([{", ".join(f"'{f}'" for f in fv.FIELDS)}], field) - 1 AS position, field, samples,
+  round(mean, 9) AS score, round(bad, 9) AS error_rate,
+  round(greatest(0.0, mean - margin), 9) AS ci_lower, round(least(1.0, mean + margin), 9) AS ci_upper
+FROM m
+UNION ALL
+SELECT -1, 'overall_score', max(samples), round(sum(mean * w) / sum(w), 9), NULL, NULL, NULL FROM m
+"""
+
 QUERIES = {
+    "scores_by_position": (scores_by_position, _SCORES_BY_POSITION),
+    "report_saved": (report_saved, _REPORT_SAVED),
     "scores_per_sample": (scores_per_sample, _SCORES_PER_SAMPLE),
     "scores_amount_date_currency": (scores_amount_date_currency, _SCORES_AMOUNT_DATE_CURRENCY),
     "score_text_similarity": (score_text_similarity, _SCORE_TEXT_SIMILARITY),
