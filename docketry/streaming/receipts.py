@@ -1,18 +1,10 @@
-"""Structured Streaming forms of ingest and of the TTL cache."""
+"""Structured Streaming forms of ingest and of the first request of a text."""
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import DataFrame, SparkSession
 
 from docketry import schemas
-from docketry.operators.cache import DEFAULT_TTL_SECONDS
 from docketry.operators.ingest import accepted, decode_requests, rejected
 
-_MARKED = ["request_id", "request_hash", "cache_status", "served_by"]
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 def read_events(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """Event files as they arrive, one JSON object per line."""
@@ -44,70 +36,6 @@ def start_ingest(events: DataFrame, out: str, checkpoint: str, **trigger):
     )
 
 
-class _Entry(StatefulProcessor):
-    """Live cache entry of one hash: who opened it and when it expires."""
-
-    def __init__(self, ttl_seconds: int):
-        self.ttl = ttl_seconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.entry = handle.getValueState("entry", "opened_by string, expires bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        opened_by, expires = held = self.entry.get() or (None, None)
-        # rows of a micro-batch arrive unordered
-        ordered = sorted(
-            row
-            for frame in rows
-            for row in zip(
-                frame["second"], frame["request_ts"], frame["request_id"], strict=True
-            )
-        )
-        out = []
-        for second, _, request_id in ordered:
-            miss = expires is None or second >= expires
-            if miss:
-                opened_by, expires = request_id, int(second) + self.ttl
-            out.append((request_id, key[0], "miss" if miss else "hit", opened_by))
-        if (opened_by, expires) != held:
-            self.entry.update((opened_by, expires))
-            self.handle.registerTimer(expires * 1000)
-        yield pd.DataFrame(out, columns=_MARKED)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        # a timer of an entry that was replaced meanwhile is ignored
-        held = self.entry.get()
-        if held is not None and held[1] * 1000 <= expiredTimerInfo.getExpiryTimeInMs():
-            self.entry.clear()
-        yield pd.DataFrame(columns=_MARKED)
-
-    def close(self) -> None:
-        pass
-
-
-def stream_ttl_dedupe(
-    requests: DataFrame, ttl_seconds: int = DEFAULT_TTL_SECONDS, delay: str = "1 hour"
-) -> DataFrame:
-    """Hit or miss per request, with the entry kept in state until it expires.
-
-    Agrees with the batch form when the requests of a hash do not arrive out
-    of order across micro-batches.  Requests older than the watermark are
-    dropped before they get here; see ``late_requests``.
-    """
-    timed = requests.select(
-        "request_id", "request_hash", "request_ts", F.unix_seconds("request_ts").alias("second")
-    ).withWatermark("request_ts", delay)
-    return timed.groupBy("request_hash").transformWithStateInPandas(
-        statefulProcessor=_Entry(ttl_seconds),
-        outputStructType=(
-            "request_id string, request_hash string, cache_status string, served_by string"
-        ),
-        outputMode="Append",
-        timeMode="EventTime",
-    )
-
-
 def stream_first_seen(requests: DataFrame, delay: str = "30 days") -> DataFrame:
     """Approximate form: one request per hash within the watermark delay."""
     return requests.withWatermark("request_ts", delay).dropDuplicatesWithinWatermark(
@@ -125,8 +53,3 @@ def start_table(stream: DataFrame, out: str, checkpoint: str, **trigger):
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
-
-
-def late_requests(ingested: DataFrame, answered: DataFrame) -> DataFrame:
-    """Ingested requests without an answer: dropped as late by the watermark."""
-    return ingested.join(answered.select("request_id"), "request_id", "left_anti")

@@ -15,10 +15,6 @@ def spark(tmp_path_factory):
     shared = str(tmp_path_factory.mktemp("shared"))
     session = local_session(4, 4, **{"spark.checkpoint.dir": shared})
     session.sparkContext.setLogLevel("ERROR")
-    session.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
     return session
 
 

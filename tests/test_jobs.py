@@ -19,7 +19,6 @@ from docketry.operators.extract import decode_model_responses
 from docketry.operators.ingest import accepted, decode_requests, rejected
 from docketry.plans.receipts import parse_receipts, receipt_json
 from docketry.sources import datasets
-from docketry.streaming import receipts as streaming
 
 T0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
 
@@ -393,35 +392,6 @@ def test_layout_rate(spark):
     assert 760 < untouched < 840
 
 
-# --- streaming --------------------------------------------------------------------------------
-
-def test_stream_state_spans_batches(spark, tmp_path):
-    source = str(tmp_path / "in")
-    seconds = [0, 10, 29, 30, 31, 59, 60, 61]
-    for s in seconds:
-        requests_of(spark, [(f"{s:03}", s, "x"), (f"{s:03}b", s, "y")]).coalesce(1).write.mode("append").parquet(source)
-    schema = spark.read.parquet(source).schema
-
-    def run(files):
-        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
-        keyed = clean_and_key(stream)
-        out, state = str(tmp_path / f"out{files}"), str(tmp_path / f"state{files}")
-        streaming.start_table(streaming.stream_ttl_dedupe(keyed, 30), out, state).awaitTermination()
-        rows = spark.read.parquet(out).collect()
-        return {r.request_id: r.cache_status for r in rows}
-
-    batch = cache.ttl_dedupe(clean_and_key(spark.read.parquet(source)), ttl_seconds=30).requests
-    want = {r.request_id: r.cache_status for r in batch.collect()}
-    assert run(1) == want
-    assert run(100) == want
-
-
-def test_late_requests_are_found(spark):
-    ingested = spark.createDataFrame([("1",), ("2",)], "request_id string")
-    answered = ingested.filter("request_id = '1'")
-    assert [r.request_id for r in streaming.late_requests(ingested, answered).collect()] == ["2"]
-
-
 # --- the evaluation and regression flows over files ---------------------------------------
 
 def test_regression_flow_keeps_history_and_baselines(spark, tmp_path):
