@@ -2,8 +2,9 @@
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from docketry.functions.text import collapse_spaces, strip
-from docketry.operators import shape
+from docketry import fixed_values as fv
+from docketry.functions import draws
+from docketry.operators import augment, shape
 from docketry.operators.augment import augment_text
 from docketry.plans import oracle_sql as sql
 from docketry.plans.queries_eval import _CATEGORIES, _category_of
@@ -168,86 +169,191 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _KEY = ["conv_id", "turn"]
+_SEED = 7
+
+
+def _noised(spark: SparkSession, sf_dir: str, level: float, **how) -> DataFrame:
+    """The turns with their text noised, which is what is compared."""
+    return augment_text(_turns(spark, sf_dir), "text", _KEY, noise_level=level, seed=_SEED, **how)
 
 
 def augment_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    noised = augment_text(_turns(spark, sf_dir), "text", _KEY, noise_level=0.0)
-    return noised.select(*_KEY, F.sha2("text", 256).alias("text_hash"))
+    return _noised(spark, sf_dir, 0.0)
 
 
-_AUGMENT_IDENTITY = "SELECT conv_id, turn, sha256(text) AS text_hash FROM conversations"
+def augment_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half the words get letters of the other case."""
+    return _noised(spark, sf_dir, 0.5, modes=("case",))
 
 
-def _noised(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
-    turns = _turns(spark, sf_dir).withColumn("plain", collapse_spaces(strip(F.col("text"))))
-    return augment_text(turns, "text", _KEY, noise_level=0.5, seed=7, modes=(mode,))
+def augment_substitute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Look-alikes replace letters in half the words."""
+    return _noised(spark, sf_dir, 0.5, modes=("substitute",))
 
 
-def augment_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half the words get letters of the other case; letters themselves stay."""
-    return _noised(spark, sf_dir, "case").select(
-        *_KEY, F.sha2(F.replace(F.lower("text"), F.lit("ß"), F.lit("ss")), 256).alias("lower_hash")
+def augment_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half the words lose one or two letters."""
+    return _noised(spark, sf_dir, 0.5, modes=("missing",))
+
+
+def augment_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half the words gain one or two characters."""
+    return _noised(spark, sf_dir, 0.5, modes=("extra",))
+
+
+def augment_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines widened or broken in two."""
+    return _noised(spark, sf_dir, 0.0, layout=True)
+
+
+def augment_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All modes with layout noise at the default rate."""
+    return _noised(spark, sf_dir, 0.1, layout=True)
+
+
+def augment_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Noise by keys that are text, and that may be NULL."""
+    turns = _turns(spark, sf_dir).withColumn(
+        "name", F.when(F.col("turn") != 1, F.concat_ws("/", F.col("conv_id"), F.col("turn")))
     )
+    return augment_text(turns, "text", "name", noise_level=0.5, seed=_SEED, modes=("substitute",)).drop("name")
 
 
-_AUGMENT_CASE = """
-SELECT conv_id, turn,
-  sha256(replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 'ß', 'ss')) AS lower_hash FROM conversations
-"""
+class _SqlDraws:
+    """The draws of :mod:`docketry.functions.draws` as SQL."""
 
+    def __init__(self, counter: str = "0::BIGINT"):
+        self.counter = counter
 
-def augment_substitute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Look-alikes replace letters one for one: lengths stay."""
-    return _noised(spark, sf_dir, "substitute").select(
-        *_KEY, F.length("text").alias("length")
+    def at(self, *path) -> "_SqlDraws":
+        counter = self.counter
+        for step in path:
+            counter = f"(({counter} * {draws.PATH_STEP} + {step} + 1) % {draws.PRIME})"
+        return _SqlDraws(counter)
+
+    def number(self) -> str:
+        return f"list_transform([(state + {self.counter} * {draws.COUNTER_STEP}) % {draws.PRIME}], lambda x: {_fifth('x')})[1]"
+
+    def uniform(self) -> str:
+        return f"({self.number()} / {draws.PRIME}::DOUBLE)"
+
+    def below(self, n) -> str:
+        return f"CAST(floor({self.number()} * {n} / {draws.PRIME}::DOUBLE) AS BIGINT)"
+
+
+def _fifth(x: str) -> str:
+    square = f"({x} * {x} % {draws.PRIME})"
+    return f"({square} * {square} % {draws.PRIME} * {x} % {draws.PRIME})"
+
+
+def _folded(*numbers: str) -> str:
+    """The state of a row from the numbers of its keys."""
+    each = ", ".join(f"coalesce({n}, {draws.PRIME - 1})" for n in numbers)
+    step = _fifth(f"((h * {draws.KEY_STEP} + v + 1) % {draws.PRIME})")
+    return f"list_reduce([{_SEED}::BIGINT, {each}], lambda h, v: {step})"
+
+
+def _named(value: str, name: str, body: str) -> str:
+    """``body`` with ``value`` under a name."""
+    return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+
+def _sql_substitute(word: str, at: _SqlDraws) -> str:
+    table = " ".join(f"WHEN '{c}' THEN {others!r}" for c, others in fv.LOOK_ALIKES.items())
+    here = at.at("(j - 1)")
+    swapped = _named(
+        f"CASE ch {table} END", "o",
+        f"CASE WHEN o IS NOT NULL AND {here.at(augment.SWAP).uniform()} < {augment.SUBSTITUTE_RATE}::DOUBLE "
+        f"THEN o[{here.at(augment.WHICH).below('len(o)')} + 1] ELSE ch END",
     )
+    return f"array_to_string(list_transform(regexp_extract_all({word}, '(?s).'), lambda ch, j: {swapped}), '')"
 
 
-_AUGMENT_SUBSTITUTE = """
-SELECT conv_id, turn, CAST(length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS INTEGER) AS length
-FROM conversations
-"""
+def _sql_missing(word: str, at: _SqlDraws) -> str:
+    first, rest = at.at(augment.FIRST).below("length(w)"), at.at(augment.SECOND).below("(length(w) - 1)")
+    two = f"{at.at(augment.COUNT).below(2)} = 1"
+    second = "CASE WHEN d.r >= d.f THEN d.r + 1 ELSE d.r END"
+    kept = (
+        f"array_to_string(list_filter(regexp_extract_all({word}, '(?s).'), lambda ch, j: "
+        f"j - 1 <> d.f AND NOT (d.two AND j - 1 = {second})), '')"
+    )
+    drawn = _named(f"{{'f': {first}, 'r': {rest}, 'two': {two}}}", "d", kept)
+    return f"CASE WHEN length({word}) <= 2 THEN {word} ELSE {drawn} END"
 
 
-def augment_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words lose at most two letters and none disappears."""
-    lost = F.length("plain") - F.length("text")
-    words = F.size(F.split("text", " "))
-    return _noised(spark, sf_dir, "missing").select(
-        *_KEY, words.alias("words"), ((lost >= 0) & (lost <= words * 2)).alias("within")
+def _sql_insert(word: str, at: _SqlDraws) -> str:
+    extra = f"{list(fv.EXTRA_CHARACTERS)!r}[{at.at(augment.WHICH).below(len(fv.EXTRA_CHARACTERS))} + 1]"
+    return _named(
+        at.at(augment.PLACE).below(f"(length({word}) + 1)"), "p", f"{word}[:p] || {extra} || substr({word}, p + 1)"
     )
 
 
-_WORDS = "CAST(len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) AS INTEGER)"
-_AUGMENT_MISSING = f"SELECT conv_id, turn, {_WORDS} AS words, TRUE AS within FROM conversations"
+def _sql_extra(word: str, at: _SqlDraws) -> str:
+    again = f"CASE WHEN {at.at(augment.COUNT).below(2)} = 1 THEN {_sql_insert('once', at.at(2))} ELSE once END"
+    return _named(_sql_insert(word, at.at(1)), "once", again)
 
 
-def augment_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words gain at most two characters."""
-    gained = F.length("text") - F.length("plain")
-    words = F.size(F.split("plain", " "))
-    return _noised(spark, sf_dir, "extra").select(
-        *_KEY, words.alias("words"), ((gained >= 0) & (gained <= words * 2)).alias("within")
+def _sql_case(word: str, at: _SqlDraws) -> str:
+    flipped = (
+        "CASE WHEN ch = 'ß' THEN 'SS' WHEN regexp_matches(ch, '\\p{Ll}') THEN upper(ch) ELSE lower(ch) END"
+    )
+    return (
+        f"array_to_string(list_transform(regexp_extract_all({word}, '(?s).'), lambda ch, j: "
+        f"CASE WHEN {at.at('(j - 1)').uniform()} < {augment.CASE_RATE}::DOUBLE THEN {flipped} ELSE ch END), '')"
     )
 
 
-def augment_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Layout noise over whole texts: only white space changes."""
-    noised = augment_text(_turns(spark, sf_dir), "text", _KEY, noise_level=0.0, seed=7, layout=True)
-    return noised.select(
-        *_KEY, F.sha2(F.regexp_replace("text", r"\s+", ""), 256).alias("letters_hash")
+_SQL_MODES = {"substitute": _sql_substitute, "missing": _sql_missing, "extra": _sql_extra, "case": _sql_case}
+
+
+def _sql_words(text: str, level: float, modes: tuple[str, ...]) -> str:
+    here = _SqlDraws().at(augment.WORDS, "(i - 1)")
+    by = " ".join(
+        f"WHEN {k} THEN {_SQL_MODES[name]('w', here.at(augment.MODES.index(name)))}" for k, name in enumerate(modes)
+    )
+    return (
+        f"array_to_string(list_transform(string_split(trim(regexp_replace({text}, '\\s+', ' ', 'g')), ' '), "
+        f"lambda w, i: CASE WHEN {here.at(augment.GATE).uniform()} < {level}::DOUBLE "
+        f"THEN CASE {here.at(augment.MODE).below(len(modes))} {by} END ELSE w END), ' ')"
     )
 
 
-_AUGMENT_LAYOUT = """
-SELECT conv_id, turn, sha256(regexp_replace(text, '\\s+', '', 'g')) AS letters_hash FROM conversations
-"""
+def _sql_layout(text: str) -> str:
+    here = _SqlDraws().at(augment.LAYOUT, "(i - 1)")
+    cut = f"({here.at(augment.CUT).below('(len(ws) - 1)')} + 1)"
+    broken = _named(
+        "string_split(trim(regexp_replace(line, '\\s+', ' ', 'g')), ' ')", "ws",
+        "CASE WHEN len(ws) > 2 THEN " + _named(
+            cut, "c", "array_to_string(ws[:c], ' ') || chr(10) || array_to_string(ws[c + 1:], ' ')"
+        ) + " ELSE line END",
+    )
+    widened = "regexp_replace(line, '([\\p{L}\\p{N}_])', '\\1  ', 'g')"
+    return (
+        f"array_to_string(list_transform(string_split({text}, chr(10)), lambda line, i: "
+        f"CASE WHEN {here.at(augment.LINE).uniform()} < {augment.LAYOUT_RATE}::DOUBLE THEN "
+        f"CASE WHEN {here.at(augment.KIND).uniform()} < {augment.LAYOUT_SPACE_RATE}::DOUBLE THEN {widened} "
+        f"ELSE {broken} END ELSE line END), chr(10))"
+    )
 
 
-def augment_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All modes with layout noise at the default rate."""
-    noised = augment_text(_turns(spark, sf_dir), "text", _KEY, seed=7, layout=True)
-    return noised.select(*_KEY, F.sha2("text", 256).alias("text_hash"))
+def _sql_noise(text: str, state: str = _folded(*[f"((({k} % {draws.PRIME}) + {draws.PRIME}) % {draws.PRIME})" for k in _KEY])) -> str:
+    return (
+        f"SELECT conv_id, turn, {text} AS text FROM (SELECT conv_id, turn, text, {state} AS state FROM conversations)"
+    )
+
+
+_AUGMENT_IDENTITY = "SELECT conv_id, turn, text FROM conversations"
+_AUGMENT = {name: _sql_noise(_sql_words("text", 0.5, (name,))) for name in _SQL_MODES}
+_AUGMENT_LAYOUT = _sql_noise(_sql_layout("text"))
+_AUGMENT_MIXED = f"""
+SELECT conv_id, turn, {_sql_layout("noised")} AS text
+FROM (SELECT *, {_sql_words("text", 0.1, augment.MODES)} AS noised
+      FROM (SELECT *, {_folded("conv_id", "turn")} AS state FROM conversations))
+"""
+_AUGMENT_KEYS = _sql_noise(
+    _sql_words("text", 0.5, ("substitute",)),
+    _folded("CASE WHEN turn <> 1 THEN ('0x' || md5(conv_id || '/' || turn)[:7])::BIGINT END"),
+)
 
 
 QUERIES = {
@@ -258,10 +364,11 @@ QUERIES = {
     "records_truth": (records_truth, _RECORDS_TRUTH),
     "json_export_reload": (json_export_reload, _JSON_EXPORT_RELOAD),
     "augment_identity": (augment_identity, _AUGMENT_IDENTITY),
-    "augment_case": (augment_case, _AUGMENT_CASE),
-    "augment_substitute": (augment_substitute, _AUGMENT_SUBSTITUTE),
-    "augment_missing": (augment_missing, _AUGMENT_MISSING),
-    "augment_extra": (augment_extra, _AUGMENT_MISSING),
+    "augment_case": (augment_case, _AUGMENT["case"]),
+    "augment_substitute": (augment_substitute, _AUGMENT["substitute"]),
+    "augment_missing": (augment_missing, _AUGMENT["missing"]),
+    "augment_extra": (augment_extra, _AUGMENT["extra"]),
     "augment_layout": (augment_layout, _AUGMENT_LAYOUT),
-    "augment_mixed": (augment_mixed, None),
+    "augment_mixed": (augment_mixed, _AUGMENT_MIXED),
+    "augment_keys": (augment_keys, _AUGMENT_KEYS),
 }
