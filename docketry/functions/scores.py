@@ -46,6 +46,10 @@ def currency_score(predicted: Column, expected: Column) -> Column:
 
 # --- text ------------------------------------------------------------------------
 
+#: The matcher treats characters as junk only in expected texts of this length and more.
+JUNK_LENGTH = 200
+
+
 @F.arrow_udf(T.DoubleType())
 def _matching_ratio(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """Ratcliff-Obershelp ratio; each distinct pair of a batch is compared once.
@@ -63,19 +67,36 @@ def _matching_ratio(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa
 def text_score(predicted: Column, expected: Column) -> Column:
     """Similarity of two short strings, ignoring case and outer white space.
 
-    Equal and missing values are scored by the plan; only differing pairs
-    carry text to Python.
+    Equal and missing values are scored by the plan, and so are two kinds of
+    differing pairs whose ratio is known: one text inside the other, which is
+    then the longest match and the only one, and texts without a common
+    character.  Only the other pairs carry text to Python.
     """
     none = F.lit("")
     p, e = F.coalesce(predicted, none), F.coalesce(expected, none)
     low_p, low_e = strip(F.lower(p)), strip(F.lower(e))
-    differs = (p != "") & (e != "") & (low_p != low_e)
-    ratio = _matching_ratio(F.when(differs, low_p), F.when(differs, low_e))
+    in_plan = _known_ratio(low_p, low_e)
+    ask = (p != "") & (e != "") & (low_p != low_e) & in_plan.isNull()
+    ratio = _matching_ratio(F.when(ask, low_p), F.when(ask, low_e))
     return (
         F.when((p == "") & (e == ""), 1.0)
         .when((p == "") | (e == ""), 0.0)
         .when(low_p == low_e, 1.0)
-        .otherwise(ratio)
+        .otherwise(F.coalesce(in_plan, ratio))
+    )
+
+
+def _known_ratio(p: Column, e: Column) -> Column:
+    """The matching ratio where it needs no comparison of blocks, else NULL.
+
+    The matcher leaves frequent characters of texts of ``JUNK_LENGTH`` and more
+    out of account, so the long ones are not decided here."""
+    n_p, n_e = F.length(p), F.length(e)
+    inside = F.contains(p, e) | F.contains(e, p)
+    short = n_e < JUNK_LENGTH
+    return (
+        F.when(short & inside, F.lit(2.0) * F.least(n_p, n_e) / F.greatest(n_p + n_e, F.lit(1)))
+        .when(F.call_function("translate", p, e, F.lit("")) == p, 0.0)
     )
 
 

@@ -441,6 +441,71 @@ SELECT test_name, run_ts, field, round(score, 9) AS score FROM r
 WHERE CASE WHEN test_name = '1-URGENT' THEN run_ts = 1995 ELSE k = 1 END
 """
 
+# --- texts that differ --------------------------------------------------------------------
+
+def _spoiled(name: Column) -> Column:
+    """A name with its third character misread as one that no name has."""
+    return F.concat(F.substr(name, F.lit(1), F.lit(2)), F.lit("~"), F.substr(name, F.lit(4)))
+
+
+def _misread(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Predictions with misread or lengthened vendors, categories and item names."""
+    truth = truth_rows(spark, sf_dir)
+    key, right = F.col("order_key"), "expected_output."
+    vendor, category, items = (F.col(right + f) for f in ("vendor", "category", "items"))
+    longer = F.transform(items, lambda i: i.withField("name", F.concat(i["name"], F.lit(" ~"))))
+    other = F.transform(items, lambda i: i.withField("name", _spoiled(i["name"])).withField("total_price", F.lit("-9")))
+    misread = F.struct(
+        F.when(key % 3 == 0, vendor).when(key % 3 == 1, _spoiled(vendor)).otherwise(F.lit("~~")).alias("vendor"),
+        F.when(key % 2 == 0, category).otherwise(F.concat(F.lit("Sub "), category)).alias("category"),
+        F.when(key % 4 == 0, items).when(key % 4 == 1, longer).when(key % 4 == 2, other)
+        .otherwise(F.reverse(longer)).alias("items"),
+        *[F.col(right + f).alias(f) for f in fv.FIELDS if f not in ("vendor", "category", "items")],
+    )
+    return truth.select("order_key", "request_id", misread.alias("expected_output")), truth
+
+
+def scores_misread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similar but different texts in most samples."""
+    return evaluate.score_samples(*_misread(spark, sf_dir)).select(
+        "request_id", *[F.round(f, 9).alias(f) for f in ("vendor", "category", "items")]
+    )
+
+
+def report_misread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = evaluate.field_report(evaluate.score_samples(*_misread(spark, sf_dir)))
+    return fields.filter(F.col("field").isin("vendor", "category", "items")).select(
+        "field", "samples", *[F.round(c, 9).alias(c) for c in ("score", "error_rate")]
+    )
+
+
+# A misread character splits the longest match in two; one text inside another is
+# the match.  Items without their price get half of the best name.
+_MISREAD = f"""
+{sql.RECEIPTS},
+m AS (SELECT order_key, len(items) AS n,
+  CASE order_key % 3 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN (length(vendor) - 1)::DOUBLE / length(vendor) ELSE 0.0 END AS vendor,
+  CASE WHEN order_key % 2 = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * length(c) / (2 * length(c) + 4) END AS category,
+  CASE WHEN len(items) = 0 OR order_key % 4 = 0 THEN 1.0::DOUBLE
+    WHEN order_key % 4 = 2 THEN list_avg(list_transform(items, lambda i: (length(i.name) - 1)::DOUBLE / length(i.name) / 2))
+    ELSE list_avg(list_transform(items, lambda i: (length(i.name)::DOUBLE / (length(i.name) + 1) + 1) / 2)) END AS items
+  FROM (SELECT *, [{", ".join(f"'{c}'" for c in _CATEGORIES)}][custkey % {len(_CATEGORIES)} + 1] AS c FROM rec))"""
+
+_SCORES_MISREAD = f"""
+WITH {_MISREAD}
+SELECT CAST(order_key AS VARCHAR) AS request_id, round(vendor, 9) AS vendor, round(category, 9) AS category,
+  round(items, 9) AS items FROM m
+"""
+
+_REPORT_MISREAD = f"""
+WITH {_MISREAD},
+t AS (SELECT 'vendor' AS field, vendor AS s FROM m UNION ALL SELECT 'category', category FROM m
+  UNION ALL SELECT 'items', items FROM m)
+SELECT field, count(*) AS samples, round(avg(s), 9) AS score,
+  round(avg(CASE WHEN s < 0.8 THEN 1.0 ELSE 0.0 END), 9) AS error_rate FROM t GROUP BY field
+"""
+
+
 # --- records without ids ------------------------------------------------------------------
 
 def _unnamed_files(spark: SparkSession, sf_dir: str) -> tuple[str, str, str]:
@@ -490,6 +555,8 @@ SELECT -1, 'overall_score', max(samples), round(sum(mean * w) / sum(w), 9), NULL
 """
 
 QUERIES = {
+    "scores_misread": (scores_misread, _SCORES_MISREAD),
+    "report_misread": (report_misread, _REPORT_MISREAD),
     "scores_by_position": (scores_by_position, _SCORES_BY_POSITION),
     "report_saved": (report_saved, _REPORT_SAVED),
     "scores_per_sample": (scores_per_sample, _SCORES_PER_SAMPLE),
