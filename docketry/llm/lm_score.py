@@ -17,11 +17,14 @@
    seen once (Good-Turing): for pairs measured by how frequent the history is, for
    longer ones dealt to the histories as k / (k + count).  Shares of one history
    sum to one at most, up to the rounding of the counts.
-5. A filter of at most ``BROADCAST_BYTES`` goes to every task.  A larger one stays
-   in its pieces: the n-grams of each batch are dealt to the pieces by hash, and
-   their levels come back to the batch.  Both ways give the same scores.
-
-Tokens and n-grams go by 64-bit hashes of their bytes.
+5. The filter stays in its pieces, at every size: the n-grams of each batch are
+   dealt to the pieces by hash, which answer all probes, and their levels come
+   back to the batch.  Batches are cut from the input each time they are needed,
+   so no second copy of the texts is written.
+
+Tokens and n-grams go by 64-bit hashes of their bytes, inside a part by 32 bits of
+them.  Keys are sent sorted, as differences in byte planes of which the upper
+ones are compressed; the count of an n-gram is sent where it is not one.
 """
 
 from collections.abc import Iterator
@@ -38,12 +41,8 @@ from docketry.llm.words import Words, chain, cut_words, mix, word_hashes
 ORDER = 3
 #: Bits of the filter for each n-gram entered, and for each further level of it.
 BITS, LEVEL_BITS = 16, 4
-#: Largest filter that is broadcast.
-BROADCAST_BYTES = 16 << 20
 #: Hash functions of a level; the first level takes more, as it decides whether an n-gram is known.
 PROBES_FIRST, PROBES = 4, 2
-#: Part of the bits that may be set for a piece.
-LOAD = 0.5
 #: Most tokens whose counts are broadcast.
 MOST_FREQUENT = 1 << 19
 #: Bytes of the corpus for one part of the counting.
@@ -128,6 +127,63 @@ def _unpack(packs: pa.ChunkedArray, *kinds: str) -> list[np.ndarray]:
     return [np.concatenate(c) for c in out]
 
 
+def part_key(gram: np.ndarray) -> np.ndarray:
+    """The 32 bits of an n-gram's hash that tell it from others of its part."""
+    return gram >> np.uint64(32)
+
+
+def encode_keys(key: np.ndarray, times: np.ndarray, kind: np.ndarray) -> bytes:
+    """Keys with count and class as bytes, in the order of class, single or not, key."""
+    many = times > 1
+    group = kind.astype(np.int64) * 2 + many
+    order = np.lexsort((key, group))
+    key, group = key[order].astype(np.int64), group[order]
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    gap = np.diff(key, prepend=0)
+    gap[first] = key[first]
+    planes = gap.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    upper = pa.compress(planes[2:].tobytes(), codec="zstd", asbytes=True)
+    count = pa.compress(times[order][group % 2 == 1].astype("<u4").tobytes() or b"\0", codec="zstd", asbytes=True)
+    head = np.array([len(key), len(first), len(upper)], dtype="<u4")
+    groups = np.concatenate([group[first], np.diff(first, append=len(key))]).astype("<u4")
+    return b"".join([head.tobytes(), groups.tobytes(), planes[:2].tobytes(), upper, count])
+
+
+def decode_keys(pack: pa.Buffer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, count and class of each, as :func:`encode_keys` ordered them."""
+    size, groups, upper = np.frombuffer(pack, dtype="<u4", count=3).tolist()
+    at = 12 + 8 * groups
+    group, members = np.frombuffer(pack, dtype="<u4", count=2 * groups, offset=12).astype(np.int64).reshape(2, -1)
+    planes = np.empty((4, size), dtype=np.uint8)
+    planes[:2] = np.frombuffer(pack, dtype=np.uint8, count=2 * size, offset=at).reshape(2, -1)
+    at += 2 * size
+    packed = pa.decompress(pack.slice(at, upper), decompressed_size=2 * size, codec="zstd")
+    planes[2:] = np.frombuffer(packed, dtype=np.uint8).reshape(2, -1)
+    key = np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64))
+    first = np.cumsum(members) - members
+    base = np.concatenate([[0], key])[first]
+    key -= np.repeat(base, members)
+    each = np.repeat(group, members)
+    times = np.ones(size, dtype=np.int64)
+    many = int(members[group % 2 == 1].sum())
+    if many:
+        packed = pa.decompress(pack.slice(at + upper), decompressed_size=4 * many, codec="zstd")
+        times[each % 2 == 1] = np.frombuffer(packed, dtype="<u4")
+    return key.astype(np.uint64), times, (each // 2).astype(np.uint8)
+
+
+def _gram_packs(gram: np.ndarray, parts: int, times: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+    """``part, pack``: the n-grams of each part."""
+    part = gram % np.uint64(parts)
+    turn = np.argsort(part, kind="stable")
+    where = np.searchsorted(part[turn], np.arange(parts + 1))
+    full = np.flatnonzero(np.diff(where))
+    key, times, kind = part_key(gram)[turn], times[turn], kind[turn]
+    cut = [slice(where[p], where[p + 1]) for p in full]
+    packs = [encode_keys(key[c], times[c], kind[c]) for c in cut]
+    return pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(packs, pa.binary())], ["part", "pack"])
+
+
 def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys, the sum of their counts, a row of each."""
     order = np.argsort(keys, kind="stable")
@@ -202,39 +258,25 @@ def gram_packs(train: DataFrame, broadcast, parts: int, order: int) -> DataFrame
                     kind += history_class(seen[last[first] - 1]).astype(np.uint8)
                 found.append((gram, times.astype(np.uint32), kind))
             gram, times, kind = (np.concatenate(c) for c in zip(*found))
-            yield _packs(gram, parts, *split_key(gram), times, kind)
+            yield _gram_packs(gram, parts, times, kind)
 
     return train.mapInArrow(work, "part long, pack binary")
 
 
-def split_key(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The 40 bits of an n-gram's hash that tell it from others of its part."""
-    key = gram >> np.uint64(24)
-    return key.astype(np.uint32), (key >> np.uint64(32)).astype(np.uint8)
-
-
 def probes(key: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Start and stride of the bit positions of an n-gram at a level, and their number."""
     one = mix(key + np.uint64(level * 0xD1342543DE82EF95 % 2**64))
     return one, (one >> np.uint64(32)) | np.uint64(1), PROBES_FIRST if level == 1 else PROBES
 
 
-def piece_of_filter(key: np.ndarray, count: np.ndarray, bits: int) -> tuple[np.ndarray, int]:
-    """The bits of one piece and the level from which n-grams are entered."""
-    level = np.frexp(count)[1] - 1  # 0 for 1, 1 for 2 and 3, 2 for 4 to 7, ...
-    floor = 1
-    while True:
-        above = np.maximum(level - floor + 1, 0)
-        bits_set = int((above > 0).sum()) * PROBES_FIRST + int(np.maximum(above - 1, 0).sum()) * PROBES
-        if 1 - np.exp(-bits_set / bits) <= LOAD:
-            break
-        floor += 1
+def piece_of_filter(key: np.ndarray, level: np.ndarray, bits: int) -> np.ndarray:
+    """One piece, in which each n-gram is entered once for each level up to its own."""
     field = np.zeros(bits, dtype=bool)
-    for step in range(1, int(above.max(initial=0)) + 1):
-        one, two, times = probes(key[above >= step], step)
+    for step in range(1, int(level.max(initial=0)) + 1):
+        one, two, times = probes(key[level >= step], step)
         for k in range(times):
             field[((one + np.uint64(k) * two) % np.uint64(bits)).astype(np.int64)] = True
-    return np.packbits(field), floor
+    return np.packbits(field)
 
 
 def filter_pieces(packs: DataFrame) -> DataFrame:
@@ -242,15 +284,12 @@ def filter_pieces(packs: DataFrame) -> DataFrame:
     seen ``again``; by order and level how many n-grams and occurrences there are."""
 
     def work(group: pa.Table) -> pa.Table:
-        low, high, times, kind = _unpack(group["pack"], "<u4", "u1", "<u4", "u1")
-        key = (high.astype(np.uint64) << np.uint64(32)) | low
+        key, times, kind = (np.concatenate(c) for c in zip(*[decode_keys(p.as_buffer()) for p in group["pack"]]))
         key, count, row = _summed(key, times)
         kind = kind[row].astype(np.int64)
         level = np.frexp(count)[1]  # 1 for 1, 2 for 2 and 3, 3 for 4 to 7, ...
         bits = 64 + BITS * len(key) + LEVEL_BITS * int((level - 1).sum())
-        # Twice the count, as ``piece_of_filter`` enters from 2 on.
-        field, floor = piece_of_filter(key, 2 * count, bits)
-        assert floor == 1
+        field = piece_of_filter(key, level, bits)
         again, place = count > 1, kind // CLASSES * CLASSES + level
         sums = [
             np.bincount(kind, count, 256),
@@ -273,6 +312,7 @@ def levels_of(key: np.ndarray, flat: np.ndarray, begin: np.ndarray, bits: np.nda
     a byte of ``flat`` and has some bits."""
     level = np.zeros(len(key), dtype=np.int64)
     active = np.arange(len(key))
+    bits = np.asarray(bits, dtype=np.uint64)
     for step in range(1, CLASSES):
         one, two, times = probes(key[active], step)
         for k in range(times):
@@ -288,28 +328,18 @@ def levels_of(key: np.ndarray, flat: np.ndarray, begin: np.ndarray, bits: np.nda
 
 @dataclass(frozen=True)
 class Model:
-    """All that scoring needs; ``pieces`` is None where they are not broadcast."""
+    """All that scoring needs but the pieces of the filter."""
 
     known: Counts
-    bits: int | np.ndarray  # of a piece, or of each
-    pieces: np.ndarray | None  # parts x bytes
-    floors: np.ndarray  # level of entry by part
+    parts: int
     mean: np.ndarray  # mean count by level
     shorter: np.ndarray  # weight of the shorter history by class
     order: int
-    spare: np.ndarray | None = None  # k of the longer histories by order
+    spare: np.ndarray  # k of the longer histories by order
 
-    def counts(self, gram: np.ndarray) -> np.ndarray:
+    def meant(self, level: np.ndarray) -> np.ndarray:
         """Mean count of the level up to which an n-gram is a member, else 0."""
-        part = (gram % np.uint64(len(self.pieces))).astype(np.int64)
-        low, high = split_key(gram)
-        key = (high.astype(np.uint64) << np.uint64(32)) | low
-        bits = np.broadcast_to(np.asarray(self.bits, dtype=np.uint64), len(self.pieces))[part]
-        level = levels_of(key, self.pieces.reshape(-1), part * self.pieces.shape[1], bits)
-        return self.meant(level, self.floors[part])
-
-    def meant(self, level: np.ndarray, floor) -> np.ndarray:
-        return np.where(level > 0, self.mean[np.minimum(level + floor - 1, CLASSES - 1)], 0.0)
+        return np.where(level > 0, self.mean[np.minimum(level, CLASSES - 1)], 0.0)
 
     def asked(self, tokens: np.ndarray, row: np.ndarray) -> np.ndarray:
         """The distinct n-grams whose counts may be needed, sorted."""
@@ -318,9 +348,9 @@ class Model:
             [chain(rare, 1, 1), *(grams(tokens, row, n)[0] for n in range(2, self.order + 1))]
         ))
 
-    def log_probabilities(self, tokens: np.ndarray, row: np.ndarray, counts=None) -> np.ndarray:
-        """log10 of the probability of each token after those before it."""
-        counts = counts or self.counts
+    def log_probabilities(self, tokens: np.ndarray, row: np.ndarray, counts) -> np.ndarray:
+        """log10 of the probability of each token after those before it, with the
+        counts of n-grams as ``counts`` gives them."""
         seen = self.known.of(tokens)
         count = seen.astype(float)
         rare = np.flatnonzero(seen == 0)
@@ -364,19 +394,11 @@ def fit(train: DataFrame, order: int = ORDER) -> tuple[Model, DataFrame, int, Da
     known, least = frequent(counts)
     broadcast = spark.sparkContext.broadcast(known)
     pieces = written(filter_pieces(gram_packs(train, broadcast, parts, order)), "lm-filter")
-    # 1024 sums and one width, whatever the corpus.
+    # 1024 sums, whatever the corpus.
     row = pieces.agg(
-        F.max(F.octet_length("field")).alias("width"),
         *[F.array(*[F.sum(F.col(n)[k]) for k in range(256)]).alias(n) for n in SUMS],
     ).first()
     mass, again, grams_, times = (np.array([x or 0.0 for x in row[n]]) for n in SUMS)
-    bits, held = np.full(parts, 64, dtype=np.uint64), None
-    if parts * (row["width"] or 8) <= BROADCAST_BYTES:
-        made = pieces.select("part", "field", "bits").toArrow()
-        held = np.zeros((parts, row["width"] or 8), dtype=np.uint8)
-        for part, field, n in zip(made["part"].to_pylist(), made["field"], made["bits"].to_pylist()):
-            own = np.frombuffer(field.as_buffer(), dtype=np.uint8)
-            held[part, : len(own)], bits[part] = own, n
     by_order = [x.reshape(-1, CLASSES) for x in (grams_, times)]
     level_grams, level_times = (x.sum(0) for x in by_order)
     mean = np.where(level_grams > 0, level_times / np.maximum(level_grams, 1), 0.75 * 2.0 ** np.arange(CLASSES))
@@ -388,12 +410,12 @@ def fit(train: DataFrame, order: int = ORDER) -> tuple[Model, DataFrame, int, Da
     for n in range(3, order + 1):
         once = mass[(n - 1) * CLASSES] - again[(n - 1) * CLASSES]
         spare[n] = _spare(once, by_order[0][n - 2], by_order[1][n - 2])
-    return Model(known, bits, held, np.ones(parts, dtype=np.int64), mean, shorter, order, spare), counts, least, pieces
+    return Model(known, parts, mean, shorter, order, spare), counts, least, pieces
 
 
 def dealt_levels(batches: DataFrame, pieces: DataFrame, broadcast) -> DataFrame:
     """``batch, part, levels``: of each batch's n-grams in a part, in their order."""
-    parts = len(broadcast.value.floors)
+    parts = broadcast.value.parts
 
     def deal(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = broadcast.value
@@ -401,21 +423,20 @@ def dealt_levels(batches: DataFrame, pieces: DataFrame, broadcast) -> DataFrame:
             for n in range(batch.num_rows):
                 tokens, row = tokens_of(cut_words(batch.column("text")[n].values, lower=True))
                 gram = model.asked(tokens, row)
-                pack = _packs(gram, parts, *split_key(gram))
+                pack = _gram_packs(gram, parts, np.ones(len(gram), np.int64), np.zeros(len(gram), np.uint8))
                 number = pa.array(np.full(pack.num_rows, batch.column("batch")[n].as_py()), pa.int64())
                 yield pa.RecordBatch.from_arrays([number, *pack.columns], ["batch", "part", "pack"])
 
     def look_up(asked: pa.Table, piece: pa.Table) -> pa.Table:
         levels = []
         for pack in asked["pack"]:
-            low, high = _unpack([pack], "<u4", "u1")
-            key = (high.astype(np.uint64) << np.uint64(32)) | low
+            key = decode_keys(pack.as_buffer())[0]
             level = np.zeros(len(key), dtype=np.int64)
             if piece.num_rows:
                 flat = np.frombuffer(piece["field"][0].as_buffer(), dtype=np.uint8)
                 bits = np.full(len(key), piece["bits"][0].as_py(), dtype=np.uint64)
                 level = levels_of(key, flat, np.zeros(len(key), dtype=np.int64), bits)
-            levels.append(level.astype(np.uint8).tobytes())
+            levels.append(pa.compress(level.astype(np.uint8).tobytes(), codec="zstd", asbytes=True))
         return pa.table({"batch": asked["batch"], "part": asked["part"], "levels": pa.array(levels, pa.binary())})
 
     asked = batches.select("batch", "text").mapInArrow(deal, "batch long, part long, pack binary")
@@ -445,12 +466,12 @@ def score_texts(
         "base_score double, score double, others array<long>"
     )
 
-    def scores(ids: pa.Array, texts: pa.Array, counts_of=None) -> pa.RecordBatch:
+    def scores(ids: pa.Array, texts: pa.Array, counts_of) -> pa.RecordBatch:
         model = broadcast.value
         tokens, row = tokens_of(cut_words(texts, lower=True))
         seen = model.known.of(tokens)
         base = np.add.reduceat(np.log10(model.known.share(seen)), row[:-1])
-        made = model.log_probabilities(tokens, row, counts_of and counts_of(model.asked(tokens, row)))
+        made = model.log_probabilities(tokens, row, counts_of(model.asked(tokens, row)))
         score = np.add.reduceat(made, row[:-1])
         other = seen == 0
         at = np.concatenate([[0], np.cumsum(other)])[row]
@@ -462,10 +483,6 @@ def score_texts(
             ["doc_id", "n_tokens", "n_known", "base_score", "score", "others"],
         )
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            yield scores(batch.column("doc_id"), batch.column("text"))
-
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays(
@@ -478,22 +495,26 @@ def score_texts(
 
         def counts_of(gram: np.ndarray):
             model, level = broadcast.value, np.zeros(len(gram), dtype=np.int64)
-            part = (gram % np.uint64(len(model.floors))).astype(np.int64)
+            part = (gram % np.uint64(model.parts)).astype(np.int64)
             turn = np.argsort(part, kind="stable")
-            answers_ = answers.sort_by("part")["levels"].to_pylist()
-            level[turn] = np.frombuffer(b"".join(answers_), dtype=np.uint8)
-            return lambda asked: model.meant(level[np.searchsorted(gram, asked)], 1)
+            size = np.bincount(part, minlength=model.parts)
+            found = answers.sort_by("part")
+            each = [
+                pa.decompress(x.as_buffer(), decompressed_size=int(size[p]), codec="zstd")
+                for p, x in zip(found["part"].to_pylist(), found["levels"])
+            ]
+            if each:
+                level[turn] = np.concatenate([np.frombuffer(x, dtype=np.uint8) for x in each])
+            return lambda asked: model.meant(level[np.searchsorted(gram, asked)])
 
         return pa.Table.from_batches([scores(ids, texts, counts_of)])
 
-    if model.pieces is not None:
-        scored = rows.mapInArrow(work, schema)
-    else:
-        kind = rows.schema["doc_id"].dataType.simpleString()
-        batches = rows.mapInArrow(gather, f"doc_id array<{kind}>, text array<string>")
-        batches = written(batches.withColumn("batch", F.monotonically_increasing_id()), "lm-batches")
-        answers = dealt_levels(batches, pieces, broadcast)
-        scored = batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(put_together, schema)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    # The scan cuts the same batches each time, so their numbers agree.
+    batches = rows.mapInArrow(gather, f"doc_id array<{kind}>, text array<string>")
+    batches = batches.withColumn("batch", F.monotonically_increasing_id())
+    answers = dealt_levels(batches, pieces, broadcast)
+    scored = batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(put_together, schema)
     scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scores")
     # Tokens without a broadcast count were taken as unknown; those that are in
     # the corpus after all are put right here.

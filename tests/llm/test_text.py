@@ -159,19 +159,27 @@ def test_language_model(docs, nothing, texts, monkeypatch, most):
     assert (alone.train_tokens, alone.n_known, alone.base_score) == (0, 0, 0.0)
 
 
-def test_filter_counts_within_rounding():
+def test_filter_holds_levels():
     rng = np.random.default_rng(0)
-    gram = rng.integers(0, 2**63, 4000, dtype=np.uint64)
-    count = np.concatenate([np.ones(2000, int), rng.integers(2, 5000, 2000)])
-    low, high = lm_score.split_key(gram)
-    key = (high.astype(np.uint64) << np.uint64(32)) | low
-    bits, floor = lm_score.piece_of_filter(key, count, 1 << 17)
-    mean = 1.5 * 2.0 ** np.arange(lm_score.CLASSES)
-    known = lm_score.Counts(np.zeros(0, np.uint64), np.zeros(0, np.int64), 1, 1)
-    model = lm_score.Model(known, 1 << 17, bits[None], np.array([floor]), mean, np.ones(256), 3)
-    found = model.counts(gram)
-    assert floor == 1 and (found[:2000] > 0).mean() < 0.1
-    assert (found[2000:] >= count[2000:] / 2).all() and np.median(found[2000:] / count[2000:]) < 1.5
+    key = lm_score.part_key(rng.integers(0, 2**63, 4000, dtype=np.uint64))
+    level = np.frexp(np.concatenate([np.ones(2000, int), rng.integers(2, 5000, 2000)]))[1]
+    bits = 64 + lm_score.BITS * len(key) + lm_score.LEVEL_BITS * int((level - 1).sum())
+    piece = lm_score.piece_of_filter(key, level, bits)
+    found = lm_score.levels_of(key, piece, np.zeros(len(key), int), np.full(len(key), bits))
+    assert (found >= level).all() and (found > level).mean() < 0.2
+    strange = lm_score.part_key(rng.integers(0, 2**63, 20_000, dtype=np.uint64))
+    none = lm_score.levels_of(strange, piece, np.zeros(20_000, int), np.full(20_000, bits))
+    assert (none > 0).mean() < 0.02
+
+
+def test_keys_round_trip():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 3000):
+        key = np.unique(rng.integers(0, 2**32, n, dtype=np.uint64))
+        for times in (np.ones(len(key), int), rng.integers(1, 2**31, len(key)), rng.integers(1, 3, len(key))):
+            kind = rng.integers(0, 200, len(key)).astype(np.uint8)
+            back = lm_score.decode_keys(pa.py_buffer(lm_score.encode_keys(key, times, kind)))
+            assert sorted(zip(*map(np.ndarray.tolist, back))) == sorted(zip(key.tolist(), times.tolist(), kind.tolist()))
 
 
 def test_bpe(docs, nothing, texts):
