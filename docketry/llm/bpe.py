@@ -9,8 +9,9 @@ are merged exactly.  Verdicts of pairs are computed once per worker by exact
 merging of the two tokens.
 
 The vocabulary is a published file and is broadcast; its size does not depend
-on the data.  Words and pairs are remembered up to a fixed number, then the
-memory is emptied; that changes the time, never the result.
+on the data.  A worker remembers the ids of words as packed arrays by word hash,
+verdicts of pairs likewise, and pieces, each up to a fixed number of bytes; then
+that memory is emptied.  It changes the time, never the result.
 """
 
 import hashlib
@@ -30,8 +31,10 @@ from pyspark.sql import types as T
 from docketry.llm.frames import named, slices, small_batches
 from docketry.llm.words import cut_words, word_hashes
 
-#: Words remembered by a worker.
-REMEMBERED = 400_000
+#: Bytes of remembered words, and of pairs with their verdicts.
+WORD_BYTES, PAIR_BYTES = 32 << 20, 8 << 20
+#: Letters and tokens of remembered pieces; as Python objects about 40 bytes each.
+PIECE_UNITS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -147,6 +150,41 @@ class Merger:
         return [p for p in parts if p is not None]
 
 
+class Remembered:
+    """Ids of words by word hash, in sorted arrays."""
+
+    def __init__(self):
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.starts = np.zeros(0, np.uint64), np.zeros(1, np.int64)
+        self.ids = np.zeros(0, np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 where it is not known."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def add(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """New keys with their ids, one after the other."""
+        if self.keys.nbytes + self.starts.nbytes + self.ids.nbytes > WORD_BYTES:
+            self.forget()
+        keys = np.concatenate([self.keys, keys])
+        sizes = np.concatenate([np.diff(self.starts), sizes])
+        ids = np.concatenate([self.ids, ids])
+        order = np.argsort(keys, kind="stable")
+        self.ids = ids[_ranges((np.cumsum(sizes) - sizes)[order], sizes[order])]
+        self.keys, self.starts = keys[order], np.concatenate([[0], np.cumsum(sizes[order])])
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
 class Encoder:
     """Encodes words; one per worker."""
 
@@ -166,9 +204,10 @@ class Encoder:
         self.specials = (
             regex.compile("(" + "|".join(map(regex.escape, v.special)) + ")") if v.special else None
         )
-        self.pair_ok: dict[int, bool] = {}
+        self.pairs, self.pair_ok = np.zeros(0, np.int64), np.zeros(0, bool)
         self.piece_ids: dict[str, tuple[int, ...]] = {}
-        self.word_ids: dict[str, tuple[int, ...]] = {}
+        self.piece_units = 0
+        self.known = Remembered()
         self.exact = 0  # pieces that needed exact merging
 
     def pieces(self, word: str) -> list[str | int]:
@@ -247,56 +286,60 @@ class Encoder:
         asked = ~last | first  # all neighbours, and tokens that stand alone
         keys = flat[asked] * (self.size + 1) + right[asked]
         distinct, back = np.unique(keys, return_inverse=True)
-        if len(self.pair_ok) > REMEMBERED:
-            self.pair_ok.clear()
-        known = self.pair_ok
+        at = np.searchsorted(self.pairs, distinct)
+        new = np.ones(len(distinct), dtype=bool)
+        if len(self.pairs):
+            new = self.pairs[np.minimum(at, len(self.pairs) - 1)] != distinct
         verdict = np.empty(len(distinct), dtype=bool)
-        for n, key in enumerate(distinct.tolist()):
-            ok = known.get(key)
-            if ok is None:
-                ok = known[key] = self._stays(key)
-            verdict[n] = ok
+        verdict[~new] = self.pair_ok[at[~new]]
+        verdict[new] = [self._stays(key) for key in distinct[new].tolist()]
+        if self.pairs.nbytes + self.pair_ok.nbytes > PAIR_BYTES:
+            self.pairs, self.pair_ok = distinct, verdict
+        else:
+            self.pair_ok = np.insert(self.pair_ok, at[new], verdict[new])
+            self.pairs = np.insert(self.pairs, at[new], distinct[new])
         good = np.ones(len(sizes), dtype=bool)
         good[owner[asked][~verdict[back]]] = False
         return good
 
     def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
         """The ids of each word."""
-        if len(self.word_ids) > REMEMBERED:
-            self.word_ids.clear()
-        if len(self.piece_ids) > REMEMBERED:
-            self.piece_ids.clear()
-        known, ids = self.word_ids, self.piece_ids
-        cut = {w: self.pieces(w) for w in words if w not in known}
-        new = list({p for c in cut.values() for p in c if p not in ids and isinstance(p, str)})
+        if self.piece_units > PIECE_UNITS:
+            self.piece_ids, self.piece_units = {}, 0
+        ids = self.piece_ids
+        cut = [self.pieces(w) for w in words]
+        new = list({p for c in cut for p in c if isinstance(p, str) and p not in ids})
         proposals = [self.propose(p) for p in new]
         for piece, tokens, good in zip(new, proposals, self.verify(proposals).tolist()):
             if not good:
                 self.exact += 1
                 tokens = self.merge(self.symbols(piece))
             ids[piece] = tuple(tokens)
-        for word, parts in cut.items():
-            if len(parts) == 1 and isinstance(parts[0], str):
-                known[word] = ids[parts[0]]
-            else:
-                known[word] = tuple(
-                    t for p in parts for t in (ids[p] if isinstance(p, str) else (p,))
-                )
-        return [known[w] for w in words]
+            self.piece_units += len(piece) + len(tokens) + 4
+        return [
+            ids[parts[0]] if len(parts) == 1 and isinstance(parts[0], str)
+            else tuple(t for p in parts for t in (ids[p] if isinstance(p, str) else (p,)))
+            for parts in cut
+        ]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's begin."""
         words = cut_words(texts)
-        _, first, back = np.unique(word_hashes(words), return_index=True, return_inverse=True)
-        coded = self.encode_words(words.texts(first))
-        sizes = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
-        flat = np.fromiter(chain.from_iterable(coded), dtype=np.int32, count=int(sizes.sum()))
-        starts = np.cumsum(sizes) - sizes
+        keys, first, back = np.unique(word_hashes(words), return_index=True, return_inverse=True)
+        place = self.known.find(keys)
+        new = np.flatnonzero(place < 0)
+        coded = self.encode_words(words.texts(first[new]))
+        added = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
+        more = np.fromiter(chain.from_iterable(coded), dtype=np.int32, count=int(added.sum()))
+        starts, sizes = self.known.starts[place], np.zeros(len(keys), dtype=np.int64)
+        old = place >= 0
+        sizes[old] = self.known.starts[place[old] + 1] - starts[old]
+        starts[new], sizes[new] = len(self.known.ids) + np.cumsum(added) - added, added
+        flat = np.concatenate([self.known.ids, more])
         each = sizes[back]
-        ends = np.cumsum(each)
-        places = np.arange(int(ends[-1]) if len(ends) else 0)
-        ids = flat[places + np.repeat(starts[back] - ends + each, each)]
-        bounds = np.concatenate([[0], ends])[words.row]
+        ids = flat[_ranges(starts[back], each)]
+        bounds = np.concatenate([[0], np.cumsum(each)])[words.row]
+        self.known.add(keys[new], added, more)
         return ids, bounds
 
     def decode(self, ids: np.ndarray) -> str:
