@@ -85,11 +85,20 @@ def entry_key(from_cache: Column, opened_at: Column, request_hash: Column, reque
     return F.concat_ws("@", request_hash, when)
 
 
+def _kept(rows: DataFrame, path: str | None, name: str) -> DataFrame:
+    """``rows`` written below ``path`` and read back, if there is one."""
+    if path is None:
+        return rows
+    rows.write.mode("overwrite").parquet(f"{path}/{name}")
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/{name}")
+
+
 def ttl_dedupe(
     requests: DataFrame,
     cache: DataFrame | None = None,
     ttl_seconds: int = DEFAULT_TTL_SECONDS,
     chunk_rows: int = CHUNK,
+    work_path: str | None = None,
 ) -> Deduped:
     """Hit or miss for every request, from its ``request_hash`` and ``request_ts``.
 
@@ -102,6 +111,8 @@ def ttl_dedupe(
 
     Every row comes back once, with ``entry`` and ``chunk`` naming the copy of
     the response that serves it.  A request without time is a miss of its own.
+    ``work_path`` (shared storage) writes the merged seconds and the decided ones
+    once; without it every use of the result works them out again.
     """
     timed = requests.withColumn("_second", F.unix_seconds("request_ts"))
     seconds = (
@@ -122,6 +133,7 @@ def ttl_dedupe(
     if cache is not None:
         held = cache.select("request_hash", F.col("ttl").alias("_ttl"))
         seconds = seconds.unionByName(held, allowMissingColumns=True)
+    seconds = _kept(seconds, work_path, "seconds")
     spans = seconds.groupBy("request_hash").agg(
         F.min("_second").alias("_opened"),
         (
@@ -143,7 +155,7 @@ def ttl_dedupe(
         .sortWithinPartitions("request_hash", F.col("_second").asc_nulls_first())
         .mapInPandas(_fold(ttl_seconds, chunk_rows), _FOLDED)
     )
-    folded = single.unionByName(walked)
+    folded = _kept(single.unionByName(walked), work_path, "decided")
     untimed = timed.filter(F.col("_second").isNull()).select(
         *timed.columns, F.col("request_id").alias("served_by"), F.lit(None).cast("bigint").alias("opened_at"),
         F.lit(False).alias("from_cache"), F.lit(0).cast("bigint").alias("chunk"), F.lit("miss").alias("cache_status"),

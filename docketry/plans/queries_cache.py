@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docketry import fixed_values as fv
+from docketry import schemas
 from docketry.functions.text import text_hash
 from docketry.operators.cache import DAY, cache_lookup, cache_snapshot, ttl_dedupe
 from docketry.operators.clean import clean_and_key
@@ -126,7 +127,8 @@ def _event_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ttl_hit_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hit or miss of every event with a one-day TTL."""
-    marked = ttl_dedupe(_event_requests(spark, sf_dir), ttl_seconds=DAY).requests
+    work = work_folder(spark, "ttl")
+    marked = ttl_dedupe(_event_requests(spark, sf_dir), ttl_seconds=DAY, work_path=work).requests
     return marked.select("request_id", "cache_status", "served_by")
 
 
@@ -313,7 +315,23 @@ def parse_flow_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flow(_redelivered(_flow_requests(spark, sf_dir)))
 
 
+def parse_flow_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The later requests, answered with the cache that the earlier ones left."""
+    requests = _flow_requests(spark, sf_dir)
+    split = F.lit(SPLIT).cast("timestamp")
+    first = _flow_batch(requests.filter(F.col("request_ts") < split))
+    empty = spark.createDataFrame([], schemas.CACHE)
+    folder = f"{work_folder(spark, 'cache')}/next"
+    cache_snapshot(empty, first.written, F.unix_seconds(split)).write.parquet(folder)
+    later = requests.filter(F.col("request_ts") >= split)
+    return _answers(_flow_batch(later, spark.read.schema(schemas.CACHE).parquet(folder)))
+
+
 def _flow(requests: DataFrame) -> DataFrame:
+    return _answers(_flow_batch(requests))
+
+
+def _flow_batch(requests: DataFrame, cache: DataFrame | None = None):
     spark = requests.sparkSession
     user = F.col("user_id").cast("int")
     answer = F.to_json(
@@ -336,9 +354,10 @@ def _flow(requests: DataFrame) -> DataFrame:
         )
         .distinct()
     )
-    batch = parse_receipts(
-        requests, responses, parsed_path=work_folder(spark, "parsed")
-    )
+    return parse_receipts(requests, responses, cache, parsed_path=work_folder(spark, "parsed"))
+
+
+def _answers(batch) -> DataFrame:
     return batch.receipts.select(
         "request_id", "cache_status", "vendor", "receipt_date", "currency", "category",
         F.size("items").alias("n_items"),
@@ -387,7 +406,15 @@ FROM x LEFT JOIN cat ON x.event_id = cat.event_id
 """
 
 
+# Entries live for 30 days, longer than the events last: what the cache answers is
+# what one batch over all requests would.
+_PARSE_FLOW_CACHED = f"""
+WITH once AS ({_PARSE_FLOW})
+SELECT once.* FROM once JOIN events ON request_id = CAST(event_id AS VARCHAR) WHERE ts >= TIMESTAMP '{SPLIT}'
+"""
+
 QUERIES = {
+    "parse_flow_cached": (parse_flow_cached, _PARSE_FLOW_CACHED),
     "request_ingest": (request_ingest, _REQUEST_INGEST),
     "request_rejects": (request_rejects, _REQUEST_REJECTS),
     "ttl_hit_miss": (ttl_hit_miss, _TTL_HIT_MISS),

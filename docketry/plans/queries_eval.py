@@ -6,7 +6,7 @@ from docketry import fixed_values as fv
 from docketry.functions import scores as score
 from docketry.functions.dates import date_score
 from docketry.operators import evaluate, regress
-from docketry.plans import oracle_sql as sql
+from docketry.plans import oracle_sql as sql, regression
 from docketry.session import work_folder
 from docketry.sources import datasets
 from docketry.plans.evaluation import evaluate_files
@@ -441,6 +441,51 @@ SELECT test_name, run_ts, field, round(score, 9) AS score FROM r
 WHERE CASE WHEN test_name = '1-URGENT' THEN run_ts = 1995 ELSE k = 1 END
 """
 
+def regression_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs with history and baselines kept, and the saved batch report.
+
+    The first run has no test 5 and perfect predictions for test 2; the second has
+    the usual errors in all tests, so test 2 drops and test 5 gets a first baseline.
+    Then the newest run of test 3 becomes its baseline."""
+    folder = work_folder(spark, "runs")
+    predictions, truth = _pairs(spark, sf_dir)
+    columns = ["test_name", "request_id", "receipt_text", "expected_output"]
+    usual = predictions.select(*columns[:3], F.struct(*fv.FIELDS).alias("expected_output"))
+    perfect = truth.withColumn("receipt_text", F.lit("")).select(columns)
+    second = F.col("test_name").startswith("2")
+    early = ~F.col("test_name").startswith("5")
+    first = usual.filter(early & ~second).unionByName(perfect.filter(second))
+    regression.run_tests(first, truth.filter(early), folder, 1)
+    checks = regression.run_tests(usual, truth, folder, 2)
+    regression.update_baseline(spark, folder, "3-MEDIUM")
+    regression.batch_report(checks, f"{folder}/batch")
+    total = spark.read.parquet(f"{folder}/batch/summary").first()  # one row
+    baselines = datasets.read_results(spark, f"{folder}/baselines").select(
+        "test_name", F.col("run_ts").alias("baseline_run")
+    ).distinct()
+    saved = spark.read.parquet(f"{folder}/batch/tests")
+    return saved.join(baselines, "test_name").select(
+        "test_name", "has_regression", "message", F.size("changes").alias("changes"), "baseline_run",
+        *[F.lit(total[c]).alias(c) for c in ("total_tests", "passed_tests", "failed_tests", "error_tests")],
+    )
+
+
+_REGRESSION_FLOW = f"""
+WITH {_RESULTS},
+fm2 AS (SELECT test_name, field, any_value(w) AS w, avg(s) AS score FROM tall GROUP BY 1, 2),
+cur AS (SELECT test_name, sum(score * w) / sum(w) AS overall, count(*) FILTER (score < 0.95) AS low FROM fm2 GROUP BY 1),
+t AS (SELECT test_name, test_name LIKE '2%' AND (low > 0 OR overall < 0.95) AS r,
+  CASE WHEN test_name LIKE '2%' THEN low + CASE WHEN overall < 0.95 THEN 1 ELSE 0 END ELSE 0 END AS n, overall FROM cur)
+SELECT test_name, r AS has_regression, CASE WHEN test_name LIKE '5%' THEN 'New baseline created'
+  WHEN r THEN 'Regression detected! Overall score dropped by ' || printf('%.3f', 1 - overall)
+  ELSE 'No regression detected' END AS message, CAST(n AS INTEGER) AS changes,
+  CASE WHEN test_name LIKE '3%' OR test_name LIKE '5%' THEN 2 ELSE 1 END AS baseline_run,
+  count(*) OVER () AS total_tests, count(*) FILTER (NOT r) OVER () AS passed_tests,
+  count(*) FILTER (r) OVER () AS failed_tests, 0 AS error_tests
+FROM t
+"""
+
+
 # --- texts that differ --------------------------------------------------------------------
 
 def _spoiled(name: Column) -> Column:
@@ -555,6 +600,7 @@ SELECT -1, 'overall_score', max(samples), round(sum(mean * w) / sum(w), 9), NULL
 """
 
 QUERIES = {
+    "regression_flow": (regression_flow, _REGRESSION_FLOW),
     "scores_misread": (scores_misread, _SCORES_MISREAD),
     "report_misread": (report_misread, _REPORT_MISREAD),
     "scores_by_position": (scores_by_position, _SCORES_BY_POSITION),

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docketry import fixed_values as fv
 from docketry.functions import amounts, prompts
-from docketry.operators.categorize import categorize, rules_table
+from docketry.operators.categorize import CONFIDENT, categorize, rules_table
 from docketry.operators.clean import clean_and_key
 from docketry.operators.extract import decode_model_responses, extract_receipts
 from docketry.operators.shape import render_receipt
@@ -160,6 +160,30 @@ def categorize_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _category_columns(categorize(rendered, text_col="receipt_text"))
 
 
+def categorize_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A category from the model decides where the rules are not confident."""
+    said = F.when(F.col("order_key") % 4 == 1, "Unclassified").when(F.col("order_key") % 4 > 1, "Travel")
+    rendered = _rendered(receipts_from_orders(spark, sf_dir)).withColumn("said", said)
+    return _category_columns(categorize(rendered, text_col="receipt_text", model_category="said"))
+
+
+_CATEGORIZE_MODEL = f"""
+WITH {sql.RECEIPTS},
+s AS (SELECT order_key, lower(vendor || ' ' || names || ' ' || receipt_text) AS search FROM txt),
+{sql.categorized('s', 'order_key', 'search', fv.CATEGORY_KEYWORDS)},
+b AS (SELECT s.order_key, n, category, keywords, least(coalesce(n, 0) * CAST(0.3 AS DOUBLE), 1.0) AS sure,
+  s.order_key % 4 > 1 AND least(coalesce(n, 0) * CAST(0.3 AS DOUBLE), 1.0) < {CONFIDENT}::DOUBLE AS ai
+  FROM s LEFT JOIN cat ON s.order_key = cat.order_key)
+SELECT order_key, CASE WHEN ai THEN 'Travel' ELSE coalesce(category, 'Unclassified') END AS category,
+  CASE WHEN ai THEN 'ai' WHEN n IS NULL THEN 'fallback' ELSE 'rules' END AS categorization_source,
+  CASE WHEN ai THEN 'Category from model output'
+    ELSE coalesce('Matched keywords: ' || keywords, 'No clear categorization found') END AS categorization_reason,
+  CASE WHEN ai THEN 0 ELSE CAST(coalesce(n, 0) AS INTEGER) END AS n_keywords,
+  CASE WHEN ai THEN 0.5 ELSE round(sure, 6) END AS confidence
+FROM b
+"""
+
+
 def _category_oracle(rules) -> str:
     return f"""
 WITH {sql.RECEIPTS},
@@ -494,6 +518,7 @@ QUERIES = {
     "fallback_published": (fallback_published, _FALLBACK_PUBLISHED),
     "totals_gst": (totals_gst, _TOTALS_GST),
     "categorize_default": (categorize_default, _category_oracle(fv.CATEGORY_KEYWORDS)),
+    "categorize_model": (categorize_model, _CATEGORIZE_MODEL),
     "categorize_custom": (categorize_custom, _category_oracle(_CUSTOM_RULES)),
     "rule_catalogue": (rule_catalogue, _RULE_CATALOGUE),
     "validate_warnings": (validate_warnings, _VALIDATE_WARNINGS),

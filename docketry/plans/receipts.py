@@ -27,6 +27,10 @@ class ParsedBatch(NamedTuple):
     written: DataFrame
 
 
+#: Stands for the second of a request without time.
+_NO_TIME = -(1 << 63)
+
+
 def parse_texts(
     keyed: DataFrame,
     decoded: DataFrame | None = None,
@@ -56,28 +60,34 @@ def parse_receipts(
     """Answer a batch of valid requests.
 
     The regex work runs on misses only, after the dedupe.  ``parsed_path``
-    (shared storage) writes the parsed misses once and reads them back, which
-    cuts the lineage that both outputs would otherwise recompute.
+    (shared storage) keeps three tables below it, each made once: ids, hashes and
+    times of the requests, their merged seconds, and the parsed misses.  All other
+    work branches from those; texts are hashed once for the ids and once where the
+    misses fetch theirs, and are shuffled in that join alone.
     """
     spark = requests.sparkSession
-    keyed = clean_and_key(requests)
-    # Texts stay out of the hit-or-miss join; misses fetch theirs by the entry.
-    marked, servers = ttl_dedupe(
-        keyed.select("request_id", "request_ts", "user_id", "request_hash"), cache, ttl_seconds
+    keyed = clean_and_key(requests).withColumns(
+        {"_opener": F.coalesce("request_id", F.lit("")), "_second": F.unix_seconds("request_ts")}
     )
+    ids = keyed.select("request_id", "request_ts", "user_id", "request_hash")
+    work = None
+    if parsed_path is not None:
+        work = f"{parsed_path.rstrip('/')}.work"
+        ids.write.mode("overwrite").parquet(f"{work}/ids")
+        ids = spark.read.schema(ids.schema).parquet(f"{work}/ids")
+    marked, servers = ttl_dedupe(ids, cache, ttl_seconds, work_path=work)
+    place = ["request_hash", "_opener", "_second"]
+    at = F.coalesce(F.col("_second"), F.lit(_NO_TIME))
     opened = servers.filter(~F.col("from_cache")).select(
-        "entry", "opened_at", "last_chunk", F.col("request_hash").alias("_hash"), "served_by"
-    )
-    second = F.unix_seconds("request_ts")
+        "entry", "opened_at", "last_chunk", "request_hash",
+        F.coalesce("served_by", F.lit("")).alias("_opener"), F.col("opened_at").alias("_second"),
+    ).withColumn("_second", at)
     misses = (
-        keyed.join(
-            opened,
-            (F.col("request_hash") == F.col("_hash"))
-            & (F.coalesce("request_id", F.lit("")) == F.coalesce("served_by", F.lit("")))
-            & second.eqNullSafe(F.col("opened_at")),
-        )
-        .drop("_hash", "served_by")
-        .dropDuplicates(["entry"])
+        keyed.withColumn("_second", at)
+        .join(opened, place)
+        # One row of repeated deliveries; the join has brought them together.
+        .dropDuplicates(place)
+        .drop("_opener", "_second")
         # A generated column keeps the parsing out of the aggregation above.
         .select("*", settled(F.lit("miss")).alias("cache_status"))
     )
