@@ -44,10 +44,13 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder for written tables and streaming state.
 
     It lies under ``spark.checkpoint.dir``, which a cluster sets to shared
-    storage.  Where that is unset, it lies in the warehouse, which driver and
-    executors share as well.
+    storage.  Where that is unset, it lies in the warehouse.  A warehouse that is
+    a folder of the driver will do in local mode only; on a cluster it is refused.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or (
-        f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.work"
-    )
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.work"
+        here = root.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local")
+        if here or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
