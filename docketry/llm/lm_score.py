@@ -132,18 +132,26 @@ def part_key(gram: np.ndarray) -> np.ndarray:
     return gram >> np.uint64(32)
 
 
+def _part_of(gram: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each n-gram, in as few bits as hold it, which sort faster."""
+    return (gram % np.uint64(parts)).astype(np.min_scalar_type(parts))
+
+
 def encode_keys(key: np.ndarray, times: np.ndarray, kind: np.ndarray) -> bytes:
-    """Keys with count and class as bytes, in the order of class, single or not, key."""
+    """Keys with count and class as bytes, in the order of single or not, class, key."""
     many = times > 1
-    group = kind.astype(np.int64) * 2 + many
-    order = np.lexsort((key, group))
-    key, group = key[order].astype(np.int64), group[order]
+    # One number for class and key sorts both; single ones carry nothing else.
+    code = kind.astype(np.int64) << 32 | key.astype(np.int64)
+    alone, others = np.sort(code[~many]), code[many]
+    order = np.argsort(others, kind="stable")
+    code = np.concatenate([alone, others[order] | 1 << 40])
+    key, group = code & 0xFFFFFFFF, code >> 32
     first = np.flatnonzero(np.diff(group, prepend=-1))
     gap = np.diff(key, prepend=0)
     gap[first] = key[first]
     planes = gap.astype("<u4").view(np.uint8).reshape(-1, 4).T
     upper = pa.compress(planes[2:].tobytes(), codec="zstd", asbytes=True)
-    count = pa.compress(times[order][group % 2 == 1].astype("<u4").tobytes() or b"\0", codec="zstd", asbytes=True)
+    count = pa.compress(times[many][order].astype("<u4").tobytes() or b"\0", codec="zstd", asbytes=True)
     head = np.array([len(key), len(first), len(upper)], dtype="<u4")
     groups = np.concatenate([group[first], np.diff(first, append=len(key))]).astype("<u4")
     return b"".join([head.tobytes(), groups.tobytes(), planes[:2].tobytes(), upper, count])
@@ -165,16 +173,16 @@ def decode_keys(pack: pa.Buffer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     key -= np.repeat(base, members)
     each = np.repeat(group, members)
     times = np.ones(size, dtype=np.int64)
-    many = int(members[group % 2 == 1].sum())
+    many = int(members[group >= 256].sum())
     if many:
         packed = pa.decompress(pack.slice(at + upper), decompressed_size=4 * many, codec="zstd")
-        times[each % 2 == 1] = np.frombuffer(packed, dtype="<u4")
-    return key.astype(np.uint64), times, (each // 2).astype(np.uint8)
+        times[each >= 256] = np.frombuffer(packed, dtype="<u4")
+    return key.astype(np.uint64), times, (each % 256).astype(np.uint8)
 
 
 def _gram_packs(gram: np.ndarray, parts: int, times: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
     """``part, pack``: the n-grams of each part."""
-    part = gram % np.uint64(parts)
+    part = _part_of(gram, parts)
     turn = np.argsort(part, kind="stable")
     where = np.searchsorted(part[turn], np.arange(parts + 1))
     full = np.flatnonzero(np.diff(where))
@@ -341,29 +349,28 @@ class Model:
         """Mean count of the level up to which an n-gram is a member, else 0."""
         return np.where(level > 0, self.mean[np.minimum(level, CLASSES - 1)], 0.0)
 
-    def asked(self, tokens: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """The distinct n-grams whose counts may be needed, sorted."""
+    def asked(self, tokens: np.ndarray, row: np.ndarray) -> list[np.ndarray]:
+        """The n-grams whose counts may be needed, by order; of single tokens those
+        without a broadcast count."""
         rare = tokens[self.known.of(tokens) == 0]
-        return np.unique(np.concatenate(
-            [chain(rare, 1, 1), *(grams(tokens, row, n)[0] for n in range(2, self.order + 1))]
-        ))
+        return [chain(rare, 1, 1), *(grams(tokens, row, n)[0] for n in range(2, self.order + 1))]
 
-    def log_probabilities(self, tokens: np.ndarray, row: np.ndarray, counts) -> np.ndarray:
-        """log10 of the probability of each token after those before it, with the
-        counts of n-grams as ``counts`` gives them."""
+    def log_probabilities(self, tokens: np.ndarray, row: np.ndarray, counts: list[np.ndarray]) -> np.ndarray:
+        """log10 of the probability of each token after those before it; ``counts``
+        are those of the n-grams that :meth:`asked` lists."""
         seen = self.known.of(tokens)
         count = seen.astype(float)
-        rare = np.flatnonzero(seen == 0)
-        count[rare] = counts(chain(tokens[rare], 1, 1))
+        count[seen == 0] = counts[0]
         p = self.known.share(count)
         history, kind = count, history_class(seen)
+        inside = np.arange(len(tokens)) - np.repeat(row[:-1], np.diff(row))  # place in the text
         for n in range(2, self.order + 1):
-            gram, last = grams(tokens, row, n)
+            last = np.flatnonzero(inside >= n - 1)
             before = history[last - 1]
             # An n-gram is a member only if its history is.
             asked = before > 0
-            gram, last, before = gram[asked], last[asked], before[asked]
-            found = np.minimum(counts(gram) / before, 1.0)
+            last, before = last[asked], before[asked]
+            found = np.minimum(counts[n - 1][asked] / before, 1.0)
             if n == 2:
                 weight = self.shorter[CLASSES + kind[last - 1]]
             else:
@@ -422,7 +429,7 @@ def dealt_levels(batches: DataFrame, pieces: DataFrame, broadcast) -> DataFrame:
         for batch in rows:
             for n in range(batch.num_rows):
                 tokens, row = tokens_of(cut_words(batch.column("text")[n].values, lower=True))
-                gram = model.asked(tokens, row)
+                gram = np.unique(np.concatenate(model.asked(tokens, row)))
                 pack = _gram_packs(gram, parts, np.ones(len(gram), np.int64), np.zeros(len(gram), np.uint8))
                 number = pa.array(np.full(pack.num_rows, batch.column("batch")[n].as_py()), pa.int64())
                 yield pa.RecordBatch.from_arrays([number, *pack.columns], ["batch", "part", "pack"])
@@ -471,7 +478,10 @@ def score_texts(
         tokens, row = tokens_of(cut_words(texts, lower=True))
         seen = model.known.of(tokens)
         base = np.add.reduceat(np.log10(model.known.share(seen)), row[:-1])
-        made = model.log_probabilities(tokens, row, counts_of(model.asked(tokens, row)))
+        asked = model.asked(tokens, row)
+        gram, place = np.unique(np.concatenate(asked), return_inverse=True)
+        ends = np.cumsum([len(a) for a in asked])[:-1]
+        made = model.log_probabilities(tokens, row, np.split(counts_of(gram)[place], ends))
         score = np.add.reduceat(made, row[:-1])
         other = seen == 0
         at = np.concatenate([[0], np.cumsum(other)])[row]
@@ -495,7 +505,7 @@ def score_texts(
 
         def counts_of(gram: np.ndarray):
             model, level = broadcast.value, np.zeros(len(gram), dtype=np.int64)
-            part = (gram % np.uint64(model.parts)).astype(np.int64)
+            part = _part_of(gram, model.parts)
             turn = np.argsort(part, kind="stable")
             size = np.bincount(part, minlength=model.parts)
             found = answers.sort_by("part")
@@ -505,7 +515,7 @@ def score_texts(
             ]
             if each:
                 level[turn] = np.concatenate([np.frombuffer(x, dtype=np.uint8) for x in each])
-            return lambda asked: model.meant(level[np.searchsorted(gram, asked)])
+            return model.meant(level)
 
         return pa.Table.from_batches([scores(ids, texts, counts_of)])
 
