@@ -9,8 +9,27 @@ from docketry.functions.text import first_group
 MONEY = "decimal(18,2)"
 
 
+#: An amount that money has no room for: more than 16 digits before the point.
+_TOO_LARGE = r"^[+-]?0*[1-9][0-9]{16,}(\.[0-9]*)?$"
+
+
+def too_large(plain: Column) -> Column:
+    """Whether a plain number, with a point as its only mark, has more digits than
+    money holds; NULL and unreadable text are not too large."""
+    written_out = F.coalesce(F.rlike(plain, F.lit(_TOO_LARGE)), F.lit(False))
+    # With an exponent the size is read as a floating point number.
+    powered = F.contains(F.lower(plain), F.lit("e")) & (F.abs(plain.try_cast("double")) >= F.lit(1e16))
+    return written_out | F.coalesce(powered, F.lit(False))
+
+
 def normalize_amount(text: Column) -> Column:
-    """Amount text in US or European notation -> money, NULL when unreadable.
+    """Amount text in US or European notation -> money, NULL when unreadable or
+    :func:`too_large`; see :func:`plain_amount`."""
+    return let(plain_amount(text), lambda plain: plain.try_cast(MONEY))
+
+
+def plain_amount(text: Column) -> Column:
+    """Amount text in US or European notation -> a plain number as text.
 
     With both separators present the last one is the decimal mark.  With
     commas only, the part after the first comma decides: up to two characters
@@ -29,7 +48,7 @@ def normalize_amount(text: Column) -> Column:
             .when(comma_is_decimal, F.translate(kept, ",", "."))
             .otherwise(F.translate(kept, ",", ""))
         )
-        return plain.try_cast(MONEY)
+        return plain
 
     return let(F.regexp_replace(text, r"[^\d.,\-]", ""), parse)
 
@@ -39,6 +58,9 @@ def to_money(number: Column) -> Column:
     return F.round(number.try_cast("decimal(38,10)"), 2).try_cast(MONEY)
 
 
+_LABELLED = r"\btotal\s*:?\s*\$?\s*([\d\.,]+)"
+
+
 def fallback_total(text: Column, strict: bool = False) -> Column:
     """Total amount from the first total/amount/due pattern that matches.
 
@@ -47,10 +69,20 @@ def fallback_total(text: Column, strict: bool = False) -> Column:
     """
     patterns = fv.TOTAL_PATTERNS
     if strict:
-        patterns = (r"\btotal\s*:?\s*\$?\s*([\d\.,]+)",) + patterns
+        patterns = (_LABELLED,) + patterns
     return normalize_amount(first_group(text, patterns, "(?iu)"))
 
 
+def fallback_too_large(text: Column, strict: bool = False) -> Column:
+    """Whether the amount that :func:`fallback_total` reads has too many digits."""
+    patterns = fv.TOTAL_PATTERNS
+    if strict:
+        patterns = (_LABELLED,) + patterns
+    # No pattern is tried where no run of digits and marks is long enough.
+    long_run = F.rlike(text, F.lit(r"[0-9.,]{17}"))
+    return F.when(long_run, let(plain_amount(first_group(text, patterns, "(?iu)")), too_large)).otherwise(False)
+
+
 def compute_gst(total: Column, gst: Column) -> Column:
     """Given GST, else 1/11 of the GST-inclusive total, else zero."""
     eleventh = F.round(total * F.lit(10).cast("decimal(2,0)") / F.lit(110).cast("decimal(3,0)"), 2)

@@ -1,5 +1,8 @@
 """Model output, or pattern extraction where it is unusable -> typed receipts."""
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docketry import schemas
@@ -108,6 +111,15 @@ def _typed(record: DataFrame) -> DataFrame:
             price(x, "total_price").alias("total_price"),
         ),
     )
+    def amounts_too_large(items: Column) -> Column:
+        own = [amounts.too_large(F.trim(string(a))) for a in _AMOUNTS]
+        priced = F.exists(
+            items,
+            lambda i: let(amounts.plain_amount(i["unit_price"]), amounts.too_large)
+            | let(amounts.plain_amount(i["total_price"]), amounts.too_large),
+        )
+        return reduce(or_, own, F.coalesce(priced, F.lit(False)))
+
     is_record = F.startswith(F.schema_of_variant(whole), F.lit("OBJECT")) & (
         F.schema_of_variant(whole) != "OBJECT<>"
     )
@@ -119,6 +131,7 @@ def _typed(record: DataFrame) -> DataFrame:
                 "receipt_date": string("receipt_date"),
                 "items": raw_items.cast(schemas.RAW_ITEMS),
                 **{a: F.trim(string(a)).try_cast(amounts.MONEY) for a in _AMOUNTS},
+                "amount_too_large": amounts_too_large(raw_items),
                 "currency": F.coalesce(string("currency"), F.lit("AUD")),
             }.items()
         }
@@ -151,7 +164,8 @@ def extract_receipts(
 
     Rows without usable model output take vendor, date and total from the
     text.  ``strict`` swaps the published fallback patterns, which misread
-    common layouts, for bounded ones.
+    common layouts, for bounded ones.  ``amount_too_large`` marks rows with an
+    amount of more digits than money holds, which reads as NULL.
     """
     request_currency = F.coalesce(blank_to_null(F.col("currency")), F.lit("AUD"))
     base = misses.withColumn("_currency", request_currency).drop("currency")
@@ -165,6 +179,7 @@ def extract_receipts(
                 "items": F.array().cast(schemas.ITEMS),
                 **none,
                 "total_amount": amounts.fallback_total(clean, strict=strict),
+                "amount_too_large": amounts.fallback_too_large(clean, strict=strict),
                 "_model_currency": F.lit(None).cast("string"),
             }
         )
@@ -186,6 +201,9 @@ def extract_receipts(
                     "total_amount": F.when(ok, F.col("total_amount")).otherwise(
                         amounts.fallback_total(clean, strict=strict)
                     ),
+                    "amount_too_large": F.when(ok, F.col("amount_too_large")).otherwise(
+                        amounts.fallback_too_large(clean, strict=strict)
+                    ),
                 }
             )
             .drop("model_ok")

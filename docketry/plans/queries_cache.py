@@ -406,6 +406,42 @@ FROM x LEFT JOIN cat ON x.event_id = cat.event_id
 """
 
 
+_DIGITS = (9, 16, 17, 30, 40)
+
+
+def parse_wide_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of up to 40 digits, from the text and from a model: those that money
+    has no room for are error rows with the reason."""
+    size = F.element_at(F.array(*[F.lit(n) for n in _DIGITS]), (F.col("event_id") % 5 + 1).cast("int"))
+    total = F.concat(F.repeat(F.lit("7"), size), F.lit(".25"))
+    requests = table(spark, sf_dir, "events").select(
+        F.col("event_id").cast("string").alias("request_id"),
+        F.col("ts").cast("timestamp").alias("request_ts"),
+        F.lit("u").alias("user_id"),
+        F.concat_ws(" ", F.lit("Shop total:"), total, F.lit("no"), F.col("event_id").cast("string")).alias("receipt_text"),
+        F.lit(None).cast("string").alias("currency"),
+        total.alias("total"), (F.col("event_id") % 3 == 0).alias("model"),
+    )
+    body = F.to_json(F.struct(F.array(F.struct(
+        F.to_json(F.struct(F.lit("Shop").alias("vendor"), F.col("total").alias("total_amount"))).alias("text")
+    )).alias("content")))
+    responses = clean_and_key(requests.filter("model")).select("request_hash", body.alias("body"))
+    batch = parse_receipts(
+        requests.drop("total", "model"), responses, parsed_path=work_folder(spark, "parsed")
+    )
+    return batch.receipts.select(
+        "request_id", "cache_status", F.col("total_amount").cast("string").alias("total"),
+        F.array_join("warnings", "; ").alias("warnings"),
+    ).withColumn("warnings", F.when(F.col("cache_status") == "error", F.col("warnings")))
+
+
+_PARSE_WIDE_AMOUNTS = f"""
+SELECT CAST(event_id AS VARCHAR) AS request_id, CASE WHEN n > 16 THEN 'error' ELSE 'miss' END AS cache_status,
+  CASE WHEN n <= 16 THEN repeat('7', n) || '.25' END AS total,
+  CASE WHEN n > 16 THEN 'Invalid request data: amount of more than 16 digits' END AS warnings
+FROM (SELECT *, {list(_DIGITS)}[event_id % 5 + 1] AS n FROM events)
+"""
+
 # Entries live for 30 days, longer than the events last: what the cache answers is
 # what one batch over all requests would.
 _PARSE_FLOW_CACHED = f"""
@@ -414,6 +450,7 @@ SELECT once.* FROM once JOIN events ON request_id = CAST(event_id AS VARCHAR) WH
 """
 
 QUERIES = {
+    "parse_wide_amounts": (parse_wide_amounts, _PARSE_WIDE_AMOUNTS),
     "parse_flow_cached": (parse_flow_cached, _PARSE_FLOW_CACHED),
     "request_ingest": (request_ingest, _REQUEST_INGEST),
     "request_rejects": (request_rejects, _REQUEST_REJECTS),

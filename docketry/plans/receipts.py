@@ -93,17 +93,22 @@ def parse_receipts(
     )
     decoded = None if responses is None else decode_model_responses(responses)
     parsed = parse_texts(misses, decoded, rules, strict).withColumn(
-        "refused", has_negative_amount()
+        "refused",
+        F.when(F.col("amount_too_large"), "amount of more than 16 digits").when(
+            has_negative_amount(), "negative amount"
+        ),
     )
     if parsed_path is not None:
         parsed.write.mode("overwrite").parquet(parsed_path)
         parsed = spark.read.parquet(parsed_path)
 
-    refusal = error_receipt(F.col("request_id"), F.lit("Invalid request data: negative amount"))
+    refusal = error_receipt(
+        F.col("request_id"), F.concat(F.lit("Invalid request data: "), F.col("refused"))
+    )
     fresh = parsed.select(
         "entry",
         "last_chunk",
-        F.when(F.col("refused"), refusal).otherwise(_receipt_struct()).alias("receipt"),
+        F.when(F.col("refused").isNotNull(), refusal).otherwise(_receipt_struct()).alias("receipt"),
     )
     if cache is not None:
         stored = (
@@ -135,7 +140,7 @@ def parse_receipts(
         ],
         F.when(failed, "error").otherwise(F.col("_status")).alias("cache_status"),
     )
-    written = cache_rows(parsed.filter(~F.col("refused")), ttl_seconds)
+    written = cache_rows(parsed.filter(F.col("refused").isNull()), ttl_seconds)
     return ParsedBatch(receipts, written)
 
 
