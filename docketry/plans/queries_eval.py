@@ -324,17 +324,21 @@ def results_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RESULTS_HISTORY = f"WITH {_RESULTS} SELECT test_name, run_ts, field, round(score, 9) AS score FROM results"
 
 
-def stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same results from a history table, written once and read often."""
+def _history(spark: SparkSession, sf_dir: str) -> str:
     history = f"{work_folder(spark, 'history')}/results"
     datasets.append_results(run_results(spark, sf_dir), history)
-    return datasets.read_results(spark, history)
+    return history
+
+
+def stored_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same results from a history table, written once and read often."""
+    return datasets.read_results(spark, _history(spark, sf_dir))
 
 
 def latest_result(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regress.latest_results(stored_results(spark, sf_dir)).withColumn(
-        "score", F.round("score", 9)
-    )
+    """Found in the names of the partitions; older runs are not scanned."""
+    newest = datasets.read_latest_results(spark, _history(spark, sf_dir))
+    return newest.withColumn("score", F.round("score", 9))
 
 
 _LATEST_RESULT = f"""

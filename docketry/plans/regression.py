@@ -35,8 +35,8 @@ def run_tests(
 
 def update_baseline(spark: SparkSession, folder: str, test_name: str) -> None:
     """Promote the newest run of a test; nothing happens without a run."""
-    runs = datasets.read_results(spark, f"{folder}/history", test_name)
-    datasets.write_baselines(regress.latest_results(runs), f"{folder}/baselines")
+    newest = datasets.read_latest_results(spark, f"{folder}/history", test_name)
+    datasets.write_baselines(newest, f"{folder}/baselines")
 
 
 def batch_report(checks: DataFrame, path: str) -> DataFrame:

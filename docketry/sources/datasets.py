@@ -1,5 +1,7 @@
 """JSON record files and result tables."""
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docketry import schemas
@@ -67,6 +69,36 @@ def read_results(spark: SparkSession, path: str, test_name: str | None = None) -
     return rows if test_name is None else rows.filter(F.col("test_name") == test_name)
 
 
+def _subfolders(spark: SparkSession, path: str, column: str) -> list[tuple[str, str]]:
+    """``(value, path)`` of the partitions of one column right below ``path``."""
+    context = spark.sparkContext
+    location = context._jvm.org.apache.hadoop.fs.Path(path)
+    found = location.getFileSystem(context._jsc.hadoopConfiguration()).listStatus(location)
+    folders = ((status.getPath().getName(), status.getPath().toString()) for status in found if status.isDirectory())
+    mark = f"{column}="
+    return [(unquote(name.removeprefix(mark)), folder) for name, folder in folders if name.startswith(mark)]
+
+
+def read_latest_results(spark: SparkSession, path: str, test_name: str | None = None) -> DataFrame:
+    """The newest run of every test, or of one, from a history.
+
+    The newest run is read off the names of the partitions, one listing for each
+    test, so the plan scans that run alone however many years the history holds.
+    """
+    none = spark.createDataFrame([], schemas.RESULTS)
+    if not exists(spark, path):
+        return none
+    newest = []
+    for test, folder in _subfolders(spark, path, "test_name"):
+        if test_name is None or test == test_name:
+            runs = [(int(run), run_folder) for run, run_folder in _subfolders(spark, folder, "run_ts")
+                    if run.lstrip("-").isdigit()]
+            newest += [max(runs)[1]] if runs else []
+    if not newest:
+        return none
+    return spark.read.schema(schemas.RESULTS).option("basePath", path).parquet(*newest)
+
+
 def write_baselines(results: DataFrame, path: str) -> None:
     """Replace the baseline of the tests in ``results``, leave others alone."""
     (
