@@ -12,6 +12,7 @@ from docketry.operators.validate import error_receipt
 from docketry.plans import oracle_sql as sql
 from docketry.plans.receipts import parse_receipts
 from docketry.session import work_folder
+from docketry.sources.cache_store import read_cache, update_cache
 from docketry.sources.orders import table, vendor_of
 
 SPLIT = "2024-01-16 00:00:00"
@@ -282,6 +283,33 @@ SELECT t AS receipt_text, ttl, response FROM r WHERE rn = 1
 """
 
 
+def cache_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same cache stored in buckets and updated twice in a row."""
+    requests = _event_requests(spark, sf_dir)
+    path = f"{work_folder(spark, 'cache')}/stored"
+    update_cache(spark, path, _event_cache(requests, 5 * DAY), F.lit(0))
+    later = requests.filter(F.col("request_ts") >= F.lit(SPLIT).cast("timestamp"))
+    some = later.filter(F.startswith("request_hash", F.lit("0"))).select(
+        "request_hash", F.col("text").alias("receipt_text"), F.lit("{}").alias("response"),
+        (F.unix_seconds("request_ts") + F.lit(DAY)).alias("ttl"),
+    )
+    update_cache(spark, path, some, F.lit(0))
+    return read_cache(spark, path).select("receipt_text", "ttl", "response")
+
+
+_CACHE_UPDATES = f"""
+WITH {_CACHE},
+both_ AS (
+  SELECT user_id || '-' || event_type AS t, ttl, 0 AS g,
+    '{{"vendor":"' || user_id || '-' || event_type || '"}}' AS response FROM cache
+  UNION ALL
+  SELECT user_id || '-' || event_type, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) + {DAY}, 1, '{{}}'
+  FROM events WHERE ts >= TIMESTAMP '{SPLIT}' AND sha256(user_id || '-' || event_type) LIKE '0%'),
+r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY g DESC, ttl DESC) AS rn FROM both_)
+SELECT t AS receipt_text, ttl, response FROM r WHERE rn = 1
+"""
+
+
 # --- the whole flow --------------------------------------------------------------------
 
 def _flow_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -458,6 +486,7 @@ QUERIES = {
     "ttl_duplicates": (ttl_duplicates, _twice(_TTL_HIT_MISS)),
     "ttl_with_cache": (ttl_with_cache, _TTL_WITH_CACHE),
     "cache_lookup": (cache_lookup_query, _CACHE_LOOKUP),
+    "cache_updates": (cache_updates, _CACHE_UPDATES),
     "cache_snapshot": (cache_snapshot_query, _CACHE_SNAPSHOT),
     "parse_flow": (parse_flow, _PARSE_FLOW),
     "parse_flow_duplicates": (parse_flow_duplicates, _twice(_PARSE_FLOW)),
