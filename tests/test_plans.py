@@ -6,13 +6,14 @@ import io
 from pyspark.sql import functions as F
 
 from docketry.operators import evaluate
+from docketry.operators.cache import ttl_dedupe
 from docketry.operators.categorize import categorize
 from docketry.operators.clean import clean_and_key
 from docketry.operators.ingest import accepted
 from docketry.operators.ingest import decode_requests
 from docketry.plans import queries_cache, queries_eval
 from docketry.plans.queries_receipts import receipt_texts
-from docketry.plans.receipts import parse_texts
+from docketry.plans.receipts import parse_receipts, parse_texts
 from docketry.sources.orders import table
 
 
@@ -53,10 +54,24 @@ def test_body_is_parsed_once(spark, sf_dir):
 
 
 def test_seconds_are_merged_before_the_walk(spark, sf_dir):
-    shown = plan(queries_cache.ttl_hit_miss(spark, sf_dir))
+    requests = queries_cache._event_requests(spark, sf_dir)
+    shown = plan(ttl_dedupe(requests, ttl_seconds=86400).requests)
     assert "MapInPandas" in shown and "partial_count" in shown
 
 
+def test_written_seconds_are_not_worked_out_again(spark, sf_dir):
+    shown = plan(queries_cache.ttl_hit_miss(spark, sf_dir))
+    # The events once for the join and once for requests without a time; no walk.
+    assert "MapInPandas" not in shown and shown.count("events.parquet") == 2
+
+
+def test_whole_flow_reads_texts_once_more(spark, sf_dir, tmp_path):
+    requests = queries_cache._flow_requests(spark, sf_dir)
+    batch = parse_receipts(requests, parsed_path=f"{tmp_path}/parsed")
+    for shown in (plan(batch.receipts), plan(batch.written)):
+        assert "events.parquet" not in shown and "sha2" not in shown
+
+
 def test_similarity_runs_without_pair_joins(spark, sf_dir):
     shown = plan(queries_eval.sample_scores(spark, sf_dir))
     assert "ArrowEvalPython" in shown and "NestedLoop" not in shown
