@@ -46,7 +46,7 @@ PROBES_FIRST, PROBES = 4, 2
 #: Most tokens whose counts are broadcast.
 MOST_FREQUENT = 1 << 19
 #: Bytes of the corpus for one part of the counting.
-PART_BYTES = 6 << 20
+PART_BYTES = 4 << 20
 #: Distinct tokens that a task holds before it hands them on.
 HELD = 1 << 20
 #: Hash of the token that ends a text; no word has it but by chance.
@@ -302,6 +302,7 @@ def filter_pieces(packs: DataFrame) -> DataFrame:
     def work(group: pa.Table) -> pa.Table:
         key, times, kind = (np.concatenate(c) for c in zip(*[decode_keys(p.as_buffer()) for p in group["pack"]]))
         key, count, row = _summed(key, times)
+        del times
         kind = kind[row].astype(np.int64)
         level = np.frexp(count)[1]  # 1 for 1, 2 for 2 and 3, 3 for 4 to 7, ...
         bits = 64 + BITS * len(key) + LEVEL_BITS * int((level - 1).sum())
