@@ -1,11 +1,13 @@
 """The TTL cache over a stream, decided by event time.
 
-Requests of one text are merged to the earliest of each second before they touch
-the state, which holds one small entry for each second not decided yet, in a map
-by second, and the open cache entry.  A timer is set for each second.  It fires
-when the watermark has passed the second, so nothing earlier can follow, and
-timers fire in the order of their time: each decides its second against the open
-entry and is forgotten.  Nothing is sorted and no list of requests is kept,
+Texts are dealt by hash to a fixed number of buckets, and a bucket's state is read
+and written as a whole, once a micro-batch, as a call to the state store costs far
+more than a row.  Requests of one text are merged to the earliest of each second
+before they touch the state, which holds a small row for each second not decided
+yet and the open cache entries.  A bucket has one timer, set for its first undecided
+second or the first end of an entry.  It fires when the watermark has passed that,
+so nothing earlier can follow: all seconds passed are decided in the order of time
+and forgotten, and so are the entries that have ended.  No list of requests is kept,
 however often a text is sent; requests may come in any order within the delay.
 
 What comes out is one row for each second of a text, and one for each request
@@ -23,66 +25,89 @@ from docketry.operators.cache import DEFAULT_TTL_SECONDS
 
 DECIDED = "request_hash string, second long, kind string, request_id string, opened_at long"
 _COLUMNS = ["request_hash", "second", "kind", "request_id", "opened_at"]
+_PENDING = ["request_hash", "second", "micros", "request_id"]
+
+#: Into so many buckets texts are dealt.  It is part of a checkpoint: a stream that
+#: goes on from one must keep it.
+BUCKETS = 1024
 
 
 class _Seconds(StatefulProcessor):
-    """The undecided seconds and the open entry of one text."""
+    """The undecided seconds and the open entries of a bucket of texts."""
 
     def __init__(self, ttl_seconds: int):
         self.ttl = ttl_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getMapState("pending", "second long", "micros long, request_id string")
-        self.entry = handle.getValueState("entry", "request_id string, second long")
+        # A second that came in several micro-batches has a row for each.
+        self.pending = handle.getListState(
+            "pending", "request_hash string, second long, micros long, request_id string"
+        )
+        self.entries = handle.getListState("entries", "request_hash string, request_id string, second long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
         passed = timerValues.getCurrentWatermarkInMs()
-        earliest: dict[int, tuple[int, str]] = {}
+        earliest: dict[tuple[str, int], tuple[int, str]] = {}
         for frame in rows:
             late = frame["second"] * 1000 <= passed
             if late.any():
                 some = frame[late]
                 yield pd.DataFrame(
-                    {"request_hash": key[0], "second": some["second"], "kind": "late",
+                    {"request_hash": some["request_hash"], "second": some["second"], "kind": "late",
                      "request_id": some["request_id"], "opened_at": pd.array([None] * len(some), "Int64")}
                 )
             timely = frame[~late]
-            first = timely[timely["micros"] == timely.groupby("second")["micros"].transform("min")]
-            for second, micros, request_id in zip(first["second"], first["micros"], first["request_id"]):
-                found = (int(micros), request_id)
-                earliest[second] = min(found, earliest.get(second, found))
-        for second, found in earliest.items():
-            at = (int(second),)
-            held = self.pending.getValue(at) if self.pending.containsKey(at) else None
-            if held is None:
-                self.handle.registerTimer(int(second) * 1000)
-            if held is None or found < tuple(held):
-                self.pending.updateValue(at, found)
+            for text, second, *found in zip(*(timely[c].tolist() for c in _PENDING)):
+                at, found = (text, second), tuple(found)
+                earliest[at] = min(found, earliest.get(at, found))
+        if earliest:
+            self.pending.appendList([(*at, *found) for at, found in earliest.items()])
+            self._set_timer(min(second for _, second in earliest) * 1000)
+
+    def _set_timer(self, at: int) -> None:
+        """Let the bucket's timer fire at ``at``, if not before."""
+        for other in list(self.handle.listTimers()):
+            if other <= at:
+                return
+            self.handle.deleteTimer(other)
+        self.handle.registerTimer(at)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        second = expiredTimerInfo.getExpiryTimeInMs() // 1000
-        held = self.entry.get()
-        if held is not None and second >= held[1] + self.ttl:
-            self.entry.clear()
-            held = None
-        if self.pending.containsKey((second,)):
-            _, request_id = self.pending.getValue((second,))
-            self.pending.removeKey((second,))
-            kind = "hit"
-            if held is None:
+        passed = timerValues.getCurrentWatermarkInMs()
+        entries = {text: (request_id, second) for text, request_id, second in self.entries.get()}
+        due, waiting = [], []
+        for row in self.pending.get():
+            (due if row[1] * 1000 <= passed else waiting).append(row)
+        due.sort()
+        out, last = [], None
+        for text, second, _, request_id in due:
+            if last == (text, second):
+                continue
+            last = (text, second)
+            kind, held = "hit", entries.get(text)
+            if held is None or second >= held[1] + self.ttl:
                 kind, held = "miss", (request_id, second)
-                self.entry.update(held)
-                # The entry goes when it has expired, if nothing else clears it before.
-                self.handle.registerTimer((second + self.ttl) * 1000)
-            yield pd.DataFrame([(key[0], second, kind, *held)], columns=_COLUMNS)
+                entries[text] = held
+            out.append((text, second, kind, *held))
+        open_ = [(text, *held) for text, held in entries.items() if (held[1] + self.ttl) * 1000 > passed]
+        for state, kept in ((self.pending, waiting), (self.entries, open_)):
+            if kept:
+                state.put(kept)
+            else:
+                state.clear()
+        following = [row[1] for row in waiting] + [row[2] + self.ttl for row in open_]
+        if following:
+            self.handle.registerTimer(min(following) * 1000)
+        if out:
+            yield pd.DataFrame(out, columns=_COLUMNS)
 
     def close(self) -> None:
         pass
 
 
 def stream_ttl_seconds(
-    requests: DataFrame, ttl_seconds: int = DEFAULT_TTL_SECONDS, delay: str = "1 hour"
+    requests: DataFrame, ttl_seconds: int = DEFAULT_TTL_SECONDS, delay: str = "1 hour", buckets: int = BUCKETS
 ) -> DataFrame:
     """``request_hash, second, kind, request_id, opened_at`` as seconds are decided.
 
@@ -90,16 +115,18 @@ def stream_ttl_seconds(
     that an entry serves; ``request_id`` and ``opened_at`` name the opening request
     and its second.  A request that comes when the watermark has passed its second
     is returned with ``late`` under its own id and changes nothing.  Requests
-    without hash or time take no part.
+    without hash or time take no part.  ``buckets`` grows with the texts of one TTL:
+    a micro-batch reads and writes the buckets that its requests fall into.
     """
     timed = (
         requests.filter("request_hash IS NOT NULL AND request_ts IS NOT NULL")
         .withWatermark("request_ts", delay)
         # Without the time column itself, late rows reach the operator.
-        .select("request_hash", F.unix_seconds("request_ts").alias("second"),
+        .select(F.pmod(F.xxhash64("request_hash"), F.lit(buckets)).alias("bucket"),
+                "request_hash", F.unix_seconds("request_ts").alias("second"),
                 F.unix_micros("request_ts").alias("micros"), F.coalesce("request_id", F.lit("")).alias("request_id"))
     )
-    return timed.groupBy("request_hash").transformWithStateInPandas(
+    return timed.groupBy("bucket").transformWithStateInPandas(
         statefulProcessor=_Seconds(ttl_seconds), outputStructType=DECIDED, outputMode="Append", timeMode="EventTime"
     )
 

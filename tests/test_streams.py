@@ -1,8 +1,10 @@
 """The TTL cache over many micro-batches: merged seconds, timers, late rows."""
 
 import random
+from collections import Counter
 from datetime import datetime, timedelta, timezone
 
+import pandas as pd
 import pytest
 
 from docketry.operators import cache
@@ -77,3 +79,79 @@ def test_missing_hash_or_time(spark, tmp_path):
     rows = [("1", None, "x"), ("2", START, None), ("3", START, "x"), (None, START, "x")]
     requests, decided = _run(spark, tmp_path, [rows], 60, "1 second", "nulls")
     assert [(r.kind, r.request_id) for r in decided.collect() if r.request_hash == "x"] == [("miss", "")]
+
+
+class _Handle:
+    """State of one bucket, with the calls to it counted."""
+
+    def __init__(self):
+        self.calls, self.timers, self.lists = Counter(), set(), {}
+
+    def getListState(self, name, schema):
+        handle, rows = self, self.lists.setdefault(name, [])
+
+        class _List:
+            def get(self):
+                handle.calls["get"] += 1
+                return iter(list(rows))
+
+            def put(self, new):
+                handle.calls["put"] += 1
+                rows[:] = new
+
+            def appendList(self, new):
+                handle.calls["append"] += 1
+                rows.extend(new)
+
+            def clear(self):
+                handle.calls["clear"] += 1
+                rows.clear()
+
+        return _List()
+
+    def listTimers(self):
+        self.calls["timers"] += 1
+        return iter(sorted(self.timers))
+
+    def registerTimer(self, at):
+        self.calls["timers"] += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls["timers"] += 1
+        self.timers.discard(at)
+
+
+class _At:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+def test_calls_to_the_state_do_not_grow_with_texts_and_seconds():
+    """Stream_ttl and stream_late: a micro-batch costs a bucket a few calls."""
+    handle, processor = _Handle(), ttl._Seconds(30)
+    processor.init(handle)
+    frame = pd.DataFrame(
+        [(f"t{k % 50}", 100 + k % 97, k, f"{k:04}") for k in range(3000)],
+        columns=["request_hash", "second", "micros", "request_id"],
+    )
+    assert not list(processor.handleInputRows((0,), iter([frame[:1500], frame[1500:]]), _At(0)))
+    assert handle.timers == {100_000}
+    handle.timers.clear()
+    out = pd.concat(processor.handleExpiredTimer((0,), _At(150_000), None))
+    assert out["second"].max() == 150 and not out.duplicated(["request_hash", "second"]).any()
+    assert handle.timers == {151_000}
+    handle.timers.clear()
+    rest = pd.concat(processor.handleExpiredTimer((0,), _At(10**6), None))
+    both = pd.concat([out, rest])
+    assert len(both) == len(frame.drop_duplicates(["request_hash", "second"]))
+    assert handle.lists == {"pending": [], "entries": []} and not handle.timers
+    assert sum(handle.calls.values()) < 20
+    # The walk of each text, by hand.
+    for text, part in both.sort_values("second").groupby("request_hash"):
+        opened = None
+        for row in part.itertuples():
+            if opened is None or row.second >= opened + 30:
+                opened = row.second
+                assert row.kind == "miss"
+            assert row.opened_at == opened and (row.kind == "hit" or row.second == opened)
