@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +104,12 @@ def test_scores_are_the_mixture(spark, monkeypatch):
                     p = (1 - weight) * min(grams[order][gram] / before, 1) + weight * p
             want += math.log10(p)
         assert got[n] == pytest.approx(want, rel=0.05), n
+
+
+def test_texts_are_sent_compressed():
+    """Op3: what the shuffle carries of a batch's texts is half their size at most."""
+    texts = pa.array(["", None, *[f"the cat {k} sat on the mat and looked at dog {k % 7}" for k in range(500)]])
+    for some in (texts, texts.slice(1, 300), texts.slice(0, 2)):
+        pack = pa.scalar(lm_score.pack_texts(some), pa.binary())
+        assert lm_score.unpack_texts(pack).to_pylist() == some.to_pylist()
+    assert 2 * len(lm_score.pack_texts(texts)) < texts.nbytes
