@@ -193,7 +193,7 @@ def _gram_packs(gram: np.ndarray, parts: int, times: np.ndarray, kind: np.ndarra
 
 
 def pack_texts(texts: pa.Array) -> bytes:
-    """The texts of a batch, compressed: the shuffle's own codec leaves a good third more."""
+    """The texts of a batch, compressed better than the shuffle does by itself."""
     sink = pa.BufferOutputStream()
     rows = pa.RecordBatch.from_arrays([texts], ["text"])
     with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
