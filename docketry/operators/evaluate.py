@@ -40,11 +40,14 @@ def pair_samples(
     """Join on the sample key; both sides are kept, ``paired`` tells whether both exist.
 
     Rows are never matched by position, which a distributed table lacks.  A key
-    that one side has more than once is not paired either.
+    that one side has more than once is not paired either.  Both sides are dealt by
+    key before they are grouped: keys hardly repeat, so grouping first would sort
+    every record twice.
     """
     text = F.col("receipt_text") if "receipt_text" in predictions.columns else F.lit("")
     left = (
         predictions.select(*keys, output_fields(predictions).alias("predicted"), text.alias("receipt_text"))
+        .repartition(*keys)
         .groupBy(*keys)
         .agg(
             F.first("predicted").alias("predicted"), F.first("receipt_text").alias("receipt_text"),
@@ -53,6 +56,7 @@ def pair_samples(
     )
     right = (
         truth.select(*keys, output_fields(truth).alias("expected"))
+        .repartition(*keys)
         .groupBy(*keys)
         .agg(F.first("expected").alias("expected"), F.count(F.lit(1)).alias("_t"))
     )

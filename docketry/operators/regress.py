@@ -14,19 +14,32 @@ from docketry.operators.evaluate import (
     pair_samples,
     with_scores,
 )
+from docketry.session import work_folder
 
 TOLERANCE = 0.05
 OVERALL = "overall_score"
 _ORDER = (OVERALL, *fv.FIELDS)
 
 
+def _kept(small: DataFrame, purpose: str) -> DataFrame:
+    """A small table written to the working folder, so that its second use does not
+    score the samples again."""
+    path = work_folder(small.sparkSession, purpose)
+    small.write.parquet(path)
+    return small.sparkSession.read.schema(small.schema).parquet(path)
+
+
 def results_of(scores: DataFrame, run_ts: int | None = None) -> DataFrame:
     """Result rows for every ``test_name`` of a score table, in one aggregation.
 
     With no ``run_ts`` the scores carry their own ``run_ts`` column.
     """
     by = ("test_name",) if run_ts is not None else ("test_name", "run_ts")
-    fields = field_report(scores, by)
+    return _results(_kept(field_report(scores, by), "results"), by, run_ts)
+
+
+def _results(fields: DataFrame, by: tuple[str, ...], run_ts: int | None) -> DataFrame:
+    """Result rows of the field means, the overall score among them."""
     overall = overall_score(fields, by=by).select(
         *by, F.lit(OVERALL).alias("field"), F.col(OVERALL).alias("score")
     )
@@ -106,17 +119,15 @@ def evaluate_tests(
     """(results, errors) for all tests of two tables that carry ``test_name``.
 
     A test whose samples do not pair up gets an error row and leaves the
-    others untouched.
+    others untouched.  Samples with and without a partner are summed apart in one
+    pass over all of them; what is left to decide are a few rows for each test.
     """
     paired = pair_samples(predictions, truth, ("test_name", "request_id"))
-    errors = (
-        paired.groupBy("test_name")
-        .agg(F.count_if(~F.col("paired")).alias("unpaired"))
-        .filter(F.col("unpaired") > 0)
-        .select("test_name", F.lit(UNPAIRED).alias("error"))
-    )
-    sound = paired.join(errors, "test_name", "left_anti")
-    return results_of(with_scores(sound), run_ts), errors
+    scores = with_scores(paired.withColumn("unpaired", ~F.col("paired")))
+    fields = _kept(field_report(scores, ("test_name", "unpaired")), "tests")
+    errors = fields.filter("unpaired").select("test_name", F.lit(UNPAIRED).alias("error")).distinct()
+    sound = fields.join(errors, "test_name", "left_anti")
+    return _results(sound, ("test_name",), run_ts), errors
 
 
 def run_batch_tests(
