@@ -1,10 +1,10 @@
 """Field scores in 0..1 between a predicted and an expected value."""
 
-from collections.abc import Iterator
 from decimal import Decimal
 from difflib import SequenceMatcher
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from docketry.functions.binding import let, settled
@@ -49,19 +49,45 @@ def currency_score(predicted: Column, expected: Column) -> Column:
 #: The matcher treats characters as junk only in expected texts of this length and more.
 JUNK_LENGTH = 200
 
+#: Rows of a batch that are Python objects at once.
+ROWS = 500
+
+
+def _asked(left: pa.Array, right: pa.Array, compare) -> pa.Array:
+    """``compare(left, right)`` for the rows where both are given, else NULL.
+
+    The rows become Python objects some at a time, and only those to compare."""
+    given = pc.and_(left.is_valid(), right.is_valid())
+    at = pc.indices_nonzero(given)
+    found = [
+        compare(x, y)
+        for begin in range(0, len(at), ROWS)
+        for x, y in zip(
+            left.take(at[begin : begin + ROWS]).to_pylist(),
+            right.take(at[begin : begin + ROWS]).to_pylist(),
+            strict=True,
+        )
+    ]
+    return pc.replace_with_mask(pa.nulls(len(left), pa.float64()), given, pa.array(found, pa.float64()))
+
+
+# The two functions take one batch, not an iterator of batches: functions of that
+# kind share one Python worker for each task, the others would take one each.
 
 @F.arrow_udf(T.DoubleType())
-def _matching_ratio(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+def _matching_ratio(left: pa.Array, right: pa.Array) -> pa.Array:
     """Ratcliff-Obershelp ratio; each distinct pair of a batch is compared once.
 
     NULL inputs mark pairs the plan has already scored and come back as NULL.
     """
-    for left, right in batches:
-        pairs = list(zip(left.to_pylist(), right.to_pylist(), strict=True))
-        ratios = {
-            pair: SequenceMatcher(None, *pair).ratio() for pair in set(pairs) if None not in pair
-        }
-        yield pa.array([ratios.get(pair) for pair in pairs], type=pa.float64())
+    ratios: dict = {}
+
+    def ratio(*pair: str) -> float:
+        if pair not in ratios:
+            ratios[pair] = SequenceMatcher(None, *pair).ratio()
+        return ratios[pair]
+
+    return _asked(left, right, ratio)
 
 
 def text_score(predicted: Column, expected: Column) -> Column:
@@ -143,21 +169,18 @@ def _price_part(price, other) -> float:
 
 
 @F.arrow_udf(T.DoubleType())
-def _best_match_total(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+def _best_match_total(predicted: pa.Array, expected: pa.Array) -> pa.Array:
     """Sum of the best matches of the predicted items of each row."""
+    known: dict = {}
 
     def listed(items):
         return [(i["name"], i["empty"], i["priced"], i["price"]) for i in items]
 
-    for predicted, expected in batches:
-        known: dict = {}
-        totals = [
-            None
-            if p is None or e is None
-            else sum(_best_match(item, dict.fromkeys(listed(e)), known) for item in listed(p))
-            for p, e in zip(predicted.to_pylist(), expected.to_pylist(), strict=True)
-        ]
-        yield pa.array(totals, type=pa.float64())
+    def total(p, e) -> float:
+        among = dict.fromkeys(listed(e))
+        return sum(_best_match(item, among, known) for item in listed(p))
+
+    return _asked(predicted, expected, total)
 
 
 def with_items_score(rows: DataFrame, predicted: str, expected: str, name: str) -> DataFrame:
