@@ -33,35 +33,53 @@ def _sql_text(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def best_category(text: str, rules: dict[str, list[str]] | None = None) -> Column:
-    """Struct ``n, place, category, keywords`` of the category with most keywords.
+def with_best_category(
+    rows: DataFrame, text: str, name: str, rules: dict[str, list[str]] | None = None
+) -> DataFrame:
+    """Add a struct ``n, place, category, keywords`` of the category with most keywords.
 
     Keywords count once, as substrings of the column named ``text``; ties go to
     the earlier category.  The catalogue is part of the expression: no join, no
     explode.  It is written as SQL because one call per keyword and function
     would cost more driver time than planning the query.
+
+    The keywords of all categories are only counted, in an expression without
+    lambdas, which Spark compiles; with a lambda around it, it would be
+    interpreted.  Those of the best category are then listed.
     """
+    catalogue = fv.CATEGORY_KEYWORDS if rules is None else rules
+    size, top = len(catalogue), f"{name}_top"
 
-    def evidence(place: int, category: str, keywords: list[str]) -> str:
-        hits = ", ".join(
-            f"if(contains({text}, {_sql_text(k.lower())}), {_sql_text(k)}, null)" for k in keywords
-        )
-        return (
-            f"struct({-place} as place, {_sql_text(category)} as category, "
-            f"array_compact(array({hits})) as keywords)"
+    def rank(place: int, keywords: list[str]) -> str:
+        # a word more weighs more than all places; the earlier place is the larger number
+        hits = " + ".join(
+            f"if(contains({text}, {_sql_text(k.lower())}), {size}L, 0L)" for k in keywords
         )
+        return f"{hits or '0L'} + {size - 1 - place}L"
 
-    catalogue = fv.CATEGORY_KEYWORDS if rules is None else rules
-    found = ", ".join(evidence(i, c, kws) for i, (c, kws) in enumerate(catalogue.items()))
-    return F.expr(
-        f"array_max(transform(array({found}), c -> struct("
-        "size(c.keywords) as n, c.place as place, c.category as category, c.keywords as keywords)))"
+    def words(keywords: list[str]) -> str:
+        pairs = ", ".join(
+            f"struct({_sql_text(k.lower())} as low, {_sql_text(k)} as shown)" for k in keywords
+        )
+        none = "cast(array() as array<struct<low:string,shown:string>>)"
+        return f"array({pairs})" if keywords else none
+
+    ranks = ", ".join(rank(i, kws) for i, kws in enumerate(catalogue.values()))
+    names = ", ".join(_sql_text(c) for c in catalogue)
+    lists = ", ".join(words(kws) for kws in catalogue.values())
+    place = f"cast({size - 1} - {top} % {size} as int)"
+    best = F.expr(
+        f"struct(cast({top} div {size} as int) as n, -{place} as place, "
+        f"get(array({names}), {place}) as category, "
+        f"transform(filter(get(array({lists}), {place}), k -> contains({text}, k.low)), "
+        "k -> k.shown) as keywords)"
     )
+    return rows.withColumn(top, F.expr(f"array_max(array({ranks}))")).withColumn(name, best).drop(top)
 
 
 def best_by_table(texts: DataFrame, rules: DataFrame) -> DataFrame:
     """``_text_key, _best`` for each distinct ``_text_key, _search`` with a keyword
-    of the rule table; ``_best`` as of :func:`best_category`.
+    of the rule table; ``_best`` as of :func:`with_best_category`.
 
     A keyword is looked up by its first ``GRAM`` letters among those of the text,
     an equality join that the size of either side does not limit, then checked.
@@ -107,7 +125,7 @@ def categorize(
         "_search", search_text(F.col("vendor"), F.col("items"), F.col(text_col))
     )
     if rule_table is None:
-        found = found.withColumn("_best", best_category("_search", rules))
+        found = with_best_category(found, "_search", "_best", rules)
     else:
         found = found.withColumn("_text_key", F.sha2("_search", 256))
         texts = found.groupBy("_text_key").agg(F.first("_search").alias("_search"))
