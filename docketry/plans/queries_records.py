@@ -145,9 +145,11 @@ SELECT CAST(order_key AS VARCHAR) AS request_id, vendor, d AS receipt_date,
 
 
 def json_export_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dataset written as JSON lines and read back with the record schema."""
+    """Dataset written as JSON lines and read back with the record schema.
+
+    The lines repeat names and texts; compressed they are a fraction of the bytes."""
     folder = f"{work_folder(spark, 'export')}/dataset.jsonl"
-    datasets.write_records(_datasets(spark, sf_dir), folder)
+    datasets.write_records(_datasets(spark, sf_dir), folder, compression="gzip")
     records = datasets.read_records(spark, folder)
     return _flat(
         records, F.col("request_id"), "receipt_text", "expected_output",

@@ -8,6 +8,8 @@ from docketry import schemas
 
 #: About so many records make one array of a JSON export.
 ARRAY_RECORDS = 5_000
+#: Most records of a compressed part, which one task reads.
+PART_RECORDS = 50_000
 
 
 def read_records(spark: SparkSession, path: str, schema: str = schemas.SAMPLES) -> DataFrame:
@@ -25,11 +27,19 @@ def read_records(spark: SparkSession, path: str, schema: str = schemas.SAMPLES)
     raise ValueError(f"unknown record format: {path}")
 
 
-def write_records(records: DataFrame, path: str, format_type: str = "jsonl") -> None:
+def write_records(
+    records: DataFrame, path: str, format_type: str = "jsonl", compression: str | None = None
+) -> None:
     """Export records as JSON lines, or as a folder of files with one JSON array
-    of about ``ARRAY_RECORDS`` records each."""
+    of about ``ARRAY_RECORDS`` records each.
+
+    JSON lines can be compressed (``gzip``).  Such a part cannot be split, so it
+    holds at most ``PART_RECORDS`` records, and reading stays spread."""
     if format_type == "jsonl":
-        records.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+        lines = records.write.mode("overwrite").option("ignoreNullFields", "false")
+        if compression:
+            lines = lines.option("compression", compression).option("maxRecordsPerFile", PART_RECORDS)
+        lines.json(path)
     elif format_type == "json":
         buckets = -(-records.count() // ARRAY_RECORDS) or 1
         line = F.to_json(F.struct(*records.columns), {"ignoreNullFields": "false"})
