@@ -149,7 +149,7 @@ def json_export_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The lines repeat names and texts; compressed they are a fraction of the bytes."""
     folder = f"{work_folder(spark, 'export')}/dataset.jsonl"
-    datasets.write_records(_datasets(spark, sf_dir), folder, compression="gzip")
+    datasets.write_records(_datasets(spark, sf_dir), folder, compression="lz4")
     records = datasets.read_records(spark, folder)
     return _flat(
         records, F.col("request_id"), "receipt_text", "expected_output",

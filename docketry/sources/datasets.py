@@ -33,8 +33,8 @@ def write_records(
     """Export records as JSON lines, or as a folder of files with one JSON array
     of about ``ARRAY_RECORDS`` records each.
 
-    JSON lines can be compressed (``gzip``).  Such a part cannot be split, so it
-    holds at most ``PART_RECORDS`` records, and reading stays spread."""
+    JSON lines can be compressed (``gzip``, ``lz4``, ...).  Such a part cannot be split,
+    so it holds at most ``PART_RECORDS`` records, and reading stays spread."""
     if format_type == "jsonl":
         lines = records.write.mode("overwrite").option("ignoreNullFields", "false")
         if compression:
