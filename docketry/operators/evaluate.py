@@ -8,10 +8,10 @@ from docketry.schemas import SCORED_TYPES
 from docketry.functions.binding import settled
 from docketry.functions.dates import date_score
 from docketry.functions.text import excerpt
+from docketry.operators.numbered import UNPAIRED, pair_numbered
 
 NEEDS_ATTENTION = 0.8
 FAILED = 0.5
-UNPAIRED = "Predictions and ground truth must have same number of samples"
 
 
 def output_fields(records: DataFrame) -> Column:
@@ -34,6 +34,15 @@ def output_fields(records: DataFrame) -> Column:
     return F.struct(*[field(name).alias(name) for name in fv.FIELDS])
 
 
+def _sides(predictions: DataFrame, truth: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """What scoring needs of both sides."""
+    text = F.col("receipt_text") if "receipt_text" in predictions.columns else F.lit("")
+    return (
+        predictions.select(*keys, output_fields(predictions).alias("predicted"), text.alias("receipt_text")),
+        truth.select(*keys, output_fields(truth).alias("expected")),
+    )
+
+
 def pair_samples(
     predictions: DataFrame, truth: DataFrame, keys: tuple[str, ...] = ("request_id",)
 ) -> DataFrame:
@@ -44,10 +53,9 @@ def pair_samples(
     key before they are grouped: keys hardly repeat, so grouping first would sort
     every record twice.
     """
-    text = F.col("receipt_text") if "receipt_text" in predictions.columns else F.lit("")
+    predicted, expected = _sides(predictions, truth, keys)
     left = (
-        predictions.select(*keys, output_fields(predictions).alias("predicted"), text.alias("receipt_text"))
-        .repartition(*keys)
+        predicted.repartition(*keys)
         .groupBy(*keys)
         .agg(
             F.first("predicted").alias("predicted"), F.first("receipt_text").alias("receipt_text"),
@@ -55,8 +63,7 @@ def pair_samples(
         )
     )
     right = (
-        truth.select(*keys, output_fields(truth).alias("expected"))
-        .repartition(*keys)
+        expected.repartition(*keys)
         .groupBy(*keys)
         .agg(F.first("expected").alias("expected"), F.count(F.lit(1)).alias("_t"))
     )
@@ -98,6 +105,11 @@ def score_samples(
     return with_scores(_require_pairs(pair_samples(predictions, truth, keys)))
 
 
+def score_numbered(predictions: DataFrame, truth: DataFrame, key: str) -> DataFrame:
+    """The same for records that are numbered without gaps, which are shuffled in blocks."""
+    return with_scores(pair_numbered(*_sides(predictions, truth, (key,)), key))
+
+
 def field_report(scores: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Per field: mean, error rate, 95 % interval, samples.  One pass over the scores.
 

@@ -24,14 +24,19 @@ def report(
     weights: dict[str, float] | None = None,
     scores_path: str | None = None,
     keys: tuple[str, ...] = ("request_id",),
+    numbered: bool = False,
 ) -> Report:
     """Score all samples, paired by ``keys``, and summarise them.
 
     ``scores_path`` (shared storage) writes the scores once; the three
     summaries then read numbers instead of scoring again.  Empty or unpaired
-    input fails.
+    input fails.  ``numbered`` tells that the one key counts the samples of
+    each side from 0.
     """
-    scores = evaluate.score_samples(predictions, truth, keys)
+    if numbered:
+        scores = evaluate.score_numbered(predictions, truth, *keys)
+    else:
+        scores = evaluate.score_samples(predictions, truth, keys)
     if scores_path is not None:
         scores.write.mode("overwrite").parquet(scores_path)
         scores = predictions.sparkSession.read.parquet(scores_path)
@@ -57,11 +62,13 @@ def evaluate_files(
 
     Records without ids are paired by their place: ``keys=("position",)``.
     """
-    read = read_numbered if keys == (POSITION,) else datasets.read_records
+    numbered = keys == (POSITION,)
+    read = read_numbered if numbered else datasets.read_records
     parts = report(
         read(spark, predictions_path),
         read(spark, truth_path),
         keys=keys,
+        numbered=numbered,
         scores_path=f"{report_path.rstrip('/')}/scores",
     )
     datasets.write_report(

@@ -558,9 +558,14 @@ SELECT field, count(*) AS samples, round(avg(s), 9) AS score,
 # --- records without ids ------------------------------------------------------------------
 
 def _unnamed_files(spark: SparkSession, sf_dir: str) -> tuple[str, str, str]:
-    """Both sides exported without any id, in order, over different numbers of files."""
+    """Both sides exported without any id, in order, over different numbers of files.
+
+    The truth is built once: both exports read it as it was stored."""
     folder = work_folder(spark, "unnamed")
-    predictions, truth = _pairs(spark, sf_dir)
+    built = truth_rows(spark, sf_dir)
+    built.write.option("compression", "zstd").parquet(f"{folder}/built")
+    truth = spark.read.schema(built.schema).parquet(f"{folder}/built")
+    predictions = prediction_rows(truth)
     names = ("request_id", "test_name", "run_ts")
     write_ordered(predictions.drop(*names), f"{folder}/predictions.jsonl", "order_key", files=7)
     write_ordered(truth.drop(*names), f"{folder}/truth.jsonl", "order_key", files=5)

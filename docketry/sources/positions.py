@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from docketry import schemas
 from docketry.session import work_folder
-from docketry.sources.datasets import read_records
+from docketry.sources.datasets import PART_RECORDS, read_records
 
 POSITION = "position"
 _SPLIT = ("_file", "_begin")
@@ -48,7 +48,7 @@ def read_numbered(spark: SparkSession, path: str, schema: str = schemas.SAMPLES)
         F.monotonically_increasing_id().alias("_number"),
     )
     folder = work_folder(spark, "numbered")
-    numbered.write.parquet(folder)
+    numbered.write.option("compression", "zstd").parquet(folder)
     stored = spark.read.schema(numbered.schema).parquet(folder)
     counts = stored.groupBy(*_SPLIT).agg(
         F.count(F.lit(1)).alias("_records"), F.min("_number").alias("_first")
@@ -59,11 +59,23 @@ def read_numbered(spark: SparkSession, path: str, schema: str = schemas.SAMPLES)
 
 
 def write_ordered(records: DataFrame, path: str, *order: str, files: int | None = None) -> None:
-    """Records as JSON lines in the order of some columns, which are left out.
+    """Records as compressed JSON lines in the order of some columns, which are left out.
 
-    Ranges of the order are sorted apart; the names of the files follow it."""
-    dealt = records.repartitionByRange(files, *order) if files else records.repartitionByRange(*order)
+    Ranges of the order are sorted apart; the names of the files follow it.  There
+    are ``files`` of them, or a multiple of it where a file would hold more than about
+    ``PART_RECORDS``: a compressed file is read by one task, and sorting a range
+    then stays in memory.  What is shuffled and sorted are the finished lines, which
+    are smaller than rows.
+    """
     kept = [c for c in records.columns if c not in order]
-    dealt.sortWithinPartitions(*order).select(*kept).write.mode("overwrite").option(
-        "ignoreNullFields", "false"
-    ).json(path)
+    line = F.to_json(F.struct(*kept), {"ignoreNullFields": "false"})
+    lines = records.select(*order, line.alias("_line"))
+    if files:
+        ranges = files * (-(-records.count() // (files * PART_RECORDS)) or 1)
+        dealt = lines.repartitionByRange(ranges, *order)
+    else:
+        dealt = lines.repartitionByRange(*order)
+    # Equal keys lie in one range, so a range can be longer; it is cut in its order.
+    dealt.sortWithinPartitions(*order).select("_line").write.mode("overwrite").option(
+        "compression", "gzip"
+    ).option("maxRecordsPerFile", 2 * PART_RECORDS).text(path)
