@@ -53,7 +53,10 @@ def read_numbered(spark: SparkSession, path: str, schema: str = schemas.SAMPLES)
     counts = stored.groupBy(*_SPLIT).agg(
         F.count(F.lit(1)).alias("_records"), F.min("_number").alias("_first")
     )
-    placed = stored.join(split_offsets(counts).select(*_SPLIT, "_before", "_first"), list(_SPLIT))
+    # One small row a split.  Estimates take it for a part of the records, and from some
+    # size on both sides would be shuffled before adaptive execution knows better.
+    offsets = F.broadcast(split_offsets(counts).select(*_SPLIT, "_before", "_first"))
+    placed = stored.join(offsets, list(_SPLIT))
     position = F.col("_before") + F.col("_number") - F.col("_first")
     return placed.select(*records.columns, position.alias(POSITION))
 

@@ -45,6 +45,19 @@ def test_equal_keys_are_cut(spark, tmp_path, monkeypatch):
     assert sorted(int(r.vendor) for r in got) == list(range(1000))
 
 
+def test_offsets_never_move_the_records(spark, tmp_path):
+    """However large the records are estimated, the offsets are sent to them."""
+    write_ordered(_samples(spark, 50), f"{tmp_path}/out.jsonl", "at", files=3)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    try:
+        plan = read_numbered(spark, f"{tmp_path}/out.jsonl")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    joins = [line for line in plan.splitlines() if "Join [_file" in line]
+    assert "BroadcastHashJoin" in joins[0]
+
+
 @pytest.mark.parametrize("block", [7, 4096])
 def test_blocks_pair_as_the_join_does(spark, tmp_path, monkeypatch, block):
     monkeypatch.setattr(numbered, "BLOCK", block)
