@@ -128,6 +128,10 @@ def _known_ratio(p: Column, e: Column) -> Column:
 
 # --- item lists --------------------------------------------------------------------
 
+#: What the score of two item lists reads of an item.
+ITEM_PARTS = ("name", "total_price")
+
+
 def _best_match(item, candidates, known) -> float:
     """Best (name + price) / 2 over the candidates.
 

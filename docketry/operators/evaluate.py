@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docketry import fixed_values as fv
-from docketry.functions import scores as score
+from docketry.functions import packing, scores as score
 from docketry.schemas import SCORED_TYPES
 from docketry.functions.binding import settled
 from docketry.functions.dates import date_score
@@ -43,6 +43,13 @@ def _sides(predictions: DataFrame, truth: DataFrame, keys: tuple[str, ...]) -> t
     )
 
 
+def scored_parts(records: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Keys and fields of records, of their items only what scores read."""
+    fields = records.select(*keys, output_fields(records).alias("expected_output"))
+    items = F.transform("expected_output.items", lambda i: F.struct(*[i[part].alias(part) for part in score.ITEM_PARTS]))
+    return fields.withColumn("expected_output", F.col("expected_output").withField("items", items))
+
+
 def pair_samples(
     predictions: DataFrame, truth: DataFrame, keys: tuple[str, ...] = ("request_id",)
 ) -> DataFrame:
@@ -51,9 +58,11 @@ def pair_samples(
     Rows are never matched by position, which a distributed table lacks.  A key
     that one side has more than once is not paired either.  Both sides are dealt by
     key before they are grouped: keys hardly repeat, so grouping first would sort
-    every record twice.
+    every record twice.  Records are moved and sorted packed.
     """
-    predicted, expected = _sides(predictions, truth, keys)
+    sides = _sides(predictions, truth, keys)
+    kinds = {name: side.schema[name].dataType for name, side in zip(("predicted", "expected"), sides)}
+    predicted, expected = (packing.packed(side, name) for name, side in zip(kinds, sides))
     left = (
         predicted.repartition(*keys)
         .groupBy(*keys)
@@ -68,11 +77,14 @@ def pair_samples(
         .agg(F.first("expected").alias("expected"), F.count(F.lit(1)).alias("_t"))
     )
     once = F.coalesce((F.col("_p") == 1) & (F.col("_t") == 1), F.lit(False))
-    return (
+    joined = (
         left.join(right, list(keys), "full_outer")
         .withColumn("paired", once)
         .drop("_p", "_t")
     )
+    for name, kind in kinds.items():
+        joined = packing.unpacked(joined, name, kind)
+    return joined
 
 
 def _require_pairs(paired: DataFrame) -> DataFrame:

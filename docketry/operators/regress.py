@@ -12,6 +12,7 @@ from docketry.operators.evaluate import (
     field_report,
     overall_score,
     pair_samples,
+    scored_parts,
     with_scores,
 )
 from docketry.session import work_folder
@@ -121,8 +122,10 @@ def evaluate_tests(
     A test whose samples do not pair up gets an error row and leaves the
     others untouched.  Samples with and without a partner are summed apart in one
     pass over all of them; what is left to decide are a few rows for each test.
+    Only what scores read of a sample is moved.
     """
-    paired = pair_samples(predictions, truth, ("test_name", "request_id"))
+    keys = ("test_name", "request_id")
+    paired = pair_samples(scored_parts(predictions, keys), scored_parts(truth, keys), keys)
     scores = with_scores(paired.withColumn("unpaired", ~F.col("paired")))
     fields = _kept(field_report(scores, ("test_name", "unpaired")), "tests")
     errors = fields.filter("unpaired").select("test_name", F.lit(UNPAIRED).alias("error")).distinct()

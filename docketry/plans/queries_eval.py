@@ -87,6 +87,13 @@ def prediction_rows(truth: DataFrame) -> DataFrame:
     )
 
 
+def _built_once(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    """The truth as stored at ``path``, so that no later use builds the receipts again."""
+    built = truth_rows(spark, sf_dir)
+    built.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(built.schema).parquet(path)
+
+
 def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     truth = truth_rows(spark, sf_dir)
     return prediction_rows(truth), truth
@@ -450,9 +457,11 @@ def regression_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The first run has no test 5 and perfect predictions for test 2; the second has
     the usual errors in all tests, so test 2 drops and test 5 gets a first baseline.
-    Then the newest run of test 3 becomes its baseline."""
+    Then the newest run of test 3 becomes its baseline.  The receipts are built once:
+    both runs read them as they were stored."""
     folder = work_folder(spark, "runs")
-    predictions, truth = _pairs(spark, sf_dir)
+    truth = _built_once(spark, sf_dir, f"{folder}/built")
+    predictions = prediction_rows(truth)
     columns = ["test_name", "request_id", "receipt_text", "expected_output"]
     usual = predictions.select(*columns[:3], F.struct(*fv.FIELDS).alias("expected_output"))
     perfect = truth.withColumn("receipt_text", F.lit("")).select(columns)
@@ -562,9 +571,7 @@ def _unnamed_files(spark: SparkSession, sf_dir: str) -> tuple[str, str, str]:
 
     The truth is built once: both exports read it as it was stored."""
     folder = work_folder(spark, "unnamed")
-    built = truth_rows(spark, sf_dir)
-    built.write.option("compression", "zstd").parquet(f"{folder}/built")
-    truth = spark.read.schema(built.schema).parquet(f"{folder}/built")
+    truth = _built_once(spark, sf_dir, f"{folder}/built")
     predictions = prediction_rows(truth)
     names = ("request_id", "test_name", "run_ts")
     write_ordered(predictions.drop(*names), f"{folder}/predictions.jsonl", "order_key", files=7)
