@@ -2,7 +2,7 @@
 
 A record with a list of items is a row of many small fields, each padded and with an
 offset of its own.  The texts of a record written as one JSON array, and its items as
-another, take about half the bytes when shuffled, and come back as they were.  Bytes that
+another, take about a third less when shuffled, and come back as they were.  Bytes that
 are no UTF-8 come back as U+FFFD, which lower-casing makes of them too.
 """
 
